@@ -222,8 +222,9 @@ def _joined(parts: list[bytes], kind) -> np.ndarray:
 
 
 def shared_keys(entries: DataFrame) -> DataFrame:
-    """(chunk, keys): for each chunk, those of its keys that come at least twice over all chunks.
+    """(chunk, keys, leads): for each chunk, those of its keys that come at least twice over all chunks.
 
+    leads says for which of them the chunk is the smallest that has the key.
     A partition holds the entries of its buckets, packed; its size follows the
     number of distinct (key, sub-batch) pairs over the number of partitions, so
     that a frequent key costs one entry per chunk that has it.
@@ -241,7 +242,7 @@ def shared_keys(entries: DataFrame) -> DataFrame:
         if not len(keys):
             return
         two = len(more) == len(keys)
-        order = np.lexsort((more, keys)) if two else np.argsort(keys)
+        order = np.lexsort((chunks, more, keys) if two else (chunks, keys))
         keys, chunks, weights = keys[order], chunks[order], weights[order]
         new = np.append(True, keys[1:] != keys[:-1])
         if two:
@@ -250,26 +251,28 @@ def shared_keys(entries: DataFrame) -> DataFrame:
         at = np.flatnonzero(new)
         total = np.add.reduceat(weights.astype(np.int64), at)
         keep = np.repeat(total >= 2, np.diff(np.append(at, len(keys))))
-        keys, chunks = keys[keep], chunks[keep]
-        order = np.lexsort((keys, chunks))
-        keys, chunks = keys[order], chunks[order]
+        keys, chunks, leads = keys[keep], chunks[keep], new[keep]
+        order = np.lexsort((~leads, keys, chunks))
+        keys, chunks, leads = keys[order], chunks[order], leads[order]
         if not len(keys):
             return
         new = np.append(True, (chunks[1:] != chunks[:-1]) | (keys[1:] != keys[:-1]))
-        keys, chunks = keys[new], chunks[new]
+        keys, chunks, leads = keys[new], chunks[new], leads[new]
         cut = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1]))
+        ranges = list(zip(cut, np.append(cut[1:], len(keys))))
         yield pa.RecordBatch.from_pydict(
-            {"chunk": chunks[cut].astype(np.int32), "keys": [keys[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(keys)))]},
-            schema=pa.schema([("chunk", pa.int32()), ("keys", pa.binary())]),
+            {"chunk": chunks[cut].astype(np.int32), "keys": [keys[a:b].tobytes() for a, b in ranges], "leads": [leads[a:b].tobytes() for a, b in ranges]},
+            schema=pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("leads", pa.binary())]),
         )
 
     n = partitions(entries.sparkSession)
-    return entries.repartition(n, "bucket").mapInArrow(reduce, "chunk int, keys binary")
+    return entries.repartition(n, "bucket").mapInArrow(reduce, "chunk int, keys binary, leads binary")
 
 
-def key_set(table: pa.Table) -> np.ndarray:
-    """Sorted keys of a chunk's replies."""
-    return np.unique(_joined(table.column("keys").to_pylist(), U64))
+def key_set(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of a chunk's replies, and those that the chunk leads."""
+    keys, leads = _joined(table.column("keys").to_pylist(), U64), _joined(table.column("leads").to_pylist(), bool)
+    return np.unique(keys), np.unique(keys[leads])
 
 
 def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
