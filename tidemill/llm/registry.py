@@ -48,6 +48,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, window=2048, with_ids=False)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import mark
+
+    out = mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=13, share=20)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -59,6 +67,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
 }
 
