@@ -48,6 +48,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, window=2048, with_ids=False)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import mark
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
 }
