@@ -28,6 +28,39 @@ def windows(benchmark: DataFrame, size: int = 13, *, item_col: str = "item_id",
     return grams.select(F.array_join("w", " ").alias("gram"), "n", F.expr("xxhash64(w[0], if(n > 1, w[1], w[0]))").alias("pair"), F.xxhash64("w").alias("hash"), "items")
 
 
+def _hits(rows: list, grams: bool = True) -> str:
+    """SQL for the array of hits (i, n, gram) of the words of a row; rows: windows with n, pair, hash and, to verify in place, gram."""
+    found = []
+    for n in sorted({r["n"] for r in rows}):
+        mine = [r for r in rows if r["n"] == n]
+        pair = in_list("xxhash64(words[i - 1], words[i])" if n > 1 else "xxhash64(words[i - 1], words[i - 1])", sorted({r["pair"] for r in mine}))
+        whole = in_list(f"xxhash64(slice(words, i, {n}))", sorted({r["hash"] for r in mine}))
+        same = "" if grams else " AND " + in_list(f"array_join(slice(words, i, {n}), ' ')", sorted(r["gram"] for r in mine))
+        gram = f", array_join(slice(words, i, {n}), ' ') AS gram" if grams else ""
+        found.append(f"transform(filter(if(size(words) >= {n}, sequence(1, size(words) - {n} + 1), array()), i -> {pair} AND {whole}{same}), i -> struct(i AS i, {n} AS n{gram}))")
+    return f"concat({', '.join(found)})" if found else f"cast(array() AS array<struct<i int, n int{', gram string' if grams else ''}>>)"
+
+
+COVERED = "aggregate(hits, struct(0L AS n, 0 AS upto), (s, h) -> struct(s.n + greatest(0, h.i - 1 + h.n - greatest(s.upto, h.i - 1)) AS n, greatest(s.upto, h.i - 1 + h.n) AS upto)).n"
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns as they are, that mark() does not call contaminated.
+
+    A benchmark of up to block windows is verified in the scan itself and no row is
+    moved; a larger one is marked block by block, and the ids that it names go.
+    """
+    grams = stored(windows(benchmark, size, item_col=item_col, text_col=item_text), "benchmark-windows")
+    if grams.count() > block:
+        named = mark(docs, benchmark, size=size, share=share, id_col=id_col, text_col=text_col, item_col=item_col, item_text=item_text, block=block).where("contaminated").select(F.col(id_col).alias("_gone")).distinct()
+        return docs.join(named, docs[id_col] == named["_gone"], "left_anti")
+    rows = grams.select("n", "pair", "hash", "gram").orderBy("gram", "n").collect()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    seen = with_words(held, "text").select("row", F.size("words").alias("n_words"), F.array_sort(F.expr(_hits(rows, grams=False))).alias("hits"))
+    seen = seen.select("row", "n_words", F.expr(COVERED).alias("n_hit"))
+    return seen.where(~((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))).select("row.*")
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, *, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """A row per input row: id, kept columns, n_words, n_hit, n_items, items, spans, contaminated.
 
@@ -50,13 +83,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, size: int = 13, share: int =
     words = with_words(base, "text").drop("text")
     hits = None
     for at, (part, rows) in enumerate(blocks):
-        found = []
-        for n in sorted({r["n"] for r in rows}):
-            mine = [r for r in rows if r["n"] == n]
-            pair = in_list("xxhash64(words[i - 1], words[i])" if n > 1 else "xxhash64(words[i - 1], words[i - 1])", sorted({r["pair"] for r in mine}))
-            whole = in_list(f"xxhash64(slice(words, i, {n}))", sorted({r["hash"] for r in mine}))
-            found.append(f"transform(filter(if(size(words) >= {n}, sequence(1, size(words) - {n} + 1), array()), i -> {pair} AND {whole}), i -> struct(i AS i, {n} AS n, array_join(slice(words, i, {n}), ' ') AS gram))")
-        seen = F.expr(f"concat({', '.join(found)})" if found else "cast(array() AS array<struct<i int, n int, gram string>>)")
+        seen = F.expr(_hits(rows))
         kept = [c for c in words.columns if c != "words"] if at == 0 else ["row"]
         scanned = words.select(*kept, F.size("words").cast("long").alias("n_words"), seen.alias("hits")).select(*kept, "n_words", F.explode_outer("hits").alias("hit"))
         if at:
@@ -72,7 +99,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, size: int = 13, share: int =
         " concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).a AS a, greatest(element_at(s, -1).b, h.i - 1 + h.n) AS b))),"
         " concat(s, array(struct(h.i - 1 AS a, h.i - 1 + h.n AS b)))))"
     )
-    covered = F.expr("aggregate(hits, struct(0L AS n, 0 AS upto), (s, h) -> struct(s.n + greatest(0, h.i - 1 + h.n - greatest(s.upto, h.i - 1)) AS n, greatest(s.upto, h.i - 1 + h.n) AS upto)).n")
+    covered = F.expr(COVERED)
     items = F.array_sort(F.array_distinct(F.flatten(F.col("hits.items"))))
     out = per_doc.select(*carried, "n_words", covered.cast("long").alias("n_hit"), items.alias("items"), spans.alias("spans"))
     return out.select(

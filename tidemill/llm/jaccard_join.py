@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, mix64, partitions, rolling, stored, text_slices
@@ -286,3 +286,17 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = stored(named.join(least, "component").select(F.col("set").alias("of"), "component_id"), "jaccard-classes")
     return base.join(classes, base["set"] == classes["of"], "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each component that with the smallest id stays.
+
+    Of rows that share that id one stays. Rows without an id cannot be named as
+    a component's first and stay. Texts without words have no duplicates and stay.
+    """
+    found = jaccard_components(docs, n=n, threshold=threshold, id_col=id_col, text_col=text_col)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    named = docs.join(first, docs[id_col].cast("long") == F.col("_first"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.xxhash64(F.col(text_col))))
+    one = named.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import PACKED, U64, Words, among, chunk_count, chunk_of, key_set, mix64, packed, partitions, rolling, shared_keys, stored, text_slices
 
@@ -179,24 +180,29 @@ _OUT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64(
 _OUT_SQL = "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>"
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, verbatim: bool = False) -> DataFrame:
     """Remove every word inside a window of words that also starts anywhere else.
 
     Returns (doc_id, n_words, n_removed, kept_text, removed), a row per input row:
     the kept words joined by one space, and the removed spans of words [from, to).
     Windows are judged on the input, so that all copies of a passage go. Null and
     empty texts, and those of fewer words than a window, keep all they have; rows
-    that come twice count as copies of each other; other columns are ignored.
+    that come twice count as copies of each other. Other columns are ignored but
+    for those named in keep, which follow in a struct `kept`. With verbatim, a text
+    that loses nothing is returned as it is, white space included.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("struct<none: int>")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("kept"))
     n_chunks = chunk_count(docs.count())
     base = base.withColumn("chunk", chunk_of(n_chunks, F.col("doc_id"), F.col("text")))
     shared = shared_keys(base.select("text", "chunk").mapInArrow(_emit(window, buckets), PACKED))
 
-    first_schema = pa.schema([*_OUT, ("chunk", pa.int32()), ("sure", pa.binary()), *[(n, t) for n, t in (("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("chunks", pa.binary()), ("weights", pa.binary()))]])
-    first_sql = f"{_OUT_SQL}, chunk int, sure binary, {PACKED}"
+    kind = base.select("kept").schema["kept"].dataType
+    kept_type, kept_sql = to_arrow_type(kind), kind.simpleString()
+    first_schema = pa.schema([*_OUT, ("kept", kept_type), ("chunk", pa.int32()), ("sure", pa.binary()), *[(n, t) for n, t in (("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("chunks", pa.binary()), ("weights", pa.binary()))]])
+    first_sql = f"{_OUT_SQL}, kept {kept_sql}, chunk int, sure binary, {PACKED}"
 
     def first_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -206,10 +212,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id
         ids = left.column("doc_id").to_pylist()
         texts = left.column("text")
         rows = {n: [] for n in first_schema.names}
+        rows.pop("kept")
         open_keys, open_more = [], []
 
         def put(**x):
-            for n in first_schema.names:
+            for n in rows:
                 rows[n].append(x.get(n))
 
         for i, j, buf, off in text_slices(texts):
@@ -227,7 +234,8 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id
                     put(doc_id=ids[i + d], n_words=int(b - a), kept_text=texts[i + d].as_py(), chunk=chunk, sure=np.packbits(sure[a:b]).tobytes())
                 else:
                     gone, kept, spans = _finish(w, sure, d, window)
-                    put(doc_id=ids[i + d], n_words=int(b - a), n_removed=gone, kept_text=kept.decode(), removed=spans, chunk=chunk)
+                    put(doc_id=ids[i + d], n_words=int(b - a), n_removed=gone, kept_text=texts[i + d].as_py() or "" if verbatim and not gone else kept.decode(), removed=spans, chunk=chunk)
+        rows["kept"] = left.column("kept").combine_chunks().cast(kept_type)  # a row for each row, in order
         out = [pa.Table.from_pydict(rows, schema=first_schema)]
         if open_keys:
             k = np.concatenate(open_keys)
@@ -237,17 +245,18 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id
         return pa.concat_tables(out)
 
     passed = stored(base.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(first_pass, first_sql), "substring-windows")
-    done = passed.where("bucket is null and sure is null").select(*[n for n, _ in _OUT])
+    names = [n for n, _ in _OUT] + ["kept"] * bool(keep)
+    done = passed.where("bucket is null and sure is null").select(*names)
     repeated = shared_keys(passed.where("bucket is not null").select("bucket", "keys", "more", "chunks", "weights"))
-    undecided = passed.where("sure is not null").select("doc_id", "kept_text", "chunk", "sure")
-    out_schema = pa.schema(_OUT)
+    undecided = passed.where("sure is not null").select("doc_id", "kept_text", "chunk", "sure", "kept")
+    out_schema = pa.schema([*_OUT, ("kept", kept_type)])
 
     def second_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out_schema.empty_table()
         left = left.combine_chunks()
         keys, ids, sures = key_set(right)[0], left.column("doc_id").to_pylist(), left.column("sure").to_pylist()
-        rows = {n: [] for n in out_schema.names}
+        rows = {n: [] for n, _ in _OUT}
         for i, j, buf, off in text_slices(left.column("kept_text")):
             w = Words(buf, off)
             h = w.hashes()
@@ -259,9 +268,10 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id
                 a, b = w.first[d], w.first[d + 1]
                 hit[a:b] |= np.unpackbits(np.frombuffer(sures[i + d], np.uint8))[: b - a].astype(bool)
                 gone, kept, spans = _finish(w, hit, d, window)
-                for name, x in zip(out_schema.names, (ids[i + d], int(b - a), gone, kept.decode(), spans)):
+                for name, x in zip(rows, (ids[i + d], int(b - a), gone, left.column("kept_text")[i + d].as_py() if verbatim and not gone else kept.decode(), spans)):
                     rows[name].append(x)
+        rows["kept"] = left.column("kept").combine_chunks().cast(kept_type)
         return pa.Table.from_pydict(rows, schema=out_schema)
 
-    rest = undecided.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(second_pass, _OUT_SQL)
-    return done.unionByName(rest)
+    rest = undecided.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(second_pass, f"{_OUT_SQL}, kept {kept_sql}")
+    return done.unionByName(rest.select(*names))

@@ -335,3 +335,18 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            col = b.column(at).cast(pa.string())
+            keep = np.zeros(b.num_rows, bool)
+            for i, j, buf, off in text_slices(col):
+                keep[i:j] = model.score(model.features(buf, off)) < threshold
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
