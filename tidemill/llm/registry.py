@@ -82,6 +82,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), trusted="quality = 1", quantile=0.995)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -92,6 +98,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_nearest": op8_nearest,
     "op9_token_files": op9_token_files,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
