@@ -30,6 +30,7 @@ from .components import components
 
 BLOCK = 128  # sets of a block
 GROUP = 16  # sets whose tokens are united in the matrix
+FILTER_BITS = 1 << 25  # of the bitmap that spares other texts a shuffle
 SPARE = 2  # parts above the need, so that empty parts rarely matter
 
 
@@ -268,6 +269,18 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
                 keep = [k for k in range(j - i) if named[k] == want[i + k]]
                 yield pa.RecordBatch.from_pydict({"set": [named[k] for k in keep], "shingles": [sets[k].tobytes() for k in keep], "places": places.take(pa.array([i + k for k in keep], pa.int64()))}, schema=held_schema)
 
+    # a bitmap of fixed size over the members' ids keeps most other texts out of the join; what it lets through by chance the join drops
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in members.groupBy((slot / 32768).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(xxhash64(doc_id), {FILTER_BITS}) % 32768)").alias("map")).toLocalIterator():
+        bits[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["map"], np.uint8)
+
+    def maybe(batches):
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select([0, 1])
+
+    rows = rows.select("doc_id", "text", slot.alias("slot")).mapInArrow(maybe, "doc_id long, text string")
     held = rows.join(placed, rows.doc_id.eqNullSafe(placed.doc_id)).select("text", "set", "places").mapInArrow(hold, "set long, shingles binary, places array<string>")
     edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
