@@ -56,9 +56,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 13,
         return docs.join(named, docs[id_col] == named["_gone"], "left_anti")
     rows = grams.select("n", "pair", "hash", "gram").orderBy("gram", "n").collect()
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    seen = with_words(held, "text").select("row", F.size("words").alias("n_words"), F.array_sort(F.expr(_hits(rows, grams=False))).alias("hits"))
-    seen = seen.select("row", "n_words", F.expr(COVERED).alias("n_hit"))
-    return seen.where(~((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))).select("row.*")
+    # the row number keeps the filter above the arrays: pushed below them, it would split the text anew for every word
+    seen = with_words(held, "text").select("row", F.size("words").alias("n_words"), F.array_sort(F.expr(_hits(rows, grams=False))).alias("hits"), F.monotonically_increasing_id().alias("number"))
+    seen = seen.select("row", "n_words", F.expr(COVERED).alias("n_hit"), "number")
+    return seen.where((F.col("number") >= 0) & ~((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))).select("row.*")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
