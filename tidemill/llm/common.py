@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20  # text bytes handled by numpy at a time; one longer document is a slice of its own
+SLICE_BYTES = 1 << 20  # text bytes handled by numpy at a time; one longer document is a slice of its own
 CHUNK_DOCS = 400  # documents of one reply chunk, on average
 
 
@@ -87,7 +87,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     global _POW, _INV
     if _POW is None or len(_POW) < n:
-        m = max(n, SLICE_BYTES * 2)
+        m = max(n, SLICE_BYTES + 2)
         base = np.full(m, _P, U64)
         base[0] = 1
         inv = np.full(m, pow(_P, -1, 1 << 64), U64)
