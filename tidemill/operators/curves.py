@@ -55,20 +55,33 @@ FAMILIES = {
 }
 
 
-def least_squares(f, x: np.ndarray, y: np.ndarray, start, calls: int = 5000) -> np.ndarray | None:
+def fit_family(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """A family's parameters; a fit that runs into the flat clamp of log_power is tried again in smaller first steps."""
+    f, start = FAMILIES[name]
+    p = least_squares(f, x, y, start)
+    if name == "log_power" and (p is None or p[1] <= 1e-6):
+        for damp in (0.1, 1.0, 10.0):
+            q = least_squares(f, x, y, start, damp=damp)
+            if q is not None and q[1] > 1e-6 and np.isfinite(f(x[-1:] + 1, *q)).all():
+                return q
+    return p
+
+
+def least_squares(f, x: np.ndarray, y: np.ndarray, start, calls: int = 5000, damp: float = 1e-3) -> np.ndarray | None:
     """Levenberg-Marquardt with forward differences and column scaling; None where it does not settle."""
     p = np.array(start, float)
     if len(y) < len(p):
         return None
+    eye = np.eye(len(p))
     with np.errstate(all="ignore"):
         r = f(x, *p) - y
         if not np.isfinite(r).all():
             return None
-        cost, damp, used = float(r @ r), 1e-3, 1
+        cost, used = float(r @ r), 1
         scale = np.zeros(len(p))
         while used < calls:
-            step = np.sqrt(np.finfo(float).eps) * np.maximum(np.abs(p), 1e-8)
-            jac = np.stack([(f(x, *(p + step[k] * np.eye(len(p))[k])) - y - r) / step[k] for k in range(len(p))], axis=1)
+            step = 1.5e-8 * np.maximum(np.abs(p), 1e-8)
+            jac = np.stack([(f(x, *(p + step[k] * eye[k])) - y - r) / step[k] for k in range(len(p))], axis=1)
             used += len(p)
             if not np.isfinite(jac).all():
                 return None
@@ -86,9 +99,10 @@ def least_squares(f, x: np.ndarray, y: np.ndarray, start, calls: int = 5000) ->
                 used += 1
                 ncost = float(nr @ nr) if np.isfinite(nr).all() else np.inf
                 if ncost < cost:
-                    small = cost - ncost <= 1.5e-8 * cost and np.linalg.norm(scale * d) <= 1.5e-8 * np.linalg.norm(scale * p) or ncost < 1e-28
+                    expected = -(2 * grad @ d + d @ gram @ d)
+                    settled = max(cost - ncost, expected) <= 1.5e-8 * cost or np.linalg.norm(scale * d) <= 1.5e-8 * np.linalg.norm(scale * p) or ncost < 1e-28
                     p, r, cost, damp = new, nr, ncost, max(damp / 9, 1e-15)
-                    if small:
+                    if settled:
                         return p
                     break
                 if np.linalg.norm(scale * d) <= 1.5e-8 * np.linalg.norm(scale * p) if np.isfinite(d).all() else False:
@@ -114,8 +128,8 @@ def forecast(losses: list[float], horizons: list[int]) -> dict:
     ahead = np.arange(n + 1, n + max(horizons) + 1, dtype=float)
     fits = []
     with np.errstate(all="ignore"):
-        for f, start in FAMILIES.values():
-            p = least_squares(f, x, y, start)
+        for name, (f, _) in FAMILIES.items():
+            p = fit_family(name, x, y)
             if p is None:
                 continue
             r, future = f(x, *p) - y, f(ahead, *p)

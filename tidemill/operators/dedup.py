@@ -28,16 +28,16 @@ def pairs_exact(vectors: DataFrame, threshold: float = 0.92, pos: str = "pos", v
     n = max(1, -(-rows.count() // BLOCK))
     own = rows.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
     left = own.select("i", "v", F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("b"))
-    right = own.select("i", "v", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), F.col("block").alias("b"))
+    right = own.select(F.col("i").alias("j"), F.col("v").alias("u"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), F.col("block").alias("b"))
     schema = pa.schema([("index_a", pa.int64()), ("index_b", pa.int64()), ("similarity", pa.float64())])
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return schema.empty_table()
-        matrix = lambda t: np.stack([np.asarray(v) for v in t.column("v").to_pylist()])
-        p, q = x.column("i").to_numpy(), y.column("i").to_numpy()
+        matrix = lambda c: np.stack([np.asarray(v) for v in c.to_pylist()])
+        p, q = x.column("i").to_numpy(), y.column("j").to_numpy()
         same = x.column("a")[0].as_py() == x.column("b")[0].as_py()
-        s = matrix(x) @ matrix(y).T
+        s = matrix(x.column("v")) @ matrix(y.column("u")).T
         i, j = np.nonzero(s >= threshold)
         keep = p[i] < q[j] if same else p[i] != q[j]
         i, j = i[keep], j[keep]

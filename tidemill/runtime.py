@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -23,5 +24,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(top.rglob("*.py")):
                 z.write(p, f"{top.name}/{p.relative_to(top)}")
         spark.sparkContext.addPyFile(path)
+        if spark.conf.get(_BATCH) == "10000":  # the default; batches of long texts would take much memory beside the heap
+            spark.conf.set(_BATCH, "1000")
         _shipped.add(app)
     return spark
