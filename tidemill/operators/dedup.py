@@ -51,8 +51,12 @@ def pairs_lsh(vectors: DataFrame, threshold: float = 0.92, pos: str = "pos", vec
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    known = vectors.where(F.col(pos).isNotNull() & F.col(vec).isNotNull())  # the conversion to vectors takes no null
-    rows = known.select(F.col(pos).cast("long").alias("i"), array_to_vector(normalized(F.coalesce(F.col(vec).cast("array<double>"), F.array().cast("array<double>")))).alias("v"))
+    known = vectors.where(F.col(pos).isNotNull() & F.col(vec).isNotNull())
+    first = known.select(F.size(vec)).first()
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], _PAIRS)
+    zero = F.array_repeat(F.lit(0.0), first[0])  # the conversion to vectors may run ahead of the filter and takes no null
+    rows = known.select(F.col(pos).cast("long").alias("i"), array_to_vector(normalized(F.coalesce(F.col(vec).cast("array<double>"), zero))).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
     far = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
     found = model.approxSimilarityJoin(rows, rows, far, "d").select(F.col("datasetA.i").alias("index_a"), F.col("datasetB.i").alias("index_b"), (1 - F.col("d") * F.col("d") / 2).alias("similarity")).where("index_a < index_b").distinct()
