@@ -31,7 +31,7 @@ from .common import LOWER, U64, new_path, stored, text_slices
 
 ORDER = 5
 SHARD = 1_000_000  # entries of a model shard, about
-BUFFER = 16 << 20  # bytes of text that a scoring task joins at a time
+BUFFER = 8 << 20  # bytes of text that a scoring task joins at a time
 BROADCAST_IDS = 1_000_000  # trusted ids up to which their table is broadcast (16 MB)
 LANG_BITS = 20
 CALIBRATION = 10  # one trusted document in so many is kept from the model, for the thresholds
@@ -75,10 +75,10 @@ def _counts(batches):
                 keys.append(k)
                 counts.append(c)
                 held += len(k)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     k, c = merged()
                     keys, counts, held = [k], [c], 0
-                    if len(k) > 2_000_000:
+                    if len(k) > 750_000:
                         yield _count_batch(k, c)
                         keys, counts = [], []
     if keys:
@@ -207,20 +207,17 @@ def surprise(docs: DataFrame, shards: list[str]) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            parts = []
-            for ids, langs, k, doc in held:
-                u, back = np.unique(k, return_inverse=True)
-                parts.append((ids, langs, u, back, doc))
-            every = np.unique(np.concatenate([p[2] for p in parts]))
+            every = np.unique(np.concatenate([u for _, _, u, _, _ in held]))
             cost = -np.log(probabilities(every, shards)) if len(every) else np.empty(0)
-            for ids, langs, u, back, doc in parts:
-                nats = np.bincount(doc, weights=cost[np.searchsorted(every, u)][back], minlength=len(ids)) if len(doc) else np.zeros(len(ids))
-                yield pa.RecordBatch.from_arrays([ids, langs, pa.array(np.bincount(doc, minlength=len(ids)).astype(np.int64)), pa.array(nats)], names=["doc_id", "lang", "n_bytes", "nats"])
+            for ids, langs, u, back, off in held:
+                c = np.append(0.0, np.cumsum(cost[np.searchsorted(every, u)][back]))
+                yield pa.RecordBatch.from_arrays([ids, langs, pa.array(np.diff(off)), pa.array(c[off[1:]] - c[off[:-1]])], names=["doc_id", "lang", "n_bytes", "nats"])
 
         for b in batches:
             code = b.column(2).to_numpy(zero_copy_only=False)
             for i, j, buf, off in text_slices(b.column(3)):
-                held.append((b.column(0)[i:j], b.column(1)[i:j], *gram_keys(buf, off, code[i:j])))
+                u, back = np.unique(gram_keys(buf, off, code[i:j])[0], return_inverse=True)
+                held.append((b.column(0)[i:j], b.column(1)[i:j], u, back.astype(np.int32), off))
                 size += len(buf)
                 if size >= BUFFER:
                     yield from flush()
