@@ -28,7 +28,7 @@ def corpus():
             near[rng.randrange(120)] = word()
         rows.append((30 + k, " ".join(near)))
     rows += [(50, "x " * 200), (51, "ab cd " * 90), (52, "ab cd " * 40), (53, text(20_000)), (None, "no id here"), (54, text(34)), (55, " ".join(base[:35]))]
-    rows += [(60, "w w w w\xa0w\x00w　w"), (61, "All Rights Reserved. Licensed under CC BY 4.0, all rights reserved"), (62, "GNU General Public License, version 3")]
+    rows += [(60, "w w w w\xa0w\x00w　w"), (61, "All Rights Reserved. Licensed under CC BY 4.0, all rights reserved"), (62, "This work is licensed under the GNU General Public License, version 3.")]
     return [(i, t, 7, "a", "b", "c", "d", "e") for i, t in rows]
 
 
