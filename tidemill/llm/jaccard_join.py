@@ -1,10 +1,12 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents become sets of word shingles; equal sets are one class. Partitioning:
-a set is cut into parts by a hash of its shingles, as many parts as two sets of
+Documents become sets of word shingles; equal sets are one class. Partitioning: where
+the threshold is high, a set is cut into parts by a hash of its shingles, as many parts as two sets of
 about its size can differ in shingles and still link, and more, so that linked sets
-agree on at least one whole part. Sets that agree on a part are joined into
-groups of similar documents, which are split into blocks of bounded size, and only
+agree on at least one whole part. At lower thresholds parts would hold few
+shingles and common lines would make them agree, so sets offer their rarest shingles
+instead, as many as two linked sets cannot both miss. Sets that agree on a part or
+shingle are joined into groups of similar documents, which are split into blocks of bounded size, and only
 pairs of blocks whose sizes allow a link meet.
 
 Where two blocks meet, their sets are dealt to small groups. The token-group
@@ -13,7 +15,7 @@ overlap with every member, so only groups that reach the bound are opened, and o
 those only such as can still join two components. An opened group is compared
 exactly. What leaves a task is a spanning forest of its links, never all pairs.
 
-The search is exact for the 64-bit shingle names: the parts miss no linked pair.
+The search is exact for the 64-bit shingle names: parts and prefixes miss no linked pair.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .components import components
 
 BLOCK = 128  # sets of a block
 GROUP = 16  # sets whose tokens are united in the matrix
+SKETCH = 1 << 22  # counters of the frequency sketch that orders shingles for prefixes
+FIRM_PART = 8  # shingles that a part must hold on average; below, groups come from prefixes
 FILTER_BITS = 1 << 25  # of the bitmap that spares other texts a shuffle
 SPARE = 2  # parts above the need, so that empty parts rarely matter
 
@@ -94,6 +98,49 @@ def part_names(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
+def prefix_names(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A set's rarest shingles, so many that two sets that link have one in common."""
+    n = len(s)
+    take = n - -(-num * n // den) + 1
+    level = levels[(s % U64(SKETCH)).astype(np.int64)]
+    return s[np.lexsort((s, level))[:take]]
+
+
+def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
+    """Levels (logarithms) of how many sets hold a shingle, in SKETCH counters: 4 MB, however large the table.
+
+    Counters are shared by shingles that fall together, which only changes the
+    order in which shingles are taken; any order finds all links.
+    """
+    width = 1 << 16
+
+    def count(batches):
+        c = np.zeros(SKETCH, np.uint32)
+        for b in batches:
+            for _, _, sets in _sets(b.column(0), n):
+                if sets:
+                    np.add.at(c, (np.concatenate(sets) % U64(SKETCH)).astype(np.int64), 1)
+        c = np.minimum(c, 65535).astype(np.uint16)
+        blocks = [k for k in range(SKETCH // width) if c[k * width : (k + 1) * width].any()]
+        yield pa.RecordBatch.from_pydict({"block": blocks, "counts": [c[k * width : (k + 1) * width].tobytes() for k in blocks]}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
+
+    schema = pa.schema([("block", pa.int32()), ("levels", pa.binary())])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                c = np.frombuffer(x.as_py(), np.uint16)
+                total[k] = total[k] + c if k in total else c.astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"block": list(total), "levels": [(4 * np.log2(c + 1.0)).astype(np.uint8).tobytes() for c in total.values()]}, schema=schema)
+
+    counted = rows.select("text").mapInArrow(count, "block int, counts binary")
+    out = np.zeros(SKETCH, np.uint8)
+    for r in counted.repartition(partitions(rows.sparkSession), "block").mapInArrow(add, "block int, levels binary").toLocalIterator():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
 def _sets(col: pa.Array, n: int):
     for i, j, buf, off in text_slices(col):
         yield i, j, shingle_sets(Words(buf, off, lower=True), n)
@@ -195,6 +242,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
 
     base = stored(rows.mapInArrow(describe, "doc_id long, n_shingles long, set long"), "jaccard-sets")
 
+    firm = num >= FIRM_PART * (den - num)
+    levels = None if firm else frequency_levels(rows, n)
+
     part_schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
 
     def offer(batches):
@@ -205,7 +255,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
                     name = set_name(s)
                     if len(s) and name not in seen:
                         seen.add(name)
-                        keys.append(part_names(s, num, den))
+                        keys.append(part_names(s, num, den) if firm else prefix_names(s, levels, num, den))
                         names.append(name)
                 if not keys:
                     continue
