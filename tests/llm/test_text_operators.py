@@ -163,6 +163,20 @@ def test_decontamination(spark, docs, empty, block):
     assert mark(empty, bench, block=block).count() == 0 and mark(docs, bench.limit(0), block=block).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [40, 20_000])
+def test_decontamination_judges_rows_not_ids(spark, block):
+    """Rows without an id and rows that share one are judged each by its own hits, in blocks as in one scan."""
+    from tidemill.llm.decontamination import drop_contaminated, windows
+
+    leak = " ".join(f"leak{k}" for k in range(80))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert 40 < windows(bench).count() < 20_000
+    rows = [(None, leak, "bad"), (None, "clean words", "good"), (7, leak, "bad"), (7, "other clean words", "good"), (8, leak, "bad"), (9, None, "good")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number string").repartition(3)
+    got = drop_contaminated(docs, bench, block=block)
+    assert got.columns == docs.columns and bag(map(tuple, got.collect())) == bag(r for r in rows if r[2] == "good")
+
+
 def test_license_scan(docs, empty):
     from tidemill.llm.license_scan import BASE, scan
 

@@ -47,6 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """(number, row): the rows of a table, as structs, with numbers that are written once and thus stay the same in every read."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return stored(df.select(F.monotonically_increasing_id().alias("number"), row), name)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table or folder of ours that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

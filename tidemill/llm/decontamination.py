@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 from .native_text import in_list, with_words
 
 BLOCK = 20_000  # windows that one scan looks for
@@ -48,12 +48,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = 13,
     """The rows of docs, all columns as they are, that mark() does not call contaminated.
 
     A benchmark of up to block windows is verified in the scan itself and no row is
-    moved; a larger one is marked block by block, and the ids that it names go.
+    moved; for a larger one the rows are numbered in a stored table and marked block
+    by block, and the numbers that it names go. Either way a row is judged by its own
+    hits, whatever its id.
     """
     grams = stored(windows(benchmark, size, item_col=item_col, text_col=item_text), "benchmark-windows")
     if grams.count() > block:
-        named = mark(docs, benchmark, size=size, share=share, id_col=id_col, text_col=text_col, item_col=item_col, item_text=item_text, block=block).where("contaminated").select(F.col(id_col).alias("_gone")).distinct()
-        return docs.join(named, docs[id_col] == named["_gone"], "left_anti")
+        rows = numbered(docs, "benchmark-documents")
+        texts = rows.select("number", F.col("row").getField(text_col).alias("text"))
+        gone = mark(texts, benchmark, size=size, share=share, id_col="number", item_col=item_col, item_text=item_text, block=block).where("contaminated").select("number")
+        return rows.join(gone, "number", "left_anti").select("row.*")
     rows = grams.select("n", "pair", "hash", "gram").orderBy("gram", "n").collect()
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     # the row number keeps the filter above the arrays: pushed below them, it would split the text anew for every word
