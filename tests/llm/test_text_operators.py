@@ -124,6 +124,23 @@ def test_large_groups_are_split_into_blocks(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_keep_first_compares_rows_of_one_group(spark):
+    """Rows that share an id and nothing else stay; of a group of near copies one row stays."""
+    from tidemill.llm.jaccard_join import keep_first
+
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    kept = [(1, text("a"), "first of its group"), (2, text("b"), "b"), (2, text("c"), "c"), (3, text("d"), "d"), (None, text("a"), "no id"), (5, None, "null"), (5, "", "empty")]
+    gone = [(2, text("a") + " more", "near copy of 1"), (4, text("d") + " more", "near copy of 3"), (4, text("d") + " more words", "near copy of 3")]
+    # ids 6 and 7 are shared by near copies of one text and by texts of their own
+    kept += [(6, text("e"), "e"), (6, text("f"), "f"), (7, text("g"), "g")]
+    gone += [(7, text("e") + " more", "near copy of 6"), (9, text("g") + " more", "near copy of 7")]
+    docs = spark.createDataFrame(kept + gone, "doc_id long, text string, number string").repartition(3)
+    got = keep_first(docs)
+    assert got.columns == docs.columns and bag(map(tuple, got.collect())) == bag(kept)
+    same = spark.createDataFrame([(8, text("h"), "x")] * 3 + [(8, text("h") + " more", "x")], docs.schema)
+    assert keep_first(same).count() == 1 and keep_first(docs.limit(0)).count() == 0
+
+
 def brute_hits(rows, items, size=13):
     windows = collections.defaultdict(set)
     for item, t in items:

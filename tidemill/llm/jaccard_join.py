@@ -24,10 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix64, partitions, rolling, stored, text_slices
+from .common import U64, Words, mix64, numbered, partitions, rolling, stored, text_slices
 from .components import components
 
 BLOCK = 128  # sets of a block
@@ -352,14 +352,16 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
 
 
 def keep_first(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component that with the smallest id stays.
+    """The rows of docs without near-duplicates: of each component of rows that with the smallest id stays.
 
-    Of rows that share that id one stays. Rows without an id cannot be named as
-    a component's first and stay. Texts without words have no duplicates and stay.
+    Of rows of a component that share that id one stays; rows that only share an
+    id do not compete. Rows without an id cannot be named as a component's first
+    and stay. Texts without words have no duplicates and stay.
     """
-    found = jaccard_components(docs, n=n, threshold=threshold, id_col=id_col, text_col=text_col)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs[id_col].cast("long") == F.col("_first"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.xxhash64(F.col(text_col))))
-    one = named.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = numbered(docs, "jaccard-documents")
+    ident, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    found = jaccard_components(rows.select("number", text.alias("text")), n=n, threshold=threshold, id_col="number", text_col="text")
+    ids = rows.where(ident.isNotNull()).select("number", ident.cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    least = ids.join(found.select(F.col("doc_id").alias("number"), "component_id"), "number").groupBy("component_id").agg(F.min(F.struct("id", "hash", "number")).alias("least"))
+    first = least.select(F.col("least.number").alias("number"))
+    return rows.join(first, "number", "left_semi").select("row.*").unionByName(rows.where(ident.isNull()).select("row.*"))
