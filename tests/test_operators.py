@@ -96,6 +96,15 @@ def test_pairs_in_blocks(spark, monkeypatch):
     assert {(r["index_a"], r["index_b"]) for r in D.pairs_lsh(df, 0.6).collect()} <= want
 
 
+def test_hashed_pairs_miss_few(spark):
+    """Recall of the hashed pairs at the threshold and tables of dup_pairs_lsh."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(16)]) for k in range(250)], "pos long, embedding array<double>")
+    pairs = lambda found: {(r["index_a"], r["index_b"]) for r in found.collect()}
+    want, got = pairs(D.pairs_exact(df, 0.40)), pairs(D.pairs_lsh(df, 0.40, tables=8))
+    assert len(want) > 500 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_normalization(spark):
     one = lambda raw, schema, **k: N.normalize(spark.createDataFrame([(json.dumps(raw), 0)], "raw string, pos long"), schema, **k).first()
     r = one({"instruction": " do \n", "input": "x", "output": None}, "alpaca")
