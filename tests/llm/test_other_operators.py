@@ -139,6 +139,24 @@ def test_nearest(spark):
     assert {r["vec_id"] for r in nearest(df.where("vec_id < 4"), k=10, every=20).collect()} == {1, 2, 3}
 
 
+def test_nearest_answers_every_length(spark, monkeypatch):
+    """Queries of a rarer length get their exact neighbours of that length; several blocks of them meet."""
+    from tidemill.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    vectors = {d: {1000 * d + i: rng.standard_normal(d) for i in range(n)} for d, n in ((8, 200), (5, 50), (3, 7))}
+    rows = [(i, v.tolist()) for group in vectors.values() for i, v in group.items()]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=9, every=5).collect()
+    assert {r["query_id"] for r in got} == {i for i, _ in rows if i % 5 == 0}
+    for d in (5, 3):
+        for q in (i for i in vectors[d] if i % 5 == 0):
+            score = {i: float(np.cumsum(v * vectors[d][q])[-1]) for i, v in vectors[d].items() if i != q}
+            want = sorted(score, key=lambda i: (-score[i], i))[:9]
+            mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+            assert [(r["rank"], r["vec_id"], r["score"]) for r in mine] == [(k + 1, i, score[i]) for k, i in enumerate(want)]
+
+
 def labelled(spark, n=600):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("aeioust") for _ in range(rng.randint(2, 5)))

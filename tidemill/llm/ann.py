@@ -119,11 +119,40 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine)
 
 
+def _among_rarer(rows: DataFrame, most: int, k: int, every: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each query among the vectors of its own length, compared in blocks; most: vectors of one length."""
+    n = max(1, -(-most // BLOCK))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = rows.select(F.size("v").alias("d"), block.alias("b"), every_block.alias("a"), "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.size("v").alias("d"), block.alias("a"), every_block.alias("b"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        matrix = lambda c: np.asarray(c.combine_chunks().flatten()).reshape(len(c), -1)
+        ids, x, q = left.column("vec_id").to_numpy(), matrix(left.column("v")), matrix(right.column("q"))
+        out = [[], [], []]
+        for j, query_id in enumerate(right.column("query_id").to_pylist()):
+            at = np.flatnonzero(ids != query_id)
+            s = exact(x[at], q[j])
+            top = np.lexsort((ids[at], -s))[:k]
+            out[0].append(np.full(len(top), query_id))
+            out[1].append(ids[at][top])
+            out[2].append(s[top])
+        return pa.Table.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=schema)
+
+    keys = ["d", "a", "b"]
+    return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+
 def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, the vectors whose id is divisible by every.
 
-    Candidates are all usable vectors but the query's own row; vectors of another
-    length than the most common one take no part. Ties go to the smaller id. Of
+    Candidates are all usable vectors of the query's length but its own row. The
+    index is of the most common length; vectors of each rarer one are compared
+    exactly among themselves. Ties go to the smaller id. Of
     equal vectors only the k + 1 with the smallest ids can be among any k nearest,
     and only they enter the lists. Fewer than k candidates give all of them; an
     empty table gives no rows. Ids are taken to be unique.
@@ -131,9 +160,10 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vec_col)
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(2).collect()
     if not common:
         return spark.createDataFrame([], schema)
+    rarer = _among_rarer(rows.where(F.size("v") != common[0]["d"]), common[1]["n"], k, every) if len(common) > 1 else None
     rows = rows.where(F.size("v") == common[0]["d"])
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
     norm = math.sqrt(rows.agg(F.max(square)).first()[0])
@@ -210,6 +240,9 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
 
     keys = ["list", "block", "part"]
     pairs = vectors_in.groupBy(*keys).cogroup(asked_in.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double")
-    pairs = pairs.union(asked.where("list is null").select("query_id", "vec_id", "score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = pairs.union(asked.where("list is null").select("query_id", "vec_id", "score"))
+    if rarer is not None:
+        pairs = pairs.union(rarer)
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
