@@ -235,3 +235,73 @@ def test_pipeline_contract(spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "None"]
     assert cp.repeated_passages(spark, docs, "").schema.names == docs.columns
     assert cp.packing(spark, docs, "").count() >= 6
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path, monkeypatch):
+    """run() over a folder: the documents after each stage, and the ids of its windows."""
+    import collections
+
+    import corpus_pipeline as cp
+    from test_text_operators import SPACE, LOW, brute_hits
+
+    docs, labels = labelled(spark, 300)
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("aeioust") for _ in range(6)) for _ in range(n))
+    leak, passage, near = text(60), text(50), text(90)
+    planted = [(1000, " ".join(leak.split()[:30])), (1001, f"{text(30)} {' '.join(leak.split()[30:])}"), (1002, f"{text(20)} {passage}"), (1003, f"{passage} {text(20)}"), (1004, near), (1005, near + " more"), (1006, near + " more words"), (None, text(40)), (1007, text(40)), (1007, text(40))]
+    rows = [(r["doc_id"], r["text"], r["lang"], "s", len(r["text"] or "")) for r in docs.collect()] + [(i, t, "en", "s", len(t)) for i, t in planted]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(1, leak)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    after, plain = {}, cp.stored
+
+    def recorded(df, name):
+        out = plain(df, name)
+        after[name.removeprefix("pipeline-")] = [tuple(r) for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(cp, "stored", recorded)
+    windows = cp.run(spark, str(tmp_path)).collect()
+    bag = collections.Counter
+
+    clean = after["toxicity"]
+    toxic = lambda r: "zz" in (r[1] or "")
+    assert not bag(clean) - bag(rows) and sum(map(toxic, clean)) <= 0.05 * sum(map(toxic, rows))
+    assert sum(not toxic(r) for r in clean) >= 0.97 * sum(not toxic(r) for r in rows)
+
+    words = [SPACE.findall((r[1] or "").encode().translate(LOW)) for r in clean]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in words]
+    group = list(range(len(clean)))
+    for a in range(len(clean)):
+        for b in range(a):
+            if sets[a] and group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for g, r in zip(group, clean):
+        if r[0] is not None and (g not in first or r[0] < first[g][0]):
+            first[g] = r
+    assert bag(after["near_duplicates"]) == bag(first.values()) + bag(r for r in clean if r[0] is None)
+
+    before = [(r, SPACE.findall((r[1] or "").encode())) for r in after["near_duplicates"]]
+    seen = bag(tuple(w[k : k + 35]) for _, w in before for k in range(len(w) - 34))
+    want = []
+    for r, w in before:
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        t = b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else r[1] or ""
+        want.append((r[0], t, *r[2:4], len(t)))
+    fixed = lambda r: (r[0], r[1] or "", *r[2:4], r[4] or 0)
+    assert bag(map(fixed, after["repeated_passages"])) == bag(want)
+
+    assert len(first) < len(clean) and sum(r[1] != w[1] for r, w in zip(after["near_duplicates"], want)) >= 2
+    bad = {k[0] for k in brute_hits([(j, r[1]) for j, r in enumerate(after["repeated_passages"])], items) if k[4]}
+    assert len(bad) == 2
+    assert bag(after["benchmark_leaks"]) == bag(r for j, r in enumerate(after["repeated_passages"]) if j not in bad)
+
+    pieces, ids = collections.defaultdict(list), reference_ids("word_bpe_49k.json", 1)
+    for r in windows:
+        pieces[r["doc_id"]].append((r["start"], r["ids"]))
+    for i, t, *_ in after["benchmark_leaks"]:
+        if i not in (None, 1007):
+            assert sum((p for _, p in sorted(pieces[i])), []) == ids(t).tolist()
+    assert set(pieces) == {r[0] for r in after["benchmark_leaks"]}
