@@ -96,13 +96,13 @@ def test_jaccard_components(docs, empty, n, num, den):
 
 
 def test_large_groups_are_split_into_blocks(spark):
-    """More near copies than two blocks hold: blocks must lose no link."""
-    from tidemill.llm.jaccard_join import BLOCK, jaccard_components
+    """More near copies than two places hold: places must lose no link."""
+    from tidemill.llm.jaccard_join import PLACE, jaccard_components
 
     rng = random.Random(2)
     base = [f"w{k}" for k in range(100)]
     rows = []
-    for i in range(2 * BLOCK + 60):
+    for i in range(2 * PLACE + 60):
         w = list(base)
         for _ in range(rng.randint(0, 2)):
             w[rng.randrange(100)] = f"x{rng.randrange(10**6)}"

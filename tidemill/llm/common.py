@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,20 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 SLICE_BYTES = 1 << 20  # text bytes handled by numpy at a time; one longer document is a slice of its own
 CHUNK_DOCS = 400  # documents of one reply chunk, on average
+CHUNK_BYTES = 4 << 20  # and its bytes
+BUCKET_BYTES = 16 << 20  # bytes of an exchange bucket, on average; a task holds one at a time
+HEAVY = 2_000  # a key is heavy from this share (1 / HEAVY) of all rows on, so that there are never more than HEAVY such keys
 
 
 # ---------------------------------------------------------------- shared folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a folder of our own only where none is set."""
+    """Folder that driver and executors share; one of our own only where none is set and all run in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemill-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -60,12 +65,36 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables of one operator's run that are deleted once its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            forget(self.spark, path)
+        self.paths = []
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def chunk_count(n_rows: int) -> int:
-    return max(1, -(-n_rows // CHUNK_DOCS))
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    """Buckets of an exchange of so many bytes: BUCKET_BYTES each on average, one for each partition at least."""
+    return max(partitions(spark), -(-n_bytes // BUCKET_BYTES))
+
+
+def chunk_count(n_rows: int, n_bytes: int = 0) -> int:
+    """Reply chunks: neither more documents nor more bytes than CHUNK_DOCS and CHUNK_BYTES each, on average."""
+    return max(1, -(-n_rows // CHUNK_DOCS), -(-n_bytes // CHUNK_BYTES))
 
 
 def chunk_of(n_chunks: int, *cols: Column) -> Column:
@@ -73,6 +102,20 @@ def chunk_of(n_chunks: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n_chunks)).cast("int")
 
 
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row for a key and the number of rows with that key as its weight.
+
+    Keys that hold more than 1 / HEAVY of all rows are at most HEAVY, so that their
+    part of the table is broadcast and their rows stay where they are; the rest is
+    joined by a shuffle in which no key is large. how: inner or left. rows and table
+    are read twice and should be stored.
+    """
+    limit = total // HEAVY
+    heavy = F.broadcast(table.where(F.col(weight) > limit))
+    light = rows.join(F.broadcast(table.where(F.col(weight) > limit).select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= limit), keys, how)
+    return rows.join(heavy, keys).unionByName(light)
+
+
 # ---------------------------------------------------------------- hashing
 
 _BYTE = None
@@ -196,7 +239,7 @@ _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("more
 
 
 def packed(keys: np.ndarray, chunks: np.ndarray, buckets: int, more: np.ndarray | None = None) -> pa.RecordBatch:
-    """Distinct (key, chunk) of a sub-batch, one row per bucket; a weight of 2 says that it came more than once."""
+    """Distinct (key, chunk) of a sub-batch, one row per bucket; the weight says how often it came, up to 255."""
     chunks = chunks.astype(np.uint32)
     order = np.lexsort((keys, chunks)) if more is None else np.lexsort((more, keys, chunks))
     k, c = keys[order], chunks[order]
@@ -207,7 +250,7 @@ def packed(keys: np.ndarray, chunks: np.ndarray, buckets: int, more: np.ndarray
         if m is not None:
             new[1:] |= m[1:] != m[:-1]
     at = np.flatnonzero(new)
-    weight = np.minimum(np.diff(np.append(at, len(k))), 2).astype(np.uint8)
+    weight = np.minimum(np.diff(np.append(at, len(k))), 255).astype(np.uint8)
     k, c, m = k[at], c[at], None if m is None else m[at]
     bucket = (k % U64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -227,24 +270,43 @@ def _joined(parts: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
+def per_bucket(entries: DataFrame, reduce: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Hand each bucket's rows to reduce, as lists by column, one bucket after another: a task holds one bucket at a time."""
+    n = partitions(entries.sparkSession)
+
+    def run(batches):
+        now, held = None, {}
+        for b in batches:
+            which = b.column("bucket").to_numpy()
+            cut = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else []
+            for x, y in zip(cut, np.append(cut[1:], len(which))):
+                if which[x] != now:
+                    if now is not None:
+                        yield from reduce(held)
+                    now, held = which[x], {c: [] for c in b.schema.names}
+                part = b.slice(x, y - x)
+                for c in held:
+                    held[c] += part.column(c).to_pylist()
+        if now is not None:
+            yield from reduce(held)
+
+    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+SHARED = "chunk int, keys binary, leads binary, levels binary"
+_SHARED_ARROW = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("leads", pa.binary()), ("levels", pa.binary())])
+
+
 def shared_keys(entries: DataFrame) -> DataFrame:
-    """(chunk, keys, leads): for each chunk, those of its keys that come at least twice over all chunks.
+    """(chunk, keys, leads, levels): for each chunk, those of its keys that come at least twice over all chunks.
 
-    leads says for which of them the chunk is the smallest that has the key.
-    A partition holds the entries of its buckets, packed; its size follows the
-    number of distinct (key, sub-batch) pairs over the number of partitions, so
-    that a frequent key costs one entry per chunk that has it.
+    leads says for which of them the chunk is the smallest that has the key, levels
+    grow with how often a key comes (8 a doubling). A task holds one bucket's
+    entries at a time; a frequent key costs one entry per chunk that has it.
     """
 
-    def reduce(batches):
-        k, m, c, w = [], [], [], []
-        for b in batches:
-            k += b.column("keys").to_pylist()
-            m += b.column("more").to_pylist()
-            c += b.column("chunks").to_pylist()
-            w += b.column("weights").to_pylist()
-        keys, chunks, weights = _joined(k, U64), _joined(c, np.uint32), _joined(w, np.uint8)
-        more = _joined(m, U64)
+    def reduce(held):
+        keys, chunks, weights, more = _joined(held["keys"], U64), _joined(held["chunks"], np.uint32), _joined(held["weights"], np.uint8), _joined(held["more"], U64)
         if not len(keys):
             return
         two = len(more) == len(keys)
@@ -256,23 +318,24 @@ def shared_keys(entries: DataFrame) -> DataFrame:
             new[1:] |= more[1:] != more[:-1]
         at = np.flatnonzero(new)
         total = np.add.reduceat(weights.astype(np.int64), at)
-        keep = np.repeat(total >= 2, np.diff(np.append(at, len(keys))))
-        keys, chunks, leads = keys[keep], chunks[keep], new[keep]
+        times = np.diff(np.append(at, len(keys)))
+        keep = np.repeat(total >= 2, times)
+        level = np.repeat(np.minimum(255, 8 * np.log2(total)).astype(np.uint8), times)
+        keys, chunks, leads, level = keys[keep], chunks[keep], new[keep], level[keep]
         order = np.lexsort((~leads, keys, chunks))
-        keys, chunks, leads = keys[order], chunks[order], leads[order]
+        keys, chunks, leads, level = keys[order], chunks[order], leads[order], level[order]
         if not len(keys):
             return
         new = np.append(True, (chunks[1:] != chunks[:-1]) | (keys[1:] != keys[:-1]))
-        keys, chunks, leads = keys[new], chunks[new], leads[new]
+        keys, chunks, leads, level = keys[new], chunks[new], leads[new], level[new]
         cut = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1]))
         ranges = list(zip(cut, np.append(cut[1:], len(keys))))
         yield pa.RecordBatch.from_pydict(
-            {"chunk": chunks[cut].astype(np.int32), "keys": [keys[a:b].tobytes() for a, b in ranges], "leads": [leads[a:b].tobytes() for a, b in ranges]},
-            schema=pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("leads", pa.binary())]),
+            {"chunk": chunks[cut].astype(np.int32), "keys": [keys[a:b].tobytes() for a, b in ranges], "leads": [leads[a:b].tobytes() for a, b in ranges], "levels": [level[a:b].tobytes() for a, b in ranges]},
+            schema=_SHARED_ARROW,
         )
 
-    n = partitions(entries.sparkSession)
-    return entries.repartition(n, "bucket").mapInArrow(reduce, "chunk int, keys binary, leads binary")
+    return per_bucket(entries, reduce, SHARED)
 
 
 def key_set(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

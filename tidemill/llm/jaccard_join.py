@@ -1,21 +1,27 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents become sets of word shingles; equal sets are one class. Partitioning: where
-the threshold is high, a set is cut into parts by a hash of its shingles, as many parts as two sets of
-about its size can differ in shingles and still link, and more, so that linked sets
-agree on at least one whole part. At lower thresholds parts would hold few
-shingles and common lines would make them agree, so sets offer their rarest shingles
-instead, as many as two linked sets cannot both miss. Sets that agree on a part or
-shingle are joined into groups of similar documents, which are split into blocks of bounded size, and only
-pairs of blocks whose sizes allow a link meet.
-
-Where two blocks meet, their sets are dealt to small groups. The token-group
-matrix holds each group's token union; a query's overlap with the union bounds its
-overlap with every member, so only groups that reach the bound are opened, and of
-those only such as can still join two components. An opened group is compared
-exactly. What leaves a task is a spanning forest of its links, never all pairs.
-
-The search is exact for the 64-bit shingle names: parts and prefixes miss no linked pair.
+Documents become sets of word shingles; equal sets are one class. Shingles have a
+hash order, and a set's prefix is so many of its first shingles that two linked sets
+have at least `agreed` of them in common.
+
+1. An exchange of prefixes tells each set which of its prefix shingles other sets
+   have, and how many do. Sets with too few such shingles link with nothing.
+2. The rest are dealt to places by their first common shingle under two hash orders,
+   so that similar sets meet. A place holds a bounded number of sets; a shingle with
+   more has several places, and its most typical set, the hub, goes to all of them.
+   Inside a place, links are found by the token-group matrix. Their components are
+   the groups: what is already connected needs no further look.
+3. Sets of different components that share one of their rarest prefix shingles, as
+   many as two linked sets cannot both miss, may still link. Components are cut into
+   groups of bounded number and similar size, and each group's token union is stored.
+   A set's overlap with the union bounds its overlap with every member, so its
+   shingles go only to groups that reach the bound. Those are opened and compared
+   exactly, until one link joins the components.
+
+The token-group matrix of a place holds the token unions of small groups of its sets:
+a query opens only groups whose union reaches the bound and that can still join two
+components. Links leave as spanning forests, never as all pairs. The search is exact
+for the 64-bit shingle names; sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -27,25 +33,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix64, numbered, partitions, rolling, stored, text_slices
+from .common import PACKED, U64, Scratch, Words, bucket_count, chunk_count, mix64, numbered, packed, per_bucket, rolling, shared_keys, split_join, stored, text_slices
 from .components import components
 
-BLOCK = 128  # sets of a block
-GROUP = 16  # sets whose tokens are united in the matrix
-SKETCH = 1 << 22  # counters of the frequency sketch that orders shingles for prefixes
-FIRM_PART = 8  # shingles that a part must hold on average; below, groups come from prefixes
-FILTER_BITS = 1 << 25  # of the bitmap that spares other texts a shuffle
-SPARE = 2  # parts above the need, so that empty parts rarely matter
+PLACE = 256  # sets of a place
+PLACE_BYTES = 8 << 20  # and bytes of their shingles, on average
+UNITE = 64  # sets of a stored group
+GROUP = 16  # sets whose tokens are united in a place's matrix
+ASKED = 1_000  # queries that meet a group in one task
+SPREAD = 8  # of the shingles that linked sets share, one in so many must be in both prefixes
+FILTER_BITS = range(17, 31)  # powers of two that the bitmap over wanted texts may have, 16 bits a text as far as they go (128 MB)
+_SALTS = (U64(0), U64(0x9FB21C651E98DF25))
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-@lru_cache(maxsize=64)
-def bands(num: int, den: int, most: int) -> np.ndarray:
-    """Lower bounds of size bands: sets that link are of one band or of neighbours."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * den // num + 1)
-    out.append(out[-1] * den // num + 1)
-    return np.array(out)
+class Measure:
+    """What a threshold num / den asks of sets of given sizes; sizes may be arrays."""
+
+    def __init__(self, num: int, den: int):
+        if not 0 < num <= den:
+            raise ValueError("the threshold must be above 0 and at most 1")
+        self.num, self.den = num, den
+
+    def least(self, n):
+        """Shingles that a set of n has in common with any set it links with; also the smallest such set."""
+        return -(-self.num * n // self.den)
+
+    def agreed(self, n):
+        """Shingles in common that the prefixes of linked sets must show, the smaller having n."""
+        return np.maximum(1, self.least(n) // SPREAD)
+
+    def prefix(self, n):
+        return n - self.least(n) + self.agreed(n)
+
+    def links(self, both, n, m):
+        return self.den * both >= self.num * (n + m - both)
+
+    @lru_cache(maxsize=8)
+    def bands(self, most: int) -> np.ndarray:
+        """Lower bounds of size bands: sets that link are of one band or of neighbours."""
+        out = [1]
+        while out[-1] <= most:
+            out.append(out[-1] * self.den // self.num + 1)
+        return np.array(out)
 
 
 def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
@@ -65,80 +95,17 @@ def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def set_name(s: np.ndarray) -> int:
-    """A set's class, as a signed 64-bit number."""
-    x = mix64(np.array([mix64(s ^ U64(0x8EBC6AF09C88C6E3)).sum(dtype=U64) + U64(len(s))], U64))
-    return int(x.view(np.int64)[0])
-
-
-def part_names(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Names of the parts that a set offers: those of its own band's scheme and of the one below."""
-    n = len(s)
-    edges = bands(num, den, max(n, 1) * 2)
-    band = int(np.searchsorted(edges, n, "right")) - 1
-    out = []
-    for scheme in (band - 1, band):
-        if scheme < 0:
-            continue
-        differ = int(edges[scheme + 1] - 1) * (den - num) // num
-        if not differ:
-            continue  # only equal sets link
-        spare = SPARE if differ >= 6 else 0
-        parts = differ + 1 + spare
-        salt = U64(0x9FB21C651E98DF25 * (scheme + 1) & (2**64 - 1))
-        f = mix64(s ^ salt)
-        part = (f % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cut = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
-        total = np.add.reduceat(mix64(f)[order], cut)
-        out.append(mix64(total ^ (part[order][cut].astype(U64) * U64(0xD6E8FEB86659FD93) + salt)))
-        if parts - len(cut) > spare:
-            none = np.setdiff1d(np.arange(parts), part).astype(U64)
-            out.append(mix64(none * U64(0xCA5A826395121157) ^ ~salt))
-    return np.concatenate(out) if out else np.empty(0, U64)
-
-
-def prefix_names(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A set's rarest shingles, so many that two sets that link have one in common."""
-    n = len(s)
-    take = n - -(-num * n // den) + 1
-    level = levels[(s % U64(SKETCH)).astype(np.int64)]
-    return s[np.lexsort((s, level))[:take]]
-
-
-def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
-    """Levels (logarithms) of how many sets hold a shingle, in SKETCH counters: 4 MB, however large the table.
-
-    Counters are shared by shingles that fall together, which only changes the
-    order in which shingles are taken; any order finds all links.
-    """
-    width = 1 << 16
-
-    def count(batches):
-        c = np.zeros(SKETCH, np.uint32)
-        for b in batches:
-            for _, _, sets in _sets(b.column(0), n):
-                if sets:
-                    np.add.at(c, (np.concatenate(sets) % U64(SKETCH)).astype(np.int64), 1)
-        c = np.minimum(c, 65535).astype(np.uint16)
-        blocks = [k for k in range(SKETCH // width) if c[k * width : (k + 1) * width].any()]
-        yield pa.RecordBatch.from_pydict({"block": blocks, "counts": [c[k * width : (k + 1) * width].tobytes() for k in blocks]}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
-
-    schema = pa.schema([("block", pa.int32()), ("levels", pa.binary())])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
-                c = np.frombuffer(x.as_py(), np.uint16)
-                total[k] = total[k] + c if k in total else c.astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"block": list(total), "levels": [(4 * np.log2(c + 1.0)).astype(np.uint8).tobytes() for c in total.values()]}, schema=schema)
-
-    counted = rows.select("text").mapInArrow(count, "block int, counts binary")
-    out = np.zeros(SKETCH, np.uint8)
-    for r in counted.repartition(partitions(rows.sparkSession), "block").mapInArrow(add, "block int, levels binary").toLocalIterator():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
-    return out
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of sets, as two signed numbers; 0, 0 for an empty one."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((2, len(sets)), U64)
+    full = np.flatnonzero(n)
+    if len(full):
+        cat = np.concatenate([sets[k] for k in full])
+        at = np.append(0, np.cumsum(n[full])[:-1])
+        for row, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
+            out[row, full] = mix64(np.add.reduceat(mix64(cat ^ U64(salt)), at) + n[full].astype(U64))
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def _sets(col: pa.Array, n: int):
@@ -146,73 +113,318 @@ def _sets(col: pa.Array, n: int):
         yield i, j, shingle_sets(Words(buf, off, lower=True), n)
 
 
-def _star_edges(batches):
-    """Of all sets of a partition that offer the same part: each with the smallest."""
-    keys, names = [], []
-    for b in batches:
-        keys += [np.frombuffer(x, U64) for x in b.column("keys").to_pylist()]
-        for s, c in zip(b.column("sets").to_pylist(), b.column("counts").to_pylist()):
-            names.append(np.repeat(np.frombuffer(s, np.int64), np.frombuffer(c, np.uint32)))
-    if not keys:
-        return
-    k, s = np.concatenate(keys), np.concatenate(names)
-    order = np.lexsort((s, k))
-    k, s = k[order], s[order]
-    at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    size = np.diff(np.append(at, len(k)))
-    least = np.repeat(s[at], size)
-    keep = least != s
-    pair = np.unique(np.stack([s[keep], least[keep]]), axis=1) if keep.any() else np.empty((2, 0), np.int64)
-    yield pa.RecordBatch.from_pydict({"a": pair[0], "b": pair[1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-
-def link_forest(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph den * |A & B| >= num * |A | B| over non-empty sets."""
+def link_forest(sets: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
+    """Links (place, place) of a spanning forest of the graph of links over non-empty sets, by a token-group matrix."""
     m = len(sets)
-    order = sorted(range(m), key=lambda k: (sets[k][:3].tolist(), len(sets[k]), int(names[k])))
-    names, sets = names[order], [sets[k] for k in order]
+    order = sorted(range(m), key=lambda k: (sets[k][:3].tolist(), len(sets[k])))
+    sets = [sets[k] for k in order]
     n = np.array([len(s) for s in sets])
     cat = np.concatenate(sets)
     _, ids = np.unique(cat, return_inverse=True)
     off = np.append(0, np.cumsum(n))
     group = np.arange(m) // GROUP
-    n_groups = int(group[-1]) + 1
-    matrix = np.zeros((int(ids.max()) + 1, n_groups), bool)
+    matrix = np.zeros((int(ids.max()) + 1, int(group[-1]) + 1), bool)
     matrix[ids, np.repeat(group, n)] = True
-    root = list(range(m))
+    part = np.arange(m)
+    out = []
+    mark = np.zeros(len(matrix), bool)
+    for q in range(m - 1):
+        apart = np.flatnonzero(part[q + 1 :] != part[q]) + q + 1
+        apart = apart[(n[apart] >= measure.least(n[q])) & (n[q] >= measure.least(n[apart]))]
+        if not len(apart):
+            continue
+        mine = ids[off[q] : off[q + 1]]
+        maybe = np.unique(group[apart])
+        bound = matrix[np.ix_(mine, maybe)].sum(0)
+        maybe = maybe[bound >= measure.least(n[q])]
+        if not len(maybe):
+            continue
+        mark[mine] = True
+        for g in maybe.tolist():
+            for k in apart[group[apart] == g].tolist():
+                if part[k] != part[q] and measure.links(int(mark[ids[off[k] : off[k + 1]]].sum()), n[q], n[k]):
+                    part[part == part[k]] = part[q]
+                    out.append((order[q], order[k]))
+        mark[mine] = False
+    return out
+
+
+def _star(edges: list[tuple[int, int]], names: np.ndarray, hub: int | None) -> list[tuple[int, int]]:
+    """Edges that connect what a forest does, each set with the smallest of its component but the hub, which gets one edge from there."""
+    root = list(range(len(names)))
 
-    def find(k: int) -> int:
+    def find(k):
         while root[k] != k:
             root[k] = root[root[k]]
             k = root[k]
         return k
 
+    for a, b in edges:
+        root[find(a)] = find(b)
+    parts: dict[int, list[int]] = {}
+    for k in {x for e in edges for x in e}:
+        parts.setdefault(find(k), []).append(k)
     out = []
-    mark = np.zeros(len(matrix), bool)
-    for q in range(m - 1):
-        mine = ids[off[q] : off[q + 1]]
-        bound = matrix[mine, group[q] :].sum(0)
-        roots = None
-        for g in (np.flatnonzero(den * bound >= num * n[q]) + group[q]).tolist():
-            a, b = max(q + 1, g * GROUP), min(m, (g + 1) * GROUP)
-            if a >= b:
+    for members in parts.values():
+        members.sort(key=lambda k: (names[k] == hub, names[k]))
+        out += [(int(names[k]), int(names[members[0]])) for k in members[1:]]
+    return out
+
+
+def _rows(table: pa.Table, ids: str, value: str) -> dict:
+    """The first value of each id."""
+    out: dict[int, bytes] = {}
+    for name, s in zip(table.column(ids).to_pylist(), table.column(value).to_pylist()):
+        out.setdefault(name, s)
+    return out
+
+
+_LIVE = [("sid", pa.int64()), ("size", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("hash", pa.int64()), ("homes", pa.list_(pa.int64())), ("typical", pa.float64()), ("prefix", pa.binary()), ("rare", pa.binary())]
+_LIVE_SQL = "sid long, size long, hi long, lo long, hash long, homes array<long>, typical double, prefix binary, rare binary"
+
+
+def _common_sets(measure: Measure):
+    """Of a chunk's sets, those with enough prefix shingles that other sets have."""
+    schema = pa.schema(_LIVE)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(right.column("keys").to_pylist()), U64)
+        if not left.num_rows or not len(keys):
+            return schema.empty_table()
+        level = np.frombuffer(b"".join(right.column("levels").to_pylist()), np.uint8)
+        order = np.argsort(keys)
+        keys, level = keys[order], level[order]
+        out = {n: [] for n in schema.names}
+        for r in left.select(["sid", "size", "hi", "lo", "hash", "prefix"]).to_pylist():
+            own = np.frombuffer(r["prefix"], U64)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            known = keys[at] == own
+            must = int(measure.agreed(measure.least(r["size"])))
+            if known.sum() < must:
                 continue
-            here = find(q)
-            todo = [k for k in range(a, b) if find(k) != here]
-            if not todo:
+            common = own[known]
+            rare = np.lexsort((common, level[at[known]]))[: max(0, int(known.sum()) - must + 1)]  # shingles of its own come first in the order and are left out
+            homes = [int(mix64(common ^ salt).min().view(np.int64)) ^ k for k, salt in enumerate(_SALTS)]
+            for n, v in zip(schema.names, (r["sid"], r["size"], r["hi"], r["lo"], r["hash"], homes, len(common) / len(own), common.tobytes(), common[rare].tobytes())):
+                out[n].append(v)
+        return pa.Table.from_pydict(out, schema=schema)
+
+    return run
+
+
+def _wanted_sets(rows: DataFrame, live: DataFrame, n_live: int, n: int) -> DataFrame:
+    """(sid, shingles) of the sets that may link, taken from the texts again; a bitmap keeps most other texts out."""
+    power = next((p for p in FILTER_BITS if 1 << p >= 16 * n_live), FILTER_BITS[-1])
+    size = 1 << power
+    slot = F.pmod("hash", F.lit(size))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in live.groupBy((slot / 32768).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(hash, {size}) % 32768)").alias("map")).toLocalIterator():
+        bits[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["map"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            at = b.column(1).to_numpy(zero_copy_only=False)
+            some = b.column(0).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for _, _, sets in _sets(some, n):
+                hi, lo = set_names(sets)
+                fresh: dict[tuple[int, int], bytes] = {}
+                for x, y, s in zip(hi.tolist(), lo.tolist(), sets):
+                    if len(s) and (x, y) not in fresh:
+                        fresh[x, y] = s.tobytes()
+                yield pa.RecordBatch.from_pydict({"hi": [x for x, _ in fresh], "lo": [y for _, y in fresh], "shingles": list(fresh.values())}, schema=schema)
+
+    found = rows.select("text", slot.alias("slot")).mapInArrow(run, "hi long, lo long, shingles binary")
+    return found.groupBy("hi", "lo").agg(F.first("shingles").alias("shingles")).join(live.select("hi", "lo", "sid"), ["hi", "lo"]).select("sid", "shingles")
+
+
+def _links_at_homes(work: Scratch, live: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): links of sets that meet at a place, as stars."""
+    at = work.store(live.select("sid", "size", "typical", F.explode("homes").alias("home")), "homes")
+    best = F.max_by("sid", F.struct("typical", "size", "sid")).alias("hub")
+    parts = F.greatest(F.ceil(F.col("n") / PLACE), F.ceil(F.col("bytes") / PLACE_BYTES)).cast("int")
+    homes = work.store(at.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"), best).where("n > 1").select("home", "n", "hub", parts.alias("parts")), "home-sizes")
+    own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    placed = split_join(at.select("sid", "home"), homes, ["home"], "n", at.count())
+    placed = placed.select("sid", "home", "hub", F.explode(F.when(F.col("sid") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))).alias("part"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        held = _rows(table, "sid", "shingles")
+        if len(held) < 2:
+            return _PAIR.empty_table()
+        names = np.array(list(held), np.int64)
+        pairs = _star(link_forest([np.frombuffer(s, U64) for s in held.values()], measure), names, table.column("hub")[0].as_py())
+        return pa.Table.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, schema=_PAIR)
+
+    return placed.join(sets, "sid").groupBy("home", "part").applyInArrow(meet, "a long, b long")
+
+
+_RARE = [("bucket", pa.int32()), ("tokens", pa.binary()), ("sids", pa.binary()), ("groups", pa.binary()), ("comps", pa.binary()), ("weights", pa.binary()), ("bands", pa.binary())]
+_RARE_SQL = "bucket int, tokens binary, sids binary, groups binary, comps binary, weights binary, bands binary"
+
+
+def _offer_rare(buckets: int):
+    schema = pa.schema(_RARE)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            if roots is None:
-                mark[mine] = True
-                roots = True
-            both = np.add.reduceat(mark[ids[off[a] : off[b]]], off[a:b] - off[a], dtype=np.int64)
-            link = den * both >= num * (n[q] + n[a:b] - both)
-            for k in todo:
-                if link[k - a] and find(k) != find(q):
-                    root[find(k)] = find(q)
-                    out.append((int(names[q]), int(names[k])))
-        if roots:
-            mark[mine] = False
-    return out
+            parts = [np.frombuffer(x, U64) for x in b.column("rare").to_pylist()]
+            k = np.concatenate(parts)
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            bucket = (k % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            k, owner, bucket = k[order], owner[order], bucket[order]
+            cols = [b.column(c).to_numpy() for c in ("sid", "grp", "comp", "weight", "band")]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(k) else np.empty(0, int)
+            out = {n: [] for n in schema.names}
+            for x, y in zip(cut, np.append(cut[1:], len(k))):
+                out["bucket"].append(int(bucket[x]))
+                out["tokens"].append(k[x:y].tobytes())
+                for n, c in zip(schema.names[2:], cols):
+                    out[n].append(c[owner[x:y]].astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return run
+
+
+_ASK = pa.schema([("sid", pa.int64()), ("grp", pa.int64())])
+
+
+def _queries(held: dict):
+    """Distinct (sid, grp) of a bucket: sets and groups of other components that share a rare shingle and may fit in size.
+
+    Of two components, the one with fewer sets asks and the other is asked.
+    """
+    token = np.frombuffer(b"".join(held["tokens"]), U64)
+    sid, grp, comp, weight, band = (np.frombuffer(b"".join(held[c]), np.int64) for c in ("sids", "groups", "comps", "weights", "bands"))
+    order = np.lexsort((grp, comp, token))
+    token, sid, grp, comp, weight, band = (x[order] for x in (token, sid, grp, comp, weight, band))
+    if not len(token):
+        return
+    at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    end = np.append(at[1:], len(token))
+    mixed = comp[at] != comp[end - 1]
+    at, end = at[mixed], end[mixed]
+    found, n = [], 0
+
+    def pairs(i, j):
+        """Of entries i and groups of entries j."""
+        light = (weight[i] < weight[j]) | ((weight[i] == weight[j]) & (comp[i] < comp[j]))
+        ok = light & (comp[i] != comp[j]) & (np.abs(band[i] - band[j]) <= 1)
+        return np.stack([sid[i[ok]], grp[j[ok]]], axis=1)
+
+    def flush():
+        p = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_ASK)
+
+    for a, b in zip(at.tolist(), end.tolist()):
+        every = np.arange(a, b)
+        heads = every[np.append(True, (grp[a + 1 : b] != grp[a : b - 1]))]  # an entry of each group
+        step = max(1, (1 << 20) // len(heads))
+        for x in range(a, b, step):
+            i = np.arange(x, min(b, x + step))
+            p = pairs(np.repeat(i, len(heads)), np.tile(heads, len(i)))
+            if len(p):
+                found.append(p)
+                n += len(p)
+            if n > 1 << 20:
+                yield flush()
+                found, n = [], 0
+    if n:
+        yield flush()
+
+
+_UNION = pa.schema([("grp", pa.int64()), ("smallest", pa.int64()), ("largest", pa.int64()), ("tokens", pa.binary())])
+
+
+def _unite(table: pa.Table) -> pa.Table:
+    tokens = np.unique(np.concatenate([np.frombuffer(x, U64) for x in table.column("prefix").to_pylist()]))
+    size = table.column("size").to_numpy()
+    return pa.Table.from_pydict({"grp": [table.column("grp")[0].as_py()], "smallest": [int(size.min())], "largest": [int(size.max())], "tokens": [tokens.tobytes()]}, schema=_UNION)
+
+
+def _links_across(work: Scratch, live: DataFrame, sets: DataFrame, known: DataFrame, measure: Measure, top: int) -> DataFrame | None:
+    """(a, b): a link between any two components of known that have one, for the remaining pairs of sets; None if no pair remains."""
+    spark = live.sparkSession
+    edges = F.array(*[F.lit(int(x)) for x in measure.bands(top)])
+    tagged = live.join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component", "homes", "typical", "hi", "lo", "hash")
+    tagged = work.store(tagged.withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("size"))).cast("long")), "tagged")
+    n_live = tagged.count()
+    slim = tagged.select("sid", "comp", "band", "size")
+    per_comp = work.store(slim.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "component-sizes")
+    per_band = slim.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"))
+    per_band = work.store(per_band.withColumn("blocks", F.greatest(F.ceil(F.col("n") / UNITE), F.ceil(F.col("bytes") / PLACE_BYTES))), "band-sizes")
+    weighed = work.store(split_join(tagged, per_comp, ["comp"], "weight", n_live), "weighed")
+    grp = F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    grouped = work.store(split_join(weighed, per_band, ["comp", "band"], "n", n_live).withColumn("grp", grp).drop("n", "bytes", "blocks"), "grouped")
+
+    buckets = bucket_count(spark, 48 * (tagged.agg(F.sum(F.octet_length("rare"))).first()[0] or 0) // 8)
+    offered = grouped.select("sid", "grp", "comp", "weight", "band", "rare").mapInArrow(_offer_rare(buckets), _RARE_SQL)
+    asked = work.store(per_bucket(offered, _queries, "sid long, grp long").distinct(), "asked")
+    load = work.store(asked.groupBy("grp").agg(F.count(F.lit(1)).alias("q")).withColumn("parts", F.ceil(F.col("q") / ASKED).cast("int")), "asked-sizes")
+    if load.isEmpty():
+        return None
+    unions = work.store(grouped.join(load.select("grp"), "grp", "left_semi").select("grp", "size", "prefix").groupBy("grp").applyInArrow(_unite, "grp long, smallest long, largest long, tokens binary"), "unions")
+
+    def dealt(asked: DataFrame, load: DataFrame) -> DataFrame:
+        """Queries with the part of their group's queries that they are in."""
+        return split_join(asked, load.toDF(*load.columns), ["grp"], "q", n_asked).select("sid", "grp", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"))
+
+    def spread(table: DataFrame, load: DataFrame) -> DataFrame:
+        return table.join(load.toDF(*load.columns).select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "grp")
+
+    n_asked = asked.count()
+    queries = dealt(asked, load).join(tagged.toDF(*tagged.columns).select("sid", "size", "prefix"), "sid")
+
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _ASK.empty_table()
+        u = left.to_pylist()[0]
+        tokens = np.frombuffer(u["tokens"], U64)
+        keep = []
+        for k, (n, p) in enumerate(zip(right.column("size").to_pylist(), right.column("prefix").to_pylist())):
+            low = max(int(measure.least(n)), u["smallest"])
+            if u["largest"] < measure.least(n) or n < measure.least(u["smallest"]):
+                continue
+            own = np.frombuffer(p, U64)
+            at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+            if (tokens[at] == own).sum() >= measure.agreed(min(n, low)):
+                keep.append(k)
+        return right.select(["sid", "grp"]).take(pa.array(keep, pa.int64()))
+
+    fit = spread(unions, load).groupBy("grp", "part").cogroup(queries.groupBy("grp", "part")).applyInArrow(bound, "sid long, grp long")
+    fit = work.store(fit, "opened")
+    load = work.store(fit.groupBy("grp").agg(F.count(F.lit(1)).alias("q")).withColumn("parts", F.ceil(F.col("q") / ASKED).cast("int")), "opened-sizes")
+    if load.isEmpty():
+        return None
+    n_asked = fit.count()
+    members = spread(grouped.select("sid", "grp").join(load.select("grp"), "grp", "left_semi").join(sets, "sid"), load)
+    openers = dealt(fit, load).join(sets.toDF(*sets.columns), "sid")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _PAIR.empty_table()
+        held = _rows(left, "sid", "shingles")
+        names, inside = list(held), [np.frombuffer(s, U64) for s in held.values()]
+        size = np.array([len(s) for s in inside])
+        cat = np.concatenate(inside)
+        at = np.append(0, np.cumsum(size)[:-1])
+        found = [[], []]
+        for name, s in _rows(right, "sid", "shingles").items():
+            own = np.frombuffer(s, U64)
+            place = np.minimum(np.searchsorted(own, cat), len(own) - 1)
+            both = np.add.reduceat(own[place] == cat, at, dtype=np.int64)
+            hit = np.flatnonzero(measure.links(both, len(own), size))
+            if len(hit):  # all members are of one component, so one link will do
+                found[0].append(name)
+                found[1].append(names[hit[0]])
+        return pa.Table.from_pydict({"a": found[0], "b": found[1]}, schema=_PAIR)
+
+    return members.groupBy("grp", "part").cogroup(openers.groupBy("grp", "part")).applyInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,132 +435,66 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
     over links. Texts without words, and null ones, have no shingle, link with
     nothing and are their own component. Equal ids and rows that come twice are
     documents of their own with one id; a null id is never a component's name
-    unless all its members' ids are null. Other columns are ignored.
+    unless all its members' ids are null. Other columns are ignored, an empty table
+    gives no rows, and texts may have any length.
     """
-    num, den = threshold
-    if not 0 < num <= den:
-        raise ValueError("the threshold must be above 0 and at most 1")
+    measure = Measure(*threshold)
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = partitions(spark)
+    work = Scratch(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("prefix", pa.binary())])
 
     def describe(batches):
         for b in batches:
-            for i, j, sets in _sets(b.column(1), n):
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": b.column(0)[i:j], "n_shingles": [len(s) for s in sets], "set": [set_name(s) if len(s) else None for s in sets]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.int64())]),
-                )
-
-    base = stored(rows.mapInArrow(describe, "doc_id long, n_shingles long, set long"), "jaccard-sets")
-
-    firm = num >= FIRM_PART * (den - num)
-    levels = None if firm else frequency_levels(rows, n)
-
-    part_schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
-
-    def offer(batches):
-        for b in batches:
-            for i, j, sets in _sets(b.column(0), n):
-                seen, keys, names = set(), [], []
-                for s in sets:
-                    name = set_name(s)
-                    if len(s) and name not in seen:
-                        seen.add(name)
-                        keys.append(part_names(s, num, den) if firm else prefix_names(s, levels, num, den))
-                        names.append(name)
-                if not keys:
-                    continue
-                owner = np.repeat(np.array(names, np.int64), [len(k) for k in keys])
-                k = np.concatenate(keys)
-                bucket = (k % U64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")  # a set's parts stay together
-                k, owner, bucket = k[order], owner[order], bucket[order]
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(k) else np.empty(0, int)
-                out = {x: [] for x in part_schema.names}
-                for x, y in zip(cut, np.append(cut[1:], len(k))):
-                    o = owner[x:y]
-                    at = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-                    out["bucket"].append(int(bucket[x]))
-                    out["keys"].append(k[x:y].tobytes())
-                    out["sets"].append(o[at].tobytes())
-                    out["counts"].append(np.diff(np.append(at, y - x)).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=part_schema)
-
-    offered = rows.select("text").mapInArrow(offer, "bucket int, keys binary, sets binary, counts binary")
-    near = offered.repartition(buckets, "bucket").mapInArrow(_star_edges, "a long, b long")
-    groups = components(near).withColumnRenamed("id", "set").withColumnRenamed("component", "grp")
-
-    # one document stands for a set; where its group is larger than two blocks, the set goes to all pairs of blocks it may link in
-    top = base.agg(F.max("n_shingles")).first()[0] or 1
-    edges = F.array(*[F.lit(int(x)) for x in bands(num, den, top)])
-    one = base.where("set is not null").groupBy("set").agg(F.min("n_shingles").alias("size"), F.min("doc_id").alias("doc_id"))
-    members = stored(one.join(groups, "set").withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("size")))), "jaccard-members")
-    per_band = members.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("m"))
-    per_group = per_band.groupBy("grp").agg(F.sum("m").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).cast("int")))).alias("blocks"))
-    placed = members.join(per_group, "grp")
-    mine = F.pmod(F.xxhash64("set"), F.col("blocks")[F.col("band")]).cast("int")
-    own, up, down = (F.coalesce(F.try_element_at(F.col("blocks"), F.col("band") + d), F.lit(0)) for d in (0, 1, -1))
-
-    def others(count, make):
-        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), make)).otherwise(F.array().cast("array<string>"))
-
-    def key(b1, i, b2, j):
-        return F.concat_ws("/", F.col("grp"), b1, i, b2, j)
-
-    placed = placed.withColumn("mine", mine).select(
-        "set",
-        "doc_id",
-        F.when(F.col("total") <= 2 * BLOCK, F.array(F.col("grp").cast("string")))
-        .otherwise(
-            F.concat(
-                others(own, lambda j: key(F.col("band"), F.least("mine", j), F.col("band"), F.greatest("mine", j))),
-                others(up, lambda j: key(F.col("band"), F.col("mine"), F.col("band") + 1, j)),
-                others(down, lambda j: key(F.col("band") - 1, j, F.col("band"), F.col("mine"))),
-            )
-        )
-        .alias("places"),
+            for i, j, sets in _sets(b.column("text"), n):
+                size = [len(s) for s in sets]
+                none = pa.array([not k for k in size])
+                hi, lo = (pa.array(x, mask=none.to_numpy(zero_copy_only=False)) for x in set_names(sets))
+                prefix = pa.array([s[: int(measure.prefix(len(s)))].tobytes() if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("hash")[i:j], pa.array(size, pa.int64()), hi, lo, prefix], schema=schema)
+
+    described = work.store(rows.select("doc_id", "hash", "text").mapInArrow(describe, "doc_id long, hash long, n_shingles long, hi long, lo long, prefix binary"), "jaccard-described")
+    stats = described.agg(F.count("hi"), F.sum(F.octet_length("prefix")), F.max("n_shingles")).first()
+    n_rows, n_bytes, top = stats[0], stats[1] or 0, stats[2] or 1
+    n_chunks = chunk_count(n_rows, n_bytes)
+
+    one = described.where("hi is not null").groupBy("hi", "lo").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.min("hash").alias("hash"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix")
     )
-    held_schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary()), ("places", pa.list_(pa.string()))])
+    one = work.store(one.withColumn("sid", F.monotonically_increasing_id()).withColumn("chunk", F.pmod("hi", F.lit(n_chunks)).cast("int")), "jaccard-sets")
+    buckets = bucket_count(spark, 13 * n_bytes // 8)
 
-    def hold(batches):
-        for b in batches:
-            want, places = b.column(1).to_pylist(), b.column(2)
-            for i, j, sets in _sets(b.column(0), n):
-                named = [set_name(s) if len(s) else None for s in sets]
-                keep = [k for k in range(j - i) if named[k] == want[i + k]]
-                yield pa.RecordBatch.from_pydict({"set": [named[k] for k in keep], "shingles": [sets[k].tobytes() for k in keep], "places": places.take(pa.array([i + k for k in keep], pa.int64()))}, schema=held_schema)
-
-    # a bitmap of fixed size over the members' ids keeps most other texts out of the join; what it lets through by chance the join drops
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in members.groupBy((slot / 32768).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(xxhash64(doc_id), {FILTER_BITS}) % 32768)").alias("map")).toLocalIterator():
-        bits[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["map"], np.uint8)
-
-    def maybe(batches):
+    def offer(batches):
         for b in batches:
-            at = b.column(2).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select([0, 1])
-
-    rows = rows.select("doc_id", "text", slot.alias("slot")).mapInArrow(maybe, "doc_id long, text string")
-    held = rows.join(placed, rows.doc_id.eqNullSafe(placed.doc_id)).select("text", "set", "places").mapInArrow(hold, "set long, shingles binary, places array<string>")
-    edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def verify(table: pa.Table) -> pa.Table:
-        first: dict[int, bytes] = {}
-        for name, s in zip(table.column("set").to_pylist(), table.column("shingles").to_pylist()):
-            first.setdefault(name, s)
-        if len(first) < 2:
-            return edge_schema.empty_table()
-        found = link_forest(np.array(list(first), np.int64), [np.frombuffer(s, U64) for s in first.values()], num, den)
-        return pa.Table.from_pydict({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=edge_schema)
-
-    links = held.select("set", "shingles", F.explode("places").alias("place")).groupBy("place").applyInArrow(verify, "a long, b long")
-    linked = components(links).withColumnRenamed("id", "set")
-    named = one.select("set", "doc_id").join(linked, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = stored(named.join(least, "component").select(F.col("set").alias("of"), "component_id"), "jaccard-classes")
-    return base.join(classes, base["set"] == classes["of"], "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+            if b.num_rows:
+                keys = [np.frombuffer(x, U64) for x in b.column("prefix").to_pylist()]
+                yield packed(np.concatenate(keys), np.repeat(b.column("chunk").to_numpy(), [len(k) for k in keys]), buckets)
+
+    replies = shared_keys(one.select("chunk", "prefix").mapInArrow(offer, PACKED)).select("chunk", "keys", "levels")
+    live = one.select("chunk", "sid", "size", "hi", "lo", "hash", "prefix").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_common_sets(measure), _LIVE_SQL)
+    live = work.store(live, "jaccard-live")
+    n_live = live.count()
+    links = None
+    if n_live:
+        sets = work.store(_wanted_sets(rows, live, n_live, n), "jaccard-shingles")
+        links = work.store(components(_links_at_homes(work, live, sets, measure)), "components")
+        more = _links_across(work, live, sets, links, measure, top)
+        if more is not None:
+            links = components(links.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+
+    # only sets with copies or links have a component other than their own document's id
+    own = one.select("sid", "hi", "lo", "doc_id", "copies")
+    named = own.withColumn("component", F.col("sid")) if links is None else own.join(links.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = work.store(named, "jaccard-named")
+    least = work.store(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"), F.sum("copies").alias("docs")).where("docs > 1").drop("docs"), "jaccard-least")
+    classes = work.store(split_join(named, least, ["component"], "n", named.count()).select("hi", "lo", "component_id", "copies"), "jaccard-classes")
+    out = ["doc_id", "n_shingles", "component_id"]
+    base = described.drop("prefix", "hash")
+    named = split_join(base.where("hi is not null"), classes, ["hi", "lo"], "copies", max(1, n_rows), "left")
+    named = named.select("doc_id", "n_shingles", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = stored(named.unionByName(base.where("hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).select(*out), "jaccard-components")
+    work.clear()
+    return found
 
 
 def keep_first(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,12 +502,17 @@ def keep_first(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4,
 
     Of rows of a component that share that id one stays; rows that only share an
     id do not compete. Rows without an id cannot be named as a component's first
-    and stay. Texts without words have no duplicates and stay.
+    and stay. Texts without words have no duplicates and stay. All columns are
+    returned as they are, whatever their names; an empty table stays empty.
     """
     rows = numbered(docs, "jaccard-documents")
     ident, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
     found = jaccard_components(rows.select("number", text.alias("text")), n=n, threshold=threshold, id_col="number", text_col="text")
+    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = stored(many, "jaccard-many")
+    members = split_join(found.select(F.col("doc_id").alias("number"), "component_id"), many, ["component_id"], "n", max(1, found.count())).select("number", "component_id")
     ids = rows.where(ident.isNotNull()).select("number", ident.cast("long").alias("id"), F.xxhash64(text).alias("hash"))
-    least = ids.join(found.select(F.col("doc_id").alias("number"), "component_id"), "number").groupBy("component_id").agg(F.min(F.struct("id", "hash", "number")).alias("least"))
-    first = least.select(F.col("least.number").alias("number"))
-    return rows.join(first, "number", "left_semi").select("row.*").unionByName(rows.where(ident.isNull()).select("row.*"))
+    members = stored(ids.join(members, "number"), "jaccard-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "hash", "number")).alias("least")).select(F.col("least.number").alias("number"))
+    gone = members.select("number").join(first, "number", "left_anti")
+    return rows.join(gone, "number", "left_anti").select("row.*")
