@@ -16,6 +16,7 @@ to a call, with a separator token between), and numpy lays the ids out.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import LOWER
 
 MEMO = 1_000_000  # distinct pieces kept by a worker; the first ones met are the frequent ones
 SLICE = 6 << 20
+RUN = 400  # pieces of one call
+_APART = re.compile(r"[\x00-\x1f]|  |[^\S ]")  # in a piece that is encoded by a call of its own: white space other than single spaces, and controls
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LETTER = np.zeros(256, bool)
@@ -64,23 +67,27 @@ class Encoder:
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self._fast(texts, add_special_tokens=False)]
 
+    def _run(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of pieces by one call; by a call each where a separator fused with what is beside it."""
+        ids = self._direct([self.sep.join(pieces) + self.sep])[0]
+        stop = np.flatnonzero(ids == self.sep_id[0])
+        if len(stop) == len(pieces):
+            return np.delete(ids, stop), np.diff(np.append(-1, stop)) - 1
+        each = self._direct(pieces)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of pieces."""
-        alone = [i for i, w in enumerate(new) if "\n" in w or "\r" in w or "\t" in w or "\x01" in w or "\x0b" in w or "\x0c" in w or "  " in w]
+        alone = [i for i, w in enumerate(new) if _APART.search(w)]
         if alone:
             other = set(alone)
             mine = self._direct([new[i] for i in alone])
             rest = [w for i, w in enumerate(new) if i not in other]
         else:
             mine, rest = [], new
-        step = 400
-        got = self._direct([self.sep.join(rest[i : i + step]) + self.sep for i in range(0, len(rest), step)])
-        ids = np.concatenate(got) if got else np.empty(0, np.uint32)
-        stop = np.flatnonzero(ids == self.sep_id[0])
-        if len(stop) != len(rest):
-            raise ValueError("a piece held the separator")
-        lens = np.diff(np.append(-1, stop)) - 1
-        ids = np.delete(ids, stop)
+        got = [self._run(rest[i : i + RUN]) for i in range(0, len(rest), RUN)]
+        ids = np.concatenate([x for x, _ in got]) if got else np.empty(0, np.uint32)
+        lens = np.concatenate([n for _, n in got]) if got else np.empty(0, np.int64)
         if not alone:
             return ids, lens
         all_lens = np.empty(len(new), np.int64)
@@ -116,41 +123,46 @@ class Encoder:
         return np.flatnonzero(cut)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = buf
+        odd = self._odd(buf, off)
+        if not odd:
+            return self._encode(buf, off)
+        size = np.diff(off)
+        plain = np.ones(len(size), bool)
+        plain[odd] = False
+        ids, first = self._encode(buf[np.repeat(plain, size)], np.append(0, np.cumsum(size[plain])))
+        cut: list[np.ndarray] = [None] * len(size)
+        for k, d in enumerate(np.flatnonzero(plain).tolist()):
+            cut[d] = ids[first[k] : first[k + 1]]
+        for d, x in zip(odd, self._direct([buf[off[d] : off[d + 1]].tobytes().decode() for d in odd])):
+            cut[d] = x
+        return np.concatenate(cut), np.append(0, np.cumsum([len(x) for x in cut]))
+
+    def _encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "word":
             buf = LOWER[buf]
-        odd = self._odd(raw, off)
         at = self._cuts(buf, off)
-        n = len(buf)
         if not len(at):
-            ids, first = np.empty(0, np.uint32), np.zeros(len(off), np.int64)
-        else:
-            pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
-            names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-            which = np.asarray(pieces.indices)
-            known = np.fromiter(map(self.memo.get, names, [-1] * len(names)), np.int64, len(names))
-            miss = np.flatnonzero(known < 0)
-            lens, offs, flat = self.lens, self.offs, self.flat
-            if len(miss):
-                new = [names[i] for i in miss]
-                ids, new_lens = self._learn(new)
-                known[miss] = np.arange(len(lens), len(lens) + len(new))
-                new_offs = len(flat) + np.cumsum(new_lens) - new_lens
-                lens, offs, flat = np.append(lens, new_lens), np.append(offs, new_offs), np.append(flat, ids)
-                if len(self.memo) < MEMO:
-                    self.memo.update(zip(new, known[miss].tolist()))
-                    self.lens, self.offs, self.flat = lens, offs, flat
-            which = known[which]
-            k = lens[which]
-            end = np.cumsum(k)
-            ids = flat[np.arange(int(end[-1])) + np.repeat(offs[which] - (end - k), k)]
-            first = np.append(0, end)[np.searchsorted(at, off)]
-        if odd:
-            cut = [ids[first[d] : first[d + 1]] for d in range(len(off) - 1)]
-            for d, x in zip(odd, self._direct([raw[off[d] : off[d + 1]].tobytes().decode() for d in odd])):
-                cut[d] = x
-            ids, first = np.concatenate(cut), np.append(0, np.cumsum([len(x) for x in cut]))
-        return ids, first
+            return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(buf)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = np.asarray(pieces.indices)
+        known = np.fromiter(map(self.memo.get, names, [-1] * len(names)), np.int64, len(names))
+        miss = np.flatnonzero(known < 0)
+        lens, offs, flat = self.lens, self.offs, self.flat
+        if len(miss):
+            new = [names[i] for i in miss]
+            ids, new_lens = self._learn(new)
+            known[miss] = np.arange(len(lens), len(lens) + len(new))
+            new_offs = len(flat) + np.cumsum(new_lens) - new_lens
+            lens, offs, flat = np.append(lens, new_lens), np.append(offs, new_offs), np.append(flat, ids)
+            if len(self.memo) < MEMO:
+                self.memo.update(zip(new, known[miss].tolist()))
+                self.lens, self.offs, self.flat = lens, offs, flat
+        which = known[which]
+        k = lens[which]
+        end = np.cumsum(k)
+        ids = flat[np.arange(int(end[-1])) + np.repeat(offs[which] - (end - k), k)]
+        return ids, np.append(0, end)[np.searchsorted(at, off)]
 
     def _odd(self, raw: np.ndarray, off: np.ndarray) -> list[int]:
         data = raw.tobytes()
