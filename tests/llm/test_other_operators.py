@@ -139,6 +139,30 @@ def test_nearest(spark):
     assert {r["vec_id"] for r in nearest(df.where("vec_id < 4"), k=10, every=20).collect()} == {1, 2, 3}
 
 
+def test_nearest_recall_through_lists(spark, monkeypatch):
+    """A table six times the sample: recall of the lists alone, and ranks of rows that share an id."""
+    from tidemill.llm import ann
+
+    monkeypatch.setattr(ann, "PER_LIST", 2)
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((200, 24))[rng.integers(0, 200, 9_600)] + 0.8 * rng.standard_normal((9_600, 24))).round(6)
+    assert len(x) > 6 * ann.PER_LIST * int(8 * len(x) ** 0.5)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(200, (x[7] * 3).tolist())]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), k=20, every=200).collect()
+    every = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    hit = total = 0
+    for q in range(0, 9_600, 200):
+        mine = [r for r in got if r["query_id"] == q]
+        for at in np.flatnonzero(ids == q) if q != 200 else []:
+            s = every @ every[at]
+            s[at] = -np.inf
+            hit += len({r["vec_id"] for r in mine} & set(ids[np.argsort(-s)[:20]].tolist()))
+            total += 20
+    assert hit >= 0.9 * total
+    assert sorted(r["rank"] for r in got if r["query_id"] == 200) == sorted([*range(1, 21)] * 2)
+
+
 def test_nearest_answers_every_length(spark, monkeypatch):
     """Queries of a rarer length get their exact neighbours of that length; several blocks of them meet."""
     from tidemill.llm import ann

@@ -2,13 +2,15 @@
 
 Vectors get one more coordinate, so that the largest inner product is the least
 distance, and are rotated by a random orthogonal matrix, so that any first
-coordinates are a fair sample of a distance. Lists hold rotated vectors in blocks
-of columns. A scan adds up squared distances block by block; after each, a
-hypothesis test compares what a candidate's distance must be with the query's bound
-and abandons it early. What is left is scored exactly on the original vectors.
-
-Centroids, the number of probed lists and first bounds are fitted on a bounded
-sample (SAMPLE vectors, by a hash of the id); every vector is indexed.
+coordinates are a fair sample of a distance. A query first scores the lists nearest
+to it in full, which gives it a bound. Then its other probed lists are scanned: squared
+distances are added up over blocks of columns, and after each block a hypothesis test
+compares what a candidate's distance must be with the bound and abandons it early.
+What is left is scored exactly on the original vectors.
+
+Centroids and the number of probed lists are fitted on a bounded sample (of at most
+PER_LIST vectors a list and SAMPLE in all, by a hash of the row); every vector is indexed, and answers
+come from lists alone.
 """
 
 from __future__ import annotations
@@ -20,31 +22,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 8_000  # vectors of the fit, at most
+from .common import lean, stored
+
+PER_LIST = 8  # vectors of the sample for each list
+SAMPLE = 32_768  # vectors of the sample, at most
+LISTS = 4_096  # lists, at most; below, eight times the root of the number of vectors
 BLOCK = 2_048  # vectors of a list that one scan holds
 QUERIES = 2_048  # queries of a scan, about
 COLUMNS = 16  # rotated dimensions of a column block
 EPSILON = 2.1  # of the test: a candidate is abandoned if its partial distance is above (1 + EPSILON / sqrt(d)) times its share of the bound
-RECALL = 0.985  # of the sample's neighbours that probed lists must hold
+RECALL = 0.965  # of the sample's neighbours that probed lists must hold
+CELL = 64  # lists of a cell, about; a query travels once to each cell that holds lists it probes
+FIRST = 8  # one probed list in so many, the nearest ones, gives the bound
+
+
+def _chunks(n: int, width: int):
+    step = max(1, (1 << 22) // max(1, width))
+    return ((a, min(n, a + step)) for a in range(0, n, step))
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, norm: float, k: int, seed: int = 7):
+    """Rotation, centroids and the number of probed lists."""
+
+    def __init__(self, sample: np.ndarray, norm: float, k: int, lists: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.norm, self.k = norm, k
         d = sample.shape[1] + 1
         self.turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        x = self.lift(sample)
-        lists = max(1, min(256, int(math.sqrt(len(x)) / 2)))
-        self.centroids = x[rng.permutation(len(x))[:lists]].copy()
-        for _ in range(8):
+        x = self.lift(np.unique(sample, axis=0))  # copies would pass for neighbours
+        self.centroids = x[rng.permutation(len(x))[: max(1, min(lists, len(x)))]].copy()
+        for _ in range(5):
             near = self.nearest(x)
-            for c in range(lists):
-                mine = x[near == c]
-                if len(mine):
-                    self.centroids[c] = mine.mean(0)
-        self.sample = x
+            order = np.argsort(near, kind="stable")
+            mine, at = np.unique(near[order], return_index=True)
+            self.centroids[mine] = np.add.reduceat(x[order], at, axis=0) / np.diff(np.append(at, len(x)))[:, None]
+        self.cell = self._cells(rng)
         self.probes = self._fit_probes(x, rng)
+        self.first = -(-self.probes // FIRST)
+
+    def _cells(self, rng) -> np.ndarray:
+        """The cell of each list: lists are dealt to cells by their centroids."""
+        c = self.centroids
+        heads = c[rng.permutation(len(c))[: -(-len(c) // CELL)]].copy()
+        for _ in range(5):
+            near = ((heads * heads).sum(1)[None] - 2 * c @ heads.T).argmin(1)
+            for k in np.unique(near):
+                heads[k] = c[near == k].mean(0)
+        return near.astype(np.int32)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Rotated candidates: |lift(x) - ask(q)|^2 = norm^2 + |q|^2 - 2 x.q."""
@@ -54,56 +78,53 @@ class Index:
     def ask(self, q: np.ndarray) -> np.ndarray:
         return np.column_stack([q, np.zeros(len(q))]) @ self.turn
 
-    def _far(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
+    def _far(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances to the centroids, less the query's own square."""
+        return (self.centroids * self.centroids).sum(1)[None] - 2 * q @ self.centroids.T
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
-        return self._far(x, self.centroids).argmin(1)
+        return np.concatenate([self._far(x[a:b]).argmin(1) for a, b in _chunks(len(x), len(self.centroids))])
 
     def _fit_probes(self, x: np.ndarray, rng) -> int:
         """Lists to probe so that they hold RECALL of the neighbours of queries drawn from the sample."""
         at = rng.permutation(len(x))[:200]
-        raw = (x @ self.turn.T)[at, :-1]
-        q = self.ask(raw)
-        far = self._far(q, x)
-        far[np.arange(len(at)), at] = np.inf
+        q = self.ask((x @ self.turn.T)[at, :-1])
         k = min(self.k, len(x) - 1)
         if k < 1:
             return 1
+        far = (x * x).sum(1)[None] - 2 * q @ x.T
+        far[np.arange(len(at)), at] = np.inf
         best = np.argpartition(far, k - 1, axis=1)[:, :k]
-        rank = self._far(q, self.centroids).argsort(1).argsort(1)
+        rank = self._far(q).argsort(1).argsort(1)
         need = np.sort(rank[np.arange(len(at))[:, None], self.nearest(x)[best]].ravel())
         return int(need[min(len(need) - 1, math.ceil(RECALL * len(need)))]) + 1
 
-    def seeds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bound, places in the sample): a distance that k candidates stay within, and the k + 1 nearest of the sample, the query itself perhaps among them."""
-        far = self._far(q, self.sample)
-        n = len(self.sample)
-        if n <= self.k + 1:
-            return np.full(len(q), np.inf), np.tile(np.arange(n), (len(q), 1))
-        at = np.argpartition(far, self.k, axis=1)[:, : self.k + 1]
-        return np.take_along_axis(far, at, 1).max(1) * (1 + 1e-9) + 1e-12, at
-
-    def route(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(self._far(q, self.centroids), axis=1, kind="stable")[:, : self.probes]
-
-
-def scan(turned: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
-    """Candidates that the tests leave. turned: (column blocks' dimensions, candidates)."""
-    d_all = len(turned)
-    left, part = None, None
-    for a in range(0, d_all, COLUMNS):
-        b = min(d_all, a + COLUMNS)
-        cols = turned[a:b] if left is None else turned[a:b, left]
-        step = ((cols - query[a:b, None]) ** 2).sum(0)
-        part = step if part is None else part + step
-        test = bound * (b / d_all) * (1 + EPSILON / math.sqrt(b)) ** 2 if b < d_all else bound * (1 + 1e-9)
-        keep = np.flatnonzero(part <= test)
-        left = keep if left is None else left[keep]
-        part = part[keep]
-        if not len(left):
-            break
-    return left if left is not None else np.empty(0, int)
+    def route(self, q: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The lists of a query by nearness, from place low up to high."""
+        return np.concatenate([np.argsort(self._far(q[a:b]), axis=1, kind="stable")[:, low:high] for a, b in _chunks(len(q), len(self.centroids))])
+
+
+def scan(turned: np.ndarray, asked: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) places that the tests leave; bound: a squared distance for each query."""
+    d, found = turned.shape[1], []
+    for a, b in _chunks(len(asked), len(turned)):
+        q, limit = asked[a:b], bound[a:b]
+        w = min(COLUMNS, d)
+        part = np.maximum((q[:, :w] ** 2).sum(1)[:, None] + (turned[:, :w] ** 2).sum(1)[None] - 2 * q[:, :w] @ turned[:, :w].T, 0)
+
+        def test(done):
+            share = (done / d) * (1 + EPSILON / math.sqrt(done)) ** 2 if done < d else 1.0
+            return limit * share * (1 + 1e-9) + 1e-12
+
+        i, j = np.nonzero(part <= test(w)[:, None])
+        part = part[i, j]
+        for low in range(w, d, COLUMNS):
+            high = min(d, low + COLUMNS)
+            part = part + ((q[i, low:high] - turned[j, low:high]) ** 2).sum(1)
+            keep = part <= test(high)[i]
+            i, j, part = i[keep], j[keep], part[keep]
+        found.append(np.stack([i + a, j]))
+    return tuple(np.concatenate(found, axis=1)) if found else (np.empty(0, int), np.empty(0, int))
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -119,32 +140,51 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine)
 
 
+def _matrix(col) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.asarray(col.flatten()).reshape(len(col), -1)
+
+
+_FOUND = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND_SQL = "query long, query_id long, row long, vec_id long, score double"
+
+
+def _best(left: pa.Table, x: np.ndarray, right: pa.Table, q: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> pa.Table:
+    """The k best candidates j of each query i, scored exactly."""
+    rows, ids, queries = left.column("row").to_numpy(), left.column("vec_id").to_numpy(), right.column("query").to_numpy()
+    other = rows[j] != queries[i]
+    i, j = i[other], j[other]
+    if not len(i):
+        return _FOUND.empty_table()
+    s = np.concatenate([exact(x[j[a:b]], q[i[a:b]]) for a, b in _chunks(len(i), x.shape[1])])
+    order = np.lexsort((rows[j], ids[j], -s, i))
+    i, j, s = i[order], j[order], s[order]
+    at = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    rank = np.arange(len(i)) - np.repeat(at, np.diff(np.append(at, len(i))))
+    i, j, s = i[rank < k], j[rank < k], s[rank < k]
+    return pa.table([queries[i], right.column("query_id").to_numpy()[i], rows[j], ids[j], s], schema=_FOUND)
+
+
 def _among_rarer(rows: DataFrame, most: int, k: int, every: int) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest of each query among the vectors of its own length, compared in blocks; most: vectors of one length."""
+    """The k nearest of each query among the vectors of its own length, compared in blocks; most: vectors of one length."""
     n = max(1, -(-most // BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.select(F.size("v").alias("d"), block.alias("b"), every_block.alias("a"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.size("v").alias("d"), block.alias("a"), every_block.alias("b"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    held = rows.select(F.size("v").alias("d"), block.alias("b"), every_block.alias("a"), "row", "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.size("v").alias("d"), block.alias("a"), every_block.alias("b"), F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        matrix = lambda c: np.asarray(c.combine_chunks().flatten()).reshape(len(c), -1)
-        ids, x, q = left.column("vec_id").to_numpy(), matrix(left.column("v")), matrix(right.column("q"))
-        out = [[], [], []]
-        for j, query_id in enumerate(right.column("query_id").to_pylist()):
-            at = np.flatnonzero(ids != query_id)
-            s = exact(x[at], q[j])
-            top = np.lexsort((ids[at], -s))[:k]
-            out[0].append(np.full(len(top), query_id))
-            out[1].append(ids[at][top])
-            out[2].append(s[top])
-        return pa.Table.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=schema)
+            return _FOUND.empty_table()
+        x, q = _matrix(left.column("v")), _matrix(right.column("q"))
+        out = []
+        for a, b in _chunks(len(q), len(x)):
+            i, j = np.divmod(np.arange((b - a) * len(x)), len(x))
+            out.append(_best(left, x, right, q, i + a, j, k))
+        return pa.concat_tables(out)
 
     keys = ["d", "a", "b"]
-    return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, _FOUND_SQL)
 
 
 def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -155,94 +195,96 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     exactly among themselves. Ties go to the smaller id. Of
     equal vectors only the k + 1 with the smallest ids can be among any k nearest,
     and only they enter the lists. Fewer than k candidates give all of them; an
-    empty table gives no rows. Ids are taken to be unique.
+    empty table gives no rows. Rows that share an id are vectors,
+    and queries, of their own: each of such queries has its ranks. Null ids take no part.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vec_col)
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(2).collect()
     if not common:
-        return spark.createDataFrame([], schema)
-    rarer = _among_rarer(rows.where(F.size("v") != common[0]["d"]), common[1]["n"], k, every) if len(common) > 1 else None
-    rows = rows.where(F.size("v") == common[0]["d"])
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n_rows, length = common[0]["n"], common[0]["d"]
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
-    norm = math.sqrt(rows.agg(F.max(square)).first()[0])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    sample_ids, sample_v = sample["vec_id"].to_numpy(), np.stack(sample["v"].to_numpy())
-    index = Index(sample_v, norm, k)
-    n_lists = len(index.centroids)
-
-    copies = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1).drop("copy")
-
-    def matrix(col: pa.Array) -> np.ndarray:
-        return np.asarray(col.flatten()).reshape(len(col), -1)
+    norm = math.sqrt(rows.where(F.size("v") == length).agg(F.max(square)).first()[0])
+    lists = max(1, min(LISTS, int(8 * math.sqrt(n_rows))))
+    sample = rows.where(F.size("v") == length).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(min(SAMPLE, PER_LIST * lists)).select("v").toArrow()
+    index = Index(_matrix(sample.column("v")), norm, k, lists)
+    shared = spark.sparkContext.broadcast(index)  # at most LISTS centroids
 
     def assign(batches):
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array(index.nearest(index.lift(x)).astype(np.int32)), b.column(0), b.column(1)], names=["list", "vec_id", "v"])
-
-    listed = copies.mapInArrow(assign, "list int, vec_id long, v array<double>")
-    sizes = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
-    blocks = [max(1, -(-sizes.get(c, 0) // BLOCK)) for c in range(n_lists)]
-    n_queries = rows.where(F.col("vec_id") % every == 0).count()
-    sets = max(1, -(-n_queries * index.probes // (n_lists * QUERIES)))
-    asked_schema = pa.schema([("list", pa.int32()), ("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("bound", pa.float64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def ask(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw = matrix(b.column(1))
-            q, ids = index.ask(raw), b.column(0).to_numpy()
-            to, (bound, near) = index.route(q), index.seeds(q)
-            at = pa.array(np.repeat(np.arange(len(q)), to.shape[1]))
-            nothing = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(to.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at).cast(pa.list_(pa.float64())), pa.array(bound).take(at), *nothing], schema=asked_schema)
-            owner, place = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
-            other = sample_ids[place] != ids[owner]
-            owner, place = owner[other], place[other]
-            n = len(owner)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(ids[owner]), pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.float64()), pa.array(sample_ids[place]), pa.array(exact(sample_v[place], raw[owner]))], schema=asked_schema)
-
-    # rows with a list are probes; the others are what the sample itself answers, so that no query comes back short
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, "list int, query_id long, q array<double>, bound double, vec_id long, score double")
-    per_list = F.array(*map(F.lit, blocks))
-    vectors_in = listed.select(
-        F.pmod(F.xxhash64("vec_id"), F.get(per_list, F.col("list"))).cast("int").alias("block"), "list", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("part"), "vec_id", "v"
-    )
-    asked_in = asked.where("list is not null").select("list", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("part"), "query_id", "q", "bound", F.explode(F.sequence(F.lit(0), F.get(per_list, F.col("list")) - 1)).alias("block"))
-    out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return out_schema.empty_table()
-        ids = left.column("vec_id").to_numpy()
-        x = matrix(left.column("v").combine_chunks())
-        turned = np.ascontiguousarray(index.lift(x).T)
-        queries = matrix(right.column("q").combine_chunks())
-        ask_at = index.ask(queries)
-        found = [[], [], []]
-        for j, (query_id, bound) in enumerate(zip(right.column("query_id").to_pylist(), right.column("bound").to_pylist())):
-            at = scan(turned, ask_at[j], bound)
-            at = at[ids[at] != query_id]
-            if not len(at):
-                continue
-            s = exact(x[at], queries[j])
-            top = np.lexsort((ids[at], -s))[:k]
-            found[0].append(np.full(len(top), query_id))
-            found[1].append(ids[at][top])
-            found[2].append(s[top])
-        if not found[0]:
-            return out_schema.empty_table()
-        return pa.Table.from_arrays([pa.array(np.concatenate(f)) for f in found], schema=out_schema)
-
-    keys = ["list", "block", "part"]
-    pairs = vectors_in.groupBy(*keys).cogroup(asked_in.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double")
-    pairs = pairs.union(asked.where("list is null").select("query_id", "vec_id", "score"))
-    if rarer is not None:
-        pairs = pairs.union(rarer)
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                size = b.column(2).value_lengths().to_numpy()
+                own = np.full(len(size), -1, np.int32)  # a rarer length has no list
+                mine = size == length
+                if mine.any():
+                    x = _matrix(b.column(2).filter(pa.array(mine)))
+                    own[mine] = shared.value.nearest(shared.value.lift(x))
+                cell = np.where(own >= 0, shared.value.cell[own], -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own), *b.columns], names=["cell", "list", "row", "vec_id", "v"])
+
+    indexed = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v").mapInArrow(lean(assign), "cell int, list int, row long, vec_id long, v array<double>")
+    indexed = stored(indexed, "vector-lists")  # the inverted file; rows keep their numbers
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))
+    listed = indexed.where("list >= 0").withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
+    n_blocks = {r["cell"]: max(1, -(-r["count"] // BLOCK)) for r in indexed.where("cell >= 0").groupBy("cell").count().collect()}  # a row per cell
+    blocks = F.array(*[F.lit(n_blocks.get(c, 1)) for c in range(int(index.cell.max()) + 1)])
+    queries = indexed.where((F.col("list") >= 0) & (F.col("vec_id") % every == 0)).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    n_queries = queries.count()
+
+    def probe(asked: DataFrame, low: int, high: int) -> DataFrame:
+        """The k best of each query in its lists from place low up to high; asked: query, query_id, q, bound."""
+        sets = max(1, -(-n_queries // QUERIES))
+        schema = pa.schema([("cell", pa.int32()), ("lists", pa.list_(pa.int32())), ("query", pa.int64()), ("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("bound", pa.float64())])
+
+        def route(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                to = shared.value.route(shared.value.ask(_matrix(b.column(2))), low, high)
+                owner, to = np.repeat(np.arange(len(to)), to.shape[1]), to.ravel().astype(np.int32)
+                cell = shared.value.cell[to]
+                order = np.lexsort((to, cell, owner))
+                owner, to, cell = owner[order], to[order], cell[order]
+                at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(to)), pa.int32()), pa.array(to))
+                who = pa.array(owner[at])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at]), lists, b.column(0).take(who), b.column(1).take(who), b.column(2).take(who).cast(pa.list_(pa.float64())), b.column(3).take(who)], schema=schema)
+
+        def match(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return _FOUND.empty_table()
+            x, q, bound = _matrix(left.column("v")), _matrix(right.column("q")), right.column("bound").to_numpy()
+            turned, asked = shared.value.lift(x), shared.value.ask(q)
+            held, wanted = left.column("list").to_numpy(), right.column("lists").combine_chunks()
+            who, wanted = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy()), np.asarray(wanted.flatten())
+            i, j = [np.empty(0, int)], [np.empty(0, int)]
+            for c in np.unique(wanted):
+                mine, at = who[wanted == c], np.flatnonzero(held == c)
+                a, b = scan(turned[at], asked[mine], bound[mine])
+                i.append(mine[a])
+                j.append(at[b])
+            return _best(left, x, right, q, np.concatenate(i), np.concatenate(j), k)
+
+        block = F.pmod(F.xxhash64("row"), F.get(blocks, F.col("cell"))).cast("int")
+        held = listed.select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("part"), "list", "row", "vec_id", "v")
+        routed = asked.mapInArrow(route, "cell int, lists array<int>, query long, query_id long, q array<double>, bound double")
+        routed = routed.select("cell", "lists", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.lit(sets)).cast("int").alias("part"), "query", "query_id", "q", "bound")
+        keys = ["cell", "block", "part"]
+        return held.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(match, _FOUND_SQL)
+
+    found = stored(probe(queries.withColumn("bound", F.lit(float("inf"))), 0, index.first), "nearest-first")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    if index.probes > index.first:
+        last = found.withColumn("rank", rank).where(F.col("rank") == k).select("query", "score")
+        own = F.aggregate("q", F.lit(norm**2), lambda s, e: s + e * e)
+        bound = F.when(F.col("score").isNull(), float("inf")).otherwise(F.greatest(F.lit(0.0), own - 2 * F.col("score")))
+        asked = queries.join(last, "query", "left").select("query", "query_id", "q", bound.alias("bound"))
+        found = stored(found.union(probe(asked, index.first, index.probes)), "nearest-probed")
+    if index.probes < len(index.centroids):  # queries whose probed lists hold less than k: the rest of the lists, in full
+        short = queries.join(found.groupBy("query").count().where(F.col("count") >= k), "query", "left_anti")
+        if not short.isEmpty():
+            found = found.union(probe(short.withColumn("bound", F.lit(float("inf"))), index.probes, len(index.centroids)))
+    if len(common) > 1:
+        found = found.union(_among_rarer(indexed.where("list < 0"), common[1]["n"], k, every))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ than as one row per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,6 +84,32 @@ class Scratch:
         self.paths = []
 
 
+_LIBC = None
+
+
+def settle() -> None:
+    """Give a worker's freed memory back to the system: workers are used again, beside others on the same machine."""
+    global _LIBC
+    pa.default_memory_pool().release_unused()
+    if _LIBC is None:
+        try:
+            _LIBC = ctypes.CDLL("libc.so.6")
+        except OSError:  # another C library: nothing to trim
+            _LIBC = False
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that settles at its end."""
+
+    def settled(batches):
+        yield from run(batches)
+        settle()
+
+    return settled
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -290,7 +317,7 @@ def per_bucket(entries: DataFrame, reduce: Callable[[dict], Iterator[pa.RecordBa
         if now is not None:
             yield from reduce(held)
 
-    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), schema)
 
 
 SHARED = "chunk int, keys binary, leads binary, levels binary"

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, forget, new_path, split_join
+from .common import Scratch, forget, lean, new_path, split_join
 
 RUN = 1 << 19  # edges that a task contracts together
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -61,7 +61,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     an empty table has no components.
     """
     spark = edges.sparkSession
-    pairs = edges.toDF("a", "b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b").mapInArrow(_contract, "u long, v long").distinct()
+    pairs = edges.toDF("a", "b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b").mapInArrow(lean(_contract), "u long, v long").distinct()
 
     def save(df: DataFrame) -> tuple[DataFrame, str, tuple]:
         path = new_path(spark, "edges")

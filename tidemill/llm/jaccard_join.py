@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, U64, Scratch, Words, bucket_count, chunk_count, mix64, numbered, packed, per_bucket, rolling, shared_keys, split_join, stored, text_slices
+from .common import PACKED, U64, Scratch, Words, bucket_count, chunk_count, lean, mix64, numbered, packed, per_bucket, rolling, shared_keys, split_join, stored, text_slices
 from .components import components
 
 PLACE = 256  # sets of a place
@@ -236,7 +236,7 @@ def _wanted_sets(rows: DataFrame, live: DataFrame, n_live: int, n: int) -> DataF
                         fresh[x, y] = s.tobytes()
                 yield pa.RecordBatch.from_pydict({"hi": [x for x, _ in fresh], "lo": [y for _, y in fresh], "shingles": list(fresh.values())}, schema=schema)
 
-    found = rows.select("text", slot.alias("slot")).mapInArrow(run, "hi long, lo long, shingles binary")
+    found = rows.select("text", slot.alias("slot")).mapInArrow(lean(run), "hi long, lo long, shingles binary")
     return found.groupBy("hi", "lo").agg(F.first("shingles").alias("shingles")).join(live.select("hi", "lo", "sid"), ["hi", "lo"]).select("sid", "shingles")
 
 
@@ -363,7 +363,7 @@ def _links_across(work: Scratch, live: DataFrame, sets: DataFrame, known: DataFr
     grouped = work.store(split_join(weighed, per_band, ["comp", "band"], "n", n_live).withColumn("grp", grp).drop("n", "bytes", "blocks"), "grouped")
 
     buckets = bucket_count(spark, 48 * (tagged.agg(F.sum(F.octet_length("rare"))).first()[0] or 0) // 8)
-    offered = grouped.select("sid", "grp", "comp", "weight", "band", "rare").mapInArrow(_offer_rare(buckets), _RARE_SQL)
+    offered = grouped.select("sid", "grp", "comp", "weight", "band", "rare").mapInArrow(lean(_offer_rare(buckets)), _RARE_SQL)
     asked = work.store(per_bucket(offered, _queries, "sid long, grp long").distinct(), "asked")
     load = work.store(asked.groupBy("grp").agg(F.count(F.lit(1)).alias("q")).withColumn("parts", F.ceil(F.col("q") / ASKED).cast("int")), "asked-sizes")
     if load.isEmpty():
@@ -453,7 +453,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
                 prefix = pa.array([s[: int(measure.prefix(len(s)))].tobytes() if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("hash")[i:j], pa.array(size, pa.int64()), hi, lo, prefix], schema=schema)
 
-    described = work.store(rows.select("doc_id", "hash", "text").mapInArrow(describe, "doc_id long, hash long, n_shingles long, hi long, lo long, prefix binary"), "jaccard-described")
+    described = work.store(rows.select("doc_id", "hash", "text").mapInArrow(lean(describe), "doc_id long, hash long, n_shingles long, hi long, lo long, prefix binary"), "jaccard-described")
     stats = described.agg(F.count("hi"), F.sum(F.octet_length("prefix")), F.max("n_shingles")).first()
     n_rows, n_bytes, top = stats[0], stats[1] or 0, stats[2] or 1
     n_chunks = chunk_count(n_rows, n_bytes)
@@ -470,7 +470,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
                 keys = [np.frombuffer(x, U64) for x in b.column("prefix").to_pylist()]
                 yield packed(np.concatenate(keys), np.repeat(b.column("chunk").to_numpy(), [len(k) for k in keys]), buckets)
 
-    replies = shared_keys(one.select("chunk", "prefix").mapInArrow(offer, PACKED)).select("chunk", "keys", "levels")
+    replies = shared_keys(one.select("chunk", "prefix").mapInArrow(lean(offer), PACKED)).select("chunk", "keys", "levels")
     live = one.select("chunk", "sid", "size", "hi", "lo", "hash", "prefix").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_common_sets(measure), _LIVE_SQL)
     live = work.store(live, "jaccard-live")
     n_live = live.count()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import lean, text_slices
 from .tokens import SLICE, encoder
 
 UNIT = 8_000_000  # ids whose remainders are packed together
@@ -183,4 +183,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, *, window: int = 2048, k
         if held:
             yield unit(held, base)[0]
 
-    return rows.mapInArrow(run, "doc_id long, start long, length long, " + ("ids array<int>, " if with_ids else "") + "ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(lean(run), "doc_id long, start long, length long, " + ("ids array<int>, " if with_ids else "") + "ids_crc32 long, doc_tokens long, sequence_id long, offset long")

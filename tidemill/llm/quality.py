@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import LOWER, U64, new_path, stored, text_slices
+from .common import LOWER, U64, lean, new_path, stored, text_slices
 
 ORDER = 5
 SHARD = 1_000_000  # entries of a model shard, about
@@ -107,7 +107,7 @@ def train(trusted: DataFrame) -> DataFrame:
     """
     spark = trusted.sparkSession
     body = (1 << 8 * ORDER) - 1
-    top = trusted.select("text", "code").mapInArrow(_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    top = trusted.select("text", "code").mapInArrow(lean(_counts), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     top = stored(top.select(F.shiftright("key", 8 * ORDER).alias("code"), F.col("key").bitwiseAND(F.lit(body)).alias("g"), "c"), "ngram-counts")
     orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
@@ -161,7 +161,7 @@ def write_shards(entries: DataFrame) -> list[str]:
         files.put(name, len(k).to_bytes(8, "little") + k.tobytes() + v.tobytes())
         yield pa.RecordBatch.from_pydict({"path": [name]}, schema=pa.schema([("path", pa.string())]))
 
-    named = stored(entries.repartition(n, "key").mapInArrow(run, "path string"), "model-shards")
+    named = stored(entries.repartition(n, "key").mapInArrow(lean(run), "path string"), "model-shards")
     return sorted(r["path"] for r in named.collect())
 
 
@@ -225,7 +225,7 @@ def surprise(docs: DataFrame, shards: list[str]) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "lang", "code", "text").mapInArrow(run, "doc_id long, lang string, n_bytes long, nats double")
+    return docs.select("doc_id", "lang", "code", "text").mapInArrow(lean(run), "doc_id long, lang string, n_bytes long, nats double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, trusted: str = "quality = 1", quantile: float = 0.995, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import PACKED, U64, Words, among, chunk_count, chunk_of, key_set, mix64, packed, partitions, rolling, shared_keys, stored, text_slices
+from .common import PACKED, U64, Words, among, chunk_count, chunk_of, key_set, lean, mix64, packed, partitions, rolling, shared_keys, stored, text_slices
 
 BASE = 5
 HIGH = (12, 16, 20)
@@ -197,7 +197,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("kept"))
     n_chunks = chunk_count(docs.count())
     base = base.withColumn("chunk", chunk_of(n_chunks, F.col("doc_id"), F.col("text")))
-    shared = shared_keys(base.select("text", "chunk").mapInArrow(_emit(window, buckets), PACKED))
+    shared = shared_keys(base.select("text", "chunk").mapInArrow(lean(_emit(window, buckets)), PACKED))
 
     kind = base.select("kept").schema["kept"].dataType
     kept_type, kept_sql = to_arrow_type(kind), kind.simpleString()

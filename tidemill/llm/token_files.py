@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, partitions, stored, text_slices
+from .common import lean, new_path, partitions, stored, text_slices
 from .tokens import SLICE, encoder
 
 MAGIC = b"TDAC"
@@ -176,7 +176,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, *, kind: st
         files.put(file, write_codes(flat, doc_ids, np.append(0, np.cumsum(lens))))
         yield pa.RecordBatch.from_pydict({"file": [k], "path": [file], "docs": [len(lens)], "tokens": [len(flat)]}, schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    return stored(sorted_rows.mapInArrow(run, "file int, path string, docs long, tokens long"), "token-manifest").orderBy("file")
+    return stored(sorted_rows.mapInArrow(lean(run), "file int, path string, docs long, tokens long"), "token-manifest").orderBy("file")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -204,4 +204,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]),
                 )
 
-    return content.mapInArrow(run, schema)
+    return content.mapInArrow(lean(run), schema)

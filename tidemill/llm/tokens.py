@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from .common import LOWER
 
-MEMO = 1_000_000  # distinct pieces kept by a worker; the first ones met are the frequent ones
+MEMO = 250_000  # distinct pieces kept by a worker; the first ones met are the frequent ones
 SLICE = 6 << 20
 RUN = 400  # pieces of one call
 _APART = re.compile(r"[\x00-\x1f]|  |[^\S ]")  # in a piece that is encoded by a call of its own: white space other than single spaces, and controls

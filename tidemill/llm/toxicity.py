@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, Words, among, mix64, text_slices
+from .common import SPACE_WORDS, U64, Words, among, lean, mix64, text_slices
 
 MAX_ROWS = 24_000  # labelled documents of a fit, at most
 MAX_LEXICON = 4_000  # words or word beginnings of the lexicon, at most
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", usable:
     known = spark.createDataFrame(chosen.toPandas(), "id long, label int, fold long")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")  # at most max_rows labels
 
-    counts = rows.where("fold < 5").select("text", "label").mapInArrow(lexicon_counts, "name long, toxic long, other long")
+    counts = rows.where("fold < 5").select("text", "label").mapInArrow(lean(lexicon_counts), "name long, toxic long, other long")
     counts = counts.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     n = known.where("fold < 5").agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     toxic, other = max(1, n[0]), max(1, n[1] - n[0])
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", usable:
                 x = model.features(buf, off)
                 yield pa.RecordBatch.from_arrays([b.column(1)[i:j], b.column(2)[i:j], *[pa.array(x[:, k]) for k in range(x.shape[1])]], names=["label", "fold", *[f"f{k}" for k in range(x.shape[1])]])
 
-    got = rows.where("fold >= 5").select("text", "label", F.col("fold").cast("long").alias("fold")).mapInArrow(described, f"label int, fold long, {shape}").toPandas()
+    got = rows.where("fold >= 5").select("text", "label", F.col("fold").cast("long").alias("fold")).mapInArrow(lean(described), f"label int, fold long, {shape}").toPandas()
     if not len(got):
         return model
     got = got.sort_values(list(got.columns)).reset_index(drop=True)
@@ -334,7 +334,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0)[i:j], "score": s, "predicted": (s >= threshold).astype(np.int32)}, schema=pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -349,4 +349,4 @@ def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_co
                 keep[i:j] = model.score(model.features(buf, off)) < threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, stored
+from .common import lean, new_path, stored
 
 FRAME = 256 << 10  # bytes of records in a frame, at least, but for the last
 BUNDLE = 64 << 20  # compressed bytes after which a bundle is closed
@@ -168,7 +168,7 @@ def write(pages: DataFrame, *, least: int = LEAST_REVISIT, id_col: str = "page_i
         if name:
             yield close()
 
-    return stored(marked.mapInArrow(run, "page_id long, path string, frame int, offset long, length long, record_type string"), "warc-index")
+    return stored(marked.mapInArrow(lean(run), "page_id long, path string, frame int, offset long, length long, record_type string"), "warc-index")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def read(index: DataFrame) -> DataFrame:
                             out[n].append(v)
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return content.mapInArrow(run, schema)
+    return content.mapInArrow(lean(run), schema)
 
 
 def fetch(index_row) -> tuple[dict, bytes | None]:
