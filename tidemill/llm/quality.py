@@ -34,9 +34,8 @@ SHARD = 1_000_000  # entries of a model shard, about
 BUFFER = 8 << 20  # bytes of text that a scoring task joins at a time
 BROADCAST_IDS = 1_000_000  # trusted ids up to which their table is broadcast (16 MB)
 LANG_BITS = 20
-CALIBRATION = 10  # one trusted document in so many is kept from the model, for the thresholds
-MARGIN = 1.25  # a perplexity within this factor of the threshold's quantile stays: the quantile of few documents is uncertain
-PRIOR = 200.0  # bytes of the language's median that a document's own bytes are averaged with
+CALIBRATION = 3  # one trusted document in so many is kept from the model, for the thresholds
+BROADCAST_LANGS = 100_000  # languages up to which their thresholds are broadcast (4 MB)
 
 
 def lang_code(lang: Column) -> Column:
@@ -228,26 +227,25 @@ def surprise(docs: DataFrame, shards: list[str]) -> DataFrame:
     return docs.select("doc_id", "lang", "code", "text").mapInArrow(lean(run), "doc_id long, lang string, n_bytes long, nats double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, trusted: str = "quality = 1", quantile: float = 0.995, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, trusted: str = "quality = 1", quantile: float = 0.999, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep), a row per input row.
 
-    trusted: which labels mark trusted text. A document stays if its perplexity
-    per byte, averaged with PRIOR bytes at its language's median so that short texts
-    are not judged by chance, is at most the threshold, margin times the quantile of
-    the same figure over its language's unseen trusted documents. Null and empty texts
+    trusted: which labels mark trusted text. The threshold is the quantile of the
+    perplexities, per byte, of its language's trusted documents that the model has not
+    seen; a document stays if its perplexity is at most that. Null and empty texts
     have no perplexity and do not stay; where a language has no trusted text to set
-    a threshold, all its other documents stay. A null language is one of its own.
+    a threshold, all its other documents stay. A null language is one of its own;
+    rows may repeat, other columns are ignored, an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), lang_code(F.col(lang_col).cast("string")).alias("code"), F.col(text_col).cast("string").alias("text"))
     good = labels.where(trusted).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(CALIBRATION)))
     few = good.count() <= BROADCAST_IDS  # checked; a longer list is joined by a shuffle
     seen = good.where("fold > 0")
     shards = write_shards(train(rows.join(F.broadcast(seen) if few else seen, F.col("doc_id") == F.col("id"), "left_semi")))
-    scored = stored(surprise(rows, shards), "surprise")
-    held = scored.where("n_bytes > 0").join(good.where("fold = 0"), F.col("doc_id") == F.col("id"), "left_semi").withColumn("lang", F.coalesce("lang", F.lit("")))
-    middle = held.groupBy("lang").agg(F.percentile_approx(F.col("nats") / F.col("n_bytes"), 0.5, 10000).alias("middle"))
-    even = (F.col("nats") + PRIOR * F.col("middle")) / (F.col("n_bytes") + PRIOR)
-    cut = held.join(middle, "lang").groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx(even, quantile, 10000).alias("cut"))
-    cut = cut.select(F.col("lang").alias("of"), "middle", (F.col("cut") + F.log(F.lit(margin))).alias("cut"))
-    out = scored.join(cut, F.coalesce(F.col("lang"), F.lit("")) == F.col("of"), "left")
-    return out.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes"))).alias("perplexity"), F.exp("cut").alias("threshold"), ((F.col("n_bytes") > 0) & F.coalesce(even <= F.col("cut"), F.lit(True))).alias("keep"))
+    scored = stored(surprise(rows, shards), "surprise").withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes"))))
+    held = scored.where("n_bytes > 0").join(good.where("fold = 0"), F.col("doc_id") == F.col("id"), "left_semi").withColumn("of", F.coalesce("lang", F.lit("")))
+    cut = stored(held.groupBy("of").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"), F.count(F.lit(1)).alias("n")), "thresholds")
+    scored = scored.withColumn("of", F.coalesce("lang", F.lit("")))
+    small = cut.count() <= BROADCAST_LANGS  # checked; a language code column has few values, and one may hold most rows
+    out = scored.join(F.broadcast(cut) if small else cut, "of", "left")
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", ((F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("keep"))

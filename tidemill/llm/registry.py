@@ -85,7 +85,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
-    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), trusted="quality = 1", quantile=0.995)
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), trusted="quality = 1", quantile=0.999)
 
 
 QUERIES = {
