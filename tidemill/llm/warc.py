@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import lean, new_path, stored
+from .common import HEAVY, lean, new_path, stored
 
 FRAME = 256 << 10  # bytes of records in a frame, at least, but for the last
 BUNDLE = 64 << 20  # compressed bytes after which a bundle is closed
@@ -76,11 +76,13 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_frame(data: bytes, frame: int) -> bytes:
+def frames(data: bytes):
+    """Yield the decompressed frames of a bundle."""
     import zstandard
 
-    start, packed, full = seek_table(data)[frame]
-    return zstandard.ZstdDecompressor().decompress(data[start : start + packed], max_output_size=full)
+    pack = zstandard.ZstdDecompressor()
+    for start, packed, full in seek_table(data):
+        yield pack.decompress(data[start : start + packed], max_output_size=full)
 
 
 def _line(text: str) -> str:
@@ -129,7 +131,8 @@ def write(pages: DataFrame, *, least: int = LEAST_REVISIT, id_col: str = "page_i
 
     Of rows whose payloads are equal and of at least `least` bytes, those with the
     largest id are responses and the others revisit it; shorter payloads are always
-    responses. Null html is an empty payload, a null url is left out. Rows that
+    responses. Null html is an empty payload, a null url is left out; an empty table
+    writes nothing, and payloads may have any length. Rows that
     repeat the largest id with the same payload are all responses; a null id is
     never the largest, and where all ids are null all rows are responses.
     """
@@ -138,8 +141,15 @@ def write(pages: DataFrame, *, least: int = LEAST_REVISIT, id_col: str = "page_i
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("size", F.octet_length(payload)).withColumn("name", F.when(F.col("size") >= least, F.sha2(payload, 256)))
-    same = rows.where("name is not null").groupBy("name").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null").select(F.col("name").alias("of"), "top")
-    marked = rows.join(same, rows["name"] == same["of"], "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top")).alias("refers_to"))
+    same = rows.where("name is not null").groupBy("name").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null").select(F.col("name").alias("of"), "top", "n")
+    # a payload that very many pages share is joined by broadcast; small ones have no name and stay out of the join
+    rows = rows.withColumn("name", F.coalesce("name", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    total = max(1, pages.count())
+    heavy = F.broadcast(same.where(F.col("n") > total // HEAVY))  # at most HEAVY payloads
+    joined = rows.join(heavy, rows["name"] == heavy["of"], "left")
+    most = joined.where("of is not null").drop("of", "n")
+    rest = joined.where("of is null").drop("of", "n", "top").join(same.where(F.col("n") <= total // HEAVY).drop("n"), F.col("name") == F.col("of"), "left").drop("of")
+    marked = most.unionByName(rest).select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top")).alias("refers_to"))
     schema = pa.schema([("page_id", pa.int64()), ("path", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string())])
 
     def run(batches):
@@ -180,11 +190,11 @@ def read(index: DataFrame) -> DataFrame:
     """
     spark = index.sparkSession
     schema = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    first = index.select("path").limit(1).collect()
-    if not first:
+    folders = [r["folder"] for r in index.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect()]  # a row per write
+    if not folders:
         return spark.createDataFrame([], schema)
     listed = index.select(F.element_at(F.split("path", "/"), -1).alias("name")).distinct()
-    content = spark.read.format("binaryFile").load(first[0]["path"].rsplit("/", 1)[0] + "/*.warc.zst").select("path", "content")
+    content = spark.read.format("binaryFile").load([f"{p}/*.warc.zst" for p in sorted(folders)]).select("path", "content")
     content = content.join(listed, F.element_at(F.split("path", "/"), -1) == F.col("name"), "left_semi").select("content")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
@@ -192,9 +202,9 @@ def read(index: DataFrame) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 data = data.as_py()
-                for frame in range(len(seek_table(data))):
+                for frame in frames(data):
                     out = {n: [] for n in arrow.names}
-                    for head, payload in parse(read_frame(data, frame)):
+                    for head, payload in parse(frame):
                         digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't match its digest")
@@ -208,10 +218,19 @@ def read(index: DataFrame) -> DataFrame:
 
 
 def fetch(index_row) -> tuple[dict, bytes | None]:
-    """One record by its index row: a single frame is decompressed."""
+    """One record by its index row: the footer, its entry of the seek table and its frame are read, nothing else of the bundle."""
+    import zstandard
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(index_row["path"])
     with system.open_input_file(path) as f:
-        data = f.read()
-    return next(parse(read_frame(data, index_row["frame"]), index_row["offset"]))
+        end = f.size()
+        n, flags, magic = struct.unpack("<IBI", f.read_at(9, end - 9))
+        if magic != SEEKABLE:
+            raise ValueError("no seek table")
+        width = 12 if flags & 0x80 else 8
+        table = f.read_at((index_row["frame"] + 1) * width, end - 9 - n * width)  # up to the frame's own entry
+        sizes = [struct.unpack_from("<II", table, k * width) for k in range(index_row["frame"] + 1)]
+        start, (packed, full) = sum(c for c, _ in sizes[:-1]), sizes[-1]
+        frame = zstandard.ZstdDecompressor().decompress(f.read_at(packed, start), max_output_size=full)
+    return next(parse(frame, index_row["offset"]))
