@@ -40,6 +40,41 @@ def test_token_files(spark):
     assert read_token_files(write_token_files(none, P.path("byte_bpe_50k.json"), 2)).count() == 0
 
 
+def test_files_are_rolled_and_read_by_header(spark):
+    from tidemill.llm.token_files import header, read_token_files, write_token_files
+
+    docs = spark.createDataFrame([(7, f"word {k} of many") for k in range(300)] + [(None, "none")] * 3, "doc_id long, text string")
+    files = write_token_files(docs, P.path("byte_bpe_50k.json"), 2, roll=1)
+    listed = files.collect()
+    assert sum(r["docs"] for r in listed) == 303 and all(header(r["path"])["ids"] == r["tokens"] for r in listed)
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in read_token_files(files).collect())
+    assert [g[0] for g in got] == np.append(0, np.cumsum([g[1] for g in got])[:-1]).tolist()
+    assert [g[2] for g in got] == [None] * 3 + [7] * 300
+
+
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_encoder_on_random_texts(name, kind):
+    """Ids of 20,000 random texts of white space of all kinds, letters, marks and signs equal those of direct calls."""
+    import pyarrow as pa
+
+    from tidemill.llm.common import text_slices
+    from tidemill.llm.tokens import Encoder
+
+    space = [" ", "  ", "\n", "\r\n", "\t", "\x0b", "\x0c", "\xa0", "\u2003", "\u2028", "\x85", "\u3000", "\u202f", "\u200b", "\ufeff", "\x1c", "\x1f", "\x00", "\x01", "\u1680", " \n", "\n\n", " \xa0"]
+    letters = [*"abzAZ019_", "é", "É", "ß", "İ", "ж", "中", "ا", "क", "ि", "\u0301", "\u0338", "ﬁ", "½", "the", "Hello", "don't", "I'M", "'s", "'", "’", "×", "÷", "à"]
+    signs = [*"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "…", "—", "😀", "€"]
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(rng.choice((space, letters, letters, signs))) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    texts += ["Intro:\n\xa0 text", "para.\n\n\xa0\xa0Next", "a <|endoftext|> b"]
+    made = Encoder(P.path(name), kind)
+    for k in range(0, len(texts), 700):
+        part = texts[k : k + 700]
+        for i, j, buf, off in text_slices(pa.array(part)):
+            ids, first = made.encode(buf, off)
+            for d, want in enumerate(made.tok.encode_batch(part[i:j], add_special_tokens=False)):
+                assert ids[first[d] : first[d + 1]].tolist() == want.ids, part[i + d]
+
+
 def test_codes_give_random_access():
     from tidemill.llm.token_files import Codes, write_codes
 
@@ -76,6 +111,31 @@ def test_packing(spark):
         assert at <= 64
 
 
+def test_packing_of_repeated_and_missing_ids(spark):
+    """Every row is a document of its own; little padding; no row from an empty table."""
+    from tidemill.llm.packing import pack
+
+    ids = reference_ids("word_bpe_49k.json", 1)
+    rows = [(k % 3 or None, t) for k, t in enumerate(TEXTS * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = pack(docs, P.path("word_bpe_49k.json"), 1, window=64).collect()
+    assert sum(r["length"] for r in got) == sum(len(ids(t)) for _, t in rows)
+    ends = [r["doc_tokens"] for r in got if r["start"] + r["length"] == r["doc_tokens"]]
+    assert sorted(ends) == sorted(len(ids(t)) for _, t in rows)
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    padding = 0
+    for pieces in seqs.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        padding += 0 if at & (at - 1) == 0 else 64 - at
+    assert padding <= 16 * len(seqs) and padding < 0.05 * sum(r["length"] for r in got)
+    assert pack(docs.limit(0), P.path("word_bpe_49k.json"), 1).count() == 0
+
+
 def test_best_fit_takes_the_tightest_window():
     from tidemill.llm.packing import RoomTree, best_fit
 

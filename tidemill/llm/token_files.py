@@ -32,6 +32,7 @@ from .tokens import SLICE, encoder
 MAGIC = b"TDAC"
 BLOCK = 512  # bits of a bitmap between entries of the rank directory
 GROUP = 1 << 20  # ids packed at a time
+ROLL = 1 << 23  # ids after which a file is closed, about
 
 
 def level_widths(ids: np.ndarray) -> list[int]:
@@ -147,56 +148,91 @@ class Codes:
         return out
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, *, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, *, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text", path: str | None = None, roll: int = ROLL) -> DataFrame:
     """Encode whole texts and write them as files in ascending order of id.
 
     Returns the files: (file, path, docs, tokens), in order. Null text counts as
-    empty, null ids come first, equal ids keep their texts' order; an empty table
-    writes no file. Documents are dealt to files by ranges of their id.
+    empty, null ids come first, equal ids come in the order of a hash of their texts; an
+    empty table writes no file. Documents are dealt to tasks by ranges of id and text hash, so that
+    one id may span several, and a task closes a file after roll ids, or after the
+    document that goes beyond. Other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sorted_rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    sorted_rows = rows.repartitionByRange(partitions(spark), "id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
+    schema = pa.schema([("file", pa.string()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
         enc = encoder(vocabulary, kind)
-        ids, doc_ids, counts = [], [], []
+        task, n_files = TaskContext.get().partitionId(), 0
+        ids, doc_ids, counts, held = [], [], [], 0
+
+        def close():
+            file = f"ids-{task:06d}-{n_files:06d}.tdac"
+            where = f"{files.folder(path)}/{file}"
+            flat, lens = np.concatenate(ids), np.concatenate(counts)
+            files.put(where, write_codes(flat, doc_ids, np.append(0, np.cumsum(lens))))
+            return pa.RecordBatch.from_pydict({"file": [file], "path": [where], "docs": [len(lens)], "tokens": [len(flat)]}, schema=schema)
+
         for b in batches:
-            doc_ids += b.column(0).to_pylist()
+            names = b.column(0).to_pylist()
             for i, j, buf, off in text_slices(b.column(1), SLICE):
                 got, first = enc.encode(buf, off)
                 ids.append(np.insert(got, first[1:], np.uint32(end_id)))
                 counts.append(np.diff(first) + 1)
-        if not doc_ids:
-            return
-        k = TaskContext.get().partitionId()
-        flat, lens = np.concatenate(ids), np.concatenate(counts)
-        file = f"{files.folder(path)}/ids-{k:06d}.tdac"
-        files.put(file, write_codes(flat, doc_ids, np.append(0, np.cumsum(lens))))
-        yield pa.RecordBatch.from_pydict({"file": [k], "path": [file], "docs": [len(lens)], "tokens": [len(flat)]}, schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+                doc_ids += names[i:j]
+                held += len(ids[-1])
+                if held >= roll:
+                    yield close()
+                    n_files += 1
+                    ids, doc_ids, counts, held = [], [], [], 0
+        if doc_ids:
+            yield close()
+
+    return stored(sorted_rows.mapInArrow(lean(run), "file string, path string, docs long, tokens long"), "token-manifest").orderBy("file")
 
-    return stored(sorted_rows.mapInArrow(lean(run), "file int, path string, docs long, tokens long"), "token-manifest").orderBy("file")
+
+def header(path: str) -> dict:
+    """A file's header, without reading what follows."""
+    from pyarrow import fs
+
+    system, p = fs.FileSystem.from_uri(path)
+    with system.open_input_file(p) as f:
+        if f.read(4) != MAGIC:
+            raise ValueError("not a token file")
+        return json.loads(f.read(int.from_bytes(f.read(4), "little")))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Read files back, a row per document: id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Read files back, a row per document: id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    manifest: file and path of each file, the order of files being that of their
+    names. How many ids come before a file is added up from the files' headers.
+    Null ids come back as null; without files there are no rows.
+    """
     spark = manifest.sparkSession
-    listed = manifest.orderBy("file").collect()  # a row per file
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+    def heads(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"file": b.column(0), "path": b.column(1), "ids": [header(p)["ids"] for p in b.column(1).to_pylist()]}, schema=pa.schema([("file", pa.string()), ("path", pa.string()), ("ids", pa.int64())]))
+
+    listed = sorted(manifest.select("file", "path").mapInArrow(heads, "file string, path string, ids long").collect())  # a row per file
     if not listed:
         return spark.createDataFrame([], schema)
-    before, starts = 0, {}
-    for r in listed:
-        starts[r["path"].rsplit("/", 1)[1]] = before
-        before += r["tokens"]
-    content = spark.read.format("binaryFile").load(listed[0]["path"].rsplit("/", 1)[0] + "/*.tdac").select("path", "content")
+    starts = dict(zip((r["file"] for r in listed), np.append(0, np.cumsum([r["ids"] for r in listed])).tolist()))
+    folders = sorted({r["path"].rsplit("/", 1)[0] for r in listed})
+    content = spark.read.format("binaryFile").load([f"{p}/*.tdac" for p in folders]).select("path", "content")
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                start = starts.get(name.rsplit("/", 1)[1])
+                if start is None:
+                    continue  # not of this manifest
                 codes = Codes(data.as_py())
-                first, start = codes.first, starts[name.rsplit("/", 1)[1]]
+                first = codes.first
                 raw = codes.all_ids().astype("<u4")
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_pydict(
