@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, U64, Scratch, Words, bucket_count, chunk_count, lean, mix64, numbered, packed, per_bucket, rolling, shared_keys, split_join, stored, text_slices
+from .common import PACKED, U64, Scratch, Words, bucket_count, chunk_count, lean, mix64, packed, per_bucket, rolling, shared_keys, split_join, stored, text_slices
 from .components import components
 
 PLACE = 256  # sets of a place
@@ -263,6 +263,7 @@ def _links_at_homes(work: Scratch, live: DataFrame, sets: DataFrame, measure: Me
 
 _RARE = [("bucket", pa.int32()), ("tokens", pa.binary()), ("sids", pa.binary()), ("groups", pa.binary()), ("comps", pa.binary()), ("weights", pa.binary()), ("bands", pa.binary())]
 _RARE_SQL = "bucket int, tokens binary, sids binary, groups binary, comps binary, weights binary, bands binary"
+_OPENED = pa.schema([("sid", pa.int64()), ("grp", pa.int64())])
 
 
 def _offer_rare(buckets: int):
@@ -291,46 +292,39 @@ def _offer_rare(buckets: int):
     return run
 
 
-_ASK = pa.schema([("sid", pa.int64()), ("grp", pa.int64())])
-
-
 def _queries(held: dict):
-    """Distinct (sid, grp) of a bucket: sets and groups of other components that share a rare shingle and may fit in size.
+    """Distinct (sid, grp) of a bucket: sets and groups that share a rare shingle, are not all of one component and may fit in size.
 
-    Of two components, the one with fewer sets asks and the other is asked.
+    Of two groups, the one with fewer sets asks and the other is asked; a group asks itself.
     """
     token = np.frombuffer(b"".join(held["tokens"]), U64)
     sid, grp, comp, weight, band = (np.frombuffer(b"".join(held[c]), np.int64) for c in ("sids", "groups", "comps", "weights", "bands"))
-    order = np.lexsort((grp, comp, token))
+    order = np.lexsort((comp, grp, token))
     token, sid, grp, comp, weight, band = (x[order] for x in (token, sid, grp, comp, weight, band))
     if not len(token):
         return
     at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     end = np.append(at[1:], len(token))
-    mixed = comp[at] != comp[end - 1]
-    at, end = at[mixed], end[mixed]
+    mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
     found, n = [], 0
 
-    def pairs(i, j):
-        """Of entries i and groups of entries j."""
-        light = (weight[i] < weight[j]) | ((weight[i] == weight[j]) & (comp[i] < comp[j]))
-        ok = light & (comp[i] != comp[j]) & (np.abs(band[i] - band[j]) <= 1)
-        return np.stack([sid[i[ok]], grp[j[ok]]], axis=1)
-
     def flush():
         p = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_ASK)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_OPENED)
 
-    for a, b in zip(at.tolist(), end.tolist()):
-        every = np.arange(a, b)
-        heads = every[np.append(True, (grp[a + 1 : b] != grp[a : b - 1]))]  # an entry of each group
-        step = max(1, (1 << 20) // len(heads))
+    for a, b in zip(at[mixed].tolist(), end[mixed].tolist()):
+        head = a + np.flatnonzero(np.append(True, grp[a + 1 : b] != grp[a : b - 1]))  # the first entry of each group
+        least, most = comp[head], comp[np.append(head[1:], b) - 1]
+        step = max(1, (1 << 20) // len(head))
         for x in range(a, b, step):
             i = np.arange(x, min(b, x + step))
-            p = pairs(np.repeat(i, len(heads)), np.tile(heads, len(i)))
-            if len(p):
-                found.append(p)
-                n += len(p)
+            i, j = np.repeat(i, len(head)), np.tile(np.arange(len(head)), len(i))
+            g = head[j]
+            asks = (weight[i] < weight[g]) | ((weight[i] == weight[g]) & (grp[i] <= grp[g]))
+            ok = asks & ((least[j] != comp[i]) | (most[j] != comp[i])) & (np.abs(band[i] - band[g]) <= 1)
+            if ok.any():
+                found.append(np.stack([sid[i[ok]], grp[g[ok]]], axis=1))
+                n += len(found[-1])
             if n > 1 << 20:
                 yield flush()
                 found, n = [], 0
@@ -351,16 +345,14 @@ def _links_across(work: Scratch, live: DataFrame, sets: DataFrame, known: DataFr
     """(a, b): a link between any two components of known that have one, for the remaining pairs of sets; None if no pair remains."""
     spark = live.sparkSession
     edges = F.array(*[F.lit(int(x)) for x in measure.bands(top)])
-    tagged = live.join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component", "homes", "typical", "hi", "lo", "hash")
+    tagged = live.withColumn("home", F.col("homes")[0]).drop("homes", "typical", "hi", "lo", "hash").join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     tagged = work.store(tagged.withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("size"))).cast("long")), "tagged")
     n_live = tagged.count()
-    slim = tagged.select("sid", "comp", "band", "size")
-    per_comp = work.store(slim.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "component-sizes")
-    per_band = slim.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"))
-    per_band = work.store(per_band.withColumn("blocks", F.greatest(F.ceil(F.col("n") / UNITE), F.ceil(F.col("bytes") / PLACE_BYTES))), "band-sizes")
-    weighed = work.store(split_join(tagged, per_comp, ["comp"], "weight", n_live), "weighed")
-    grp = F.xxhash64("comp", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    grouped = work.store(split_join(weighed, per_band, ["comp", "band"], "n", n_live).withColumn("grp", grp).drop("n", "bytes", "blocks"), "grouped")
+    kinds = tagged.groupBy("home", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"))
+    kinds = kinds.withColumn("blocks", F.greatest(F.ceil(F.col("n") / UNITE), F.ceil(F.col("bytes") / PLACE_BYTES)))
+    kinds = work.store(kinds.select("home", "band", "n", "blocks", F.ceil(F.col("n") / F.col("blocks")).alias("weight")), "group-sizes")
+    grp = F.xxhash64("home", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    grouped = work.store(split_join(tagged, kinds, ["home", "band"], "n", n_live).withColumn("grp", grp).drop("n", "blocks", "home"), "grouped")
 
     buckets = bucket_count(spark, 48 * (tagged.agg(F.sum(F.octet_length("rare"))).first()[0] or 0) // 8)
     offered = grouped.select("sid", "grp", "comp", "weight", "band", "rare").mapInArrow(lean(_offer_rare(buckets)), _RARE_SQL)
@@ -382,7 +374,7 @@ def _links_across(work: Scratch, live: DataFrame, sets: DataFrame, known: DataFr
 
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _ASK.empty_table()
+            return _OPENED.empty_table()
         u = left.to_pylist()[0]
         tokens = np.frombuffer(u["tokens"], U64)
         keep = []
@@ -402,41 +394,49 @@ def _links_across(work: Scratch, live: DataFrame, sets: DataFrame, known: DataFr
     if load.isEmpty():
         return None
     n_asked = fit.count()
-    members = spread(grouped.select("sid", "grp").join(load.select("grp"), "grp", "left_semi").join(sets, "sid"), load)
-    openers = dealt(fit, load).join(sets.toDF(*sets.columns), "sid")
+    members = spread(grouped.select("sid", "grp", "comp").join(load.select("grp"), "grp", "left_semi").join(sets, "sid"), load)
+    openers = dealt(fit, load).join(tagged.toDF(*tagged.columns).select("sid", "comp"), "sid").join(sets.toDF(*sets.columns), "sid")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _PAIR.empty_table()
-        held = _rows(left, "sid", "shingles")
-        names, inside = list(held), [np.frombuffer(s, U64) for s in held.values()]
-        size = np.array([len(s) for s in inside])
+        names, comp = left.column("sid").to_numpy(), left.column("comp").to_numpy()
+        inside = [np.frombuffer(x, U64) for x in left.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in inside])
         cat = np.concatenate(inside)
+        union = np.unique(cat)
         at = np.append(0, np.cumsum(size)[:-1])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
         found = [[], []]
-        for name, s in _rows(right, "sid", "shingles").items():
-            own = np.frombuffer(s, U64)
+        for name, mine, x in zip(right.column("sid").to_pylist(), right.column("comp").to_pylist(), right.column("shingles").to_pylist()):
+            own = np.frombuffer(x, U64)
+            place = np.minimum(np.searchsorted(union, own), len(union) - 1)
+            if (union[place] == own).sum() < measure.least(max(len(own), int(size.min()))):
+                continue
             place = np.minimum(np.searchsorted(own, cat), len(own) - 1)
             both = np.add.reduceat(own[place] == cat, at, dtype=np.int64)
-            hit = np.flatnonzero(measure.links(both, len(own), size))
-            if len(hit):  # all members are of one component, so one link will do
-                found[0].append(name)
-                found[1].append(names[hit[0]])
+            for k in np.flatnonzero(measure.links(both, len(own), size) & (comp != mine)).tolist():
+                other = int(comp[k])
+                if find(other) != find(mine):  # a forest over components, not all links
+                    root[find(other)] = find(mine)
+                    found[0].append(name)
+                    found[1].append(int(names[k]))
         return pa.Table.from_pydict({"a": found[0], "b": found[1]}, schema=_PAIR)
 
     return members.groupBy("grp", "part").cogroup(openers.groupBy("grp", "part")).applyInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per input row.
+def _classified(docs: DataFrame, n: int, threshold: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, hash, n_shingles, component, component_id), a row per input row.
 
-    Two documents link when their shingle sets' Jaccard similarity is at least
-    threshold (numerator, denominator); component_id is the smallest id reachable
-    over links. Texts without words, and null ones, have no shingle, link with
-    nothing and are their own component. Equal ids and rows that come twice are
-    documents of their own with one id; a null id is never a component's name
-    unless all its members' ids are null. Other columns are ignored, an empty table
-    gives no rows, and texts may have any length.
+    hash is the text's; component names a component of at least two rows, and is null
+    for a row that links with nothing; component_id is its smallest id.
     """
     measure = Measure(*threshold)
     spark = docs.sparkSession
@@ -487,16 +487,30 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int
     named = own.withColumn("component", F.col("sid")) if links is None else own.join(links.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = work.store(named, "jaccard-named")
     least = work.store(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"), F.sum("copies").alias("docs")).where("docs > 1").drop("docs"), "jaccard-least")
-    classes = work.store(split_join(named, least, ["component"], "n", named.count()).select("hi", "lo", "component_id", "copies"), "jaccard-classes")
-    out = ["doc_id", "n_shingles", "component_id"]
-    base = described.drop("prefix", "hash")
-    named = split_join(base.where("hi is not null"), classes, ["hi", "lo"], "copies", max(1, n_rows), "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    found = stored(named.unionByName(base.where("hi is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).select(*out), "jaccard-components")
+    classes = work.store(split_join(named, least, ["component"], "n", named.count()).select("hi", "lo", "component", "component_id", "copies"), "jaccard-classes")
+    base = described.drop("prefix")
+    named = split_join(base.where("hi is not null"), classes, ["hi", "lo"], "copies", max(1, n_rows), "left").select("doc_id", "hash", "n_shingles", "component", "component_id")
+    none = base.where("hi is null").select("doc_id", "hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("component_id"))
+    found = stored(named.unionByName(none), "jaccard-classified")
     work.clear()
     return found
 
 
+def jaccard_components(docs: DataFrame, *, n: int = 3, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per input row.
+
+    Two documents link when their shingle sets' Jaccard similarity is at least
+    threshold (numerator, denominator); component_id is the smallest id reachable
+    over links. Texts without words, and null ones, have no shingle, link with
+    nothing and are their own component. Equal ids and rows that come twice are
+    documents of their own with one id; a null id is never a component's name
+    unless all its members' ids are null. Other columns are ignored, an empty table
+    gives no rows, and texts may have any length.
+    """
+    found = _classified(docs, n, threshold, id_col, text_col)
+    return found.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def keep_first(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each component of rows that with the smallest id stays.
 
@@ -505,14 +519,15 @@ def keep_first(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4,
     and stay. Texts without words have no duplicates and stay. All columns are
     returned as they are, whatever their names; an empty table stays empty.
     """
-    rows = numbered(docs, "jaccard-documents")
-    ident, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
-    found = jaccard_components(rows.select("number", text.alias("text")), n=n, threshold=threshold, id_col="number", text_col="text")
-    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = stored(many, "jaccard-many")
-    members = split_join(found.select(F.col("doc_id").alias("number"), "component_id"), many, ["component_id"], "n", max(1, found.count())).select("number", "component_id")
-    ids = rows.where(ident.isNotNull()).select("number", ident.cast("long").alias("id"), F.xxhash64(text).alias("hash"))
-    members = stored(ids.join(members, "number"), "jaccard-members")
-    first = members.groupBy("component_id").agg(F.min(F.struct("id", "hash", "number")).alias("least")).select(F.col("least.number").alias("number"))
-    gone = members.select("number").join(first, "number", "left_anti")
-    return rows.join(gone, "number", "left_anti").select("row.*")
+    found = _classified(docs, n, threshold, id_col, text_col).where("component is not null and doc_id is not null").select("component", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    keys = stored(found.groupBy("component", "_id", "_hash").agg(F.count(F.lit(1)).alias("n")), "jaccard-keys")
+    first = keys.groupBy("component").agg(F.min(F.struct("_id", "_hash", "n")).alias("first")).select("first.*")
+    twice = stored(first.where("n > 1").select("_id", "_hash"), "jaccard-twice")  # the first document stands in several rows
+    gone = keys.select("_id", "_hash").join(first.where("n = 1").select("_id", "_hash"), ["_id", "_hash"], "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"))
+    kept = rows.join(gone, ["_id", "_hash"], "left_anti").select("row.*")
+    if twice.isEmpty():
+        return kept
+    one = rows.join(twice, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.first("row").alias("row"))
+    return kept.unionByName(one.select("row.*"))
