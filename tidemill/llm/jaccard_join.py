@@ -38,7 +38,7 @@ from .components import components
 
 PLACE = 256  # sets of a place
 PLACE_BYTES = 8 << 20  # and bytes of their shingles, on average
-UNITE = 64  # sets of a stored group
+UNITE = 128  # sets of a stored group
 GROUP = 16  # sets whose tokens are united in a place's matrix
 ASKED = 1_000  # queries that meet a group in one task
 SPREAD = 8  # of the shingles that linked sets share, one in so many must be in both prefixes
