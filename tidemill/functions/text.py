@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strip(c: Column) -> Column:
@@ -26,11 +30,23 @@ def has_key(raw: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(raw), key), F.lit(False))
 
 
+@F.pandas_udf(T.StringType())
+def _shown(raw: pd.Series, key: pd.Series) -> pd.Series:
+    """A key's value as the host language prints it; null for null rows."""
+    return pd.Series([None if r is None else str(json.loads(r)[k]) for r, k in zip(raw, key)], dtype=object)
+
+
 def as_text(raw: Column, key: str) -> Column:
-    """A key's value as text: a missing key is empty, a null one is the word None, truth values are capitalised."""
-    value = F.variant_get(F.try_parse_json(raw), f"$.{key}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), f"$.{key}", "variant"))
-    shown = F.when(kind == "BOOLEAN", F.initcap(value)).otherwise(value)
+    """A key's value as text: a missing key is empty, a null one is the word None, truth values are capitalised.
+
+    Fractions, lists and objects are shown as the ingestion code's host language
+    prints them; only rows that have such a value are handed to Python.
+    """
+    parsed = F.try_parse_json(raw)
+    value = F.try_variant_get(parsed, f"$.{key}", "string")
+    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+    other = kind.rlike("^(DOUBLE|FLOAT|DECIMAL|ARRAY|OBJECT)")
+    shown = F.when(kind == "BOOLEAN", F.initcap(value)).when(other, _shown(F.when(other, raw), F.lit(key))).otherwise(value)
     return F.when(~has_key(raw, key), "").otherwise(F.coalesce(shown, F.lit("None")))
 
 

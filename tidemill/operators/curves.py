@@ -32,10 +32,10 @@ def noise_floor(curves: DataFrame, run: str = "run_id", epoch: str = "epoch", lo
 def interpolate(rows: DataFrame, by: str, index: str, value: str) -> DataFrame:
     """Add value_filled: linear in the index between known values, nothing outside them."""
     back = Window.partitionBy(by).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy(index).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(by).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, 0)  # growing frames, so that a run is read once each way
     at = F.when(F.col(value).isNotNull(), F.col(index))
     x0, y0 = F.last(at, ignorenulls=True).over(back), F.last(value, ignorenulls=True).over(back)
-    x1, y1 = F.first(at, ignorenulls=True).over(ahead), F.first(value, ignorenulls=True).over(ahead)
+    x1, y1 = F.last(at, ignorenulls=True).over(ahead), F.last(value, ignorenulls=True).over(ahead)
     return rows.withColumns({"_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1}).withColumn("value_filled", F.coalesce(F.col(value), F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col(index) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")))).drop("_x0", "_y0", "_x1", "_y1")
 
 
@@ -113,51 +113,74 @@ def least_squares(f, x: np.ndarray, y: np.ndarray, start, calls: int = 5000, dam
     return None
 
 
+def _fitted(y: np.ndarray, ahead: int) -> np.ndarray:
+    """A row per family that fits: its values on the known epochs and on those ahead."""
+    x = np.arange(1, len(y) + ahead + 1, dtype=float)
+    with np.errstate(all="ignore"):
+        found = {name: fit_family(name, x[: len(y)], y) for name in FAMILIES}
+        rows = np.array([FAMILIES[name][0](x, *p) for name, p in found.items() if p is not None]).reshape(-1, len(x))
+    return rows[np.isfinite(rows[:, len(y) :]).all(axis=1)]
+
+
 def forecast(losses: list[float], horizons: list[int]) -> dict:
     """median, lower_5 and upper_95 for each horizon, and the number of families that fitted.
 
     Families are weighted by exp(-sse / deviation of the sses); a single family has
-    weight 1. With none the last value is repeated, with a wide band.
+    weight 1. With none the last value is repeated, with a band of one deviation of 1.
     """
-    if not horizons or min(horizons) < 1:
-        raise ValueError("horizons start at 1")
-    n = len(losses)
-    if not n:
-        raise ValueError("no losses")
-    x, y = np.arange(1, n + 1, dtype=float), np.array(losses, float)
-    ahead = np.arange(n + 1, n + max(horizons) + 1, dtype=float)
-    fits = []
-    with np.errstate(all="ignore"):
-        for name, (f, _) in FAMILIES.items():
-            p = fit_family(name, x, y)
-            if p is None:
-                continue
-            r, future = f(x, *p) - y, f(ahead, *p)
-            if np.isfinite(future).all():
-                fits.append((float(r @ r), float(np.std(r)) + 1e-6, future))
-    if not fits:
-        flat = [float(y[-1])] * len(horizons)
-        return {"median": flat, "lower_5": [v - Z90 for v in flat], "upper_95": [v + Z90 for v in flat], "n_families": 0}
-    sse = np.array([a for a, _, _ in fits])
-    w = np.ones(1) if len(fits) == 1 else np.exp(-(sse - sse.min()) / (np.std(sse) + 1e-8))
-    w = w / w.sum()
-    mid, std = sum(a * f for a, (_, _, f) in zip(w, fits)), float(sum(a * s for a, (_, s, _) in zip(w, fits)))
-    median = [float(mid[h - 1]) for h in horizons]
-    return {"median": median, "lower_5": [v - Z90 * std for v in median], "upper_95": [v + Z90 * std for v in median], "n_families": len(fits)}
+    if not losses or not horizons or min(horizons) < 1:
+        raise ValueError("a forecast needs losses, and horizons from 1")
+    y, at = np.array(losses, float), np.array(horizons) - 1
+    curves = _fitted(y, int(at.max()) + 1)
+    if len(curves):
+        left = curves[:, : len(y)] - y
+        sse = np.square(left).sum(axis=1)
+        score = (sse - sse.min()) / (sse.std() + 1e-8)
+        weight = np.exp(-score) / np.exp(-score).sum()
+        middle, spread = weight @ curves[:, len(y) + at], weight @ (left.std(axis=1) + 1e-6)
+    else:
+        middle, spread = np.full(len(at), y[-1]), 1.0
+    band = {name: (middle + z * spread).tolist() for name, z in (("median", 0.0), ("lower_5", -Z90), ("upper_95", Z90))}
+    return {**band, "n_families": len(curves)}
 
 
 FORECASTS = "run_id long, cutoff int, horizon int, median double, lower_5 double, upper_95 double, n_families int"
 
 
-def forecast_runs(curves: DataFrame, horizons: list[int] = (1, 2, 3), most: int = 100) -> DataFrame:
-    """Forecast each run (run_id, epoch, loss) from its first `most` epochs; a run's curve is bounded by its epochs."""
+def forecast_runs(curves: DataFrame, horizons: list[int] = (1, 2, 3), upto: int | None = None) -> DataFrame:
+    """Forecast each run (run_id, epoch, loss) from all its epochs, or from those up to a cutoff if one is given."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("epoch")["loss"].tolist()
         f = forecast(y, list(horizons))
         return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "cutoff": len(y), "horizon": list(horizons), "median": f["median"], "lower_5": f["lower_5"], "upper_95": f["upper_95"], "n_families": f["n_families"]})
 
-    return curves.select("run_id", "epoch", "loss").where(F.col("loss").isNotNull() & (F.col("epoch") <= most)).groupBy("run_id").applyInPandas(one, FORECASTS)
+    rows = curves.select("run_id", "epoch", "loss").where("loss is not null")
+    rows = rows if upto is None else rows.where(F.col("epoch") <= upto)
+    return rows.groupBy("run_id").applyInPandas(one, FORECASTS)
+
+
+BACKTEST = "run_id long, cutoff int, horizon int, arm string, actual double, pred double, mape double"
+
+
+def backtest_fits(curves: DataFrame, cutoffs: list[int], horizons: list[int]) -> DataFrame:
+    """(run_id, cutoff, horizon, arm, actual, pred, mape): the parametric forecasts, from each cutoff that a run reaches, beside what came."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("epoch")
+        known = dict(zip(pdf["epoch"].tolist(), pdf["loss"].tolist()))
+        out = []
+        for c in cutoffs:
+            seen = pdf.loc[pdf["epoch"] <= c, "loss"].tolist()
+            wanted = [h for h in horizons if c + h in known]
+            if len(seen) < c or not wanted:
+                continue
+            for h, p in zip(wanted, forecast(seen, wanted)["median"]):
+                actual = known[c + h]
+                out.append((pdf["run_id"].iloc[0], c, h, "parametric", actual, p, 100 * abs(actual - p) / max(abs(actual), 1e-8)))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in BACKTEST.split(", ")])
+
+    return curves.select("run_id", "epoch", "loss").where("loss is not null").groupBy("run_id").applyInPandas(one, BACKTEST)
 
 
 ACTIONS = ("CONTINUE", "STOP_EARLY", "ADJUST_LR", "INVESTIGATE")

@@ -66,9 +66,9 @@ def pairs_lsh(vectors: DataFrame, threshold: float = 0.92, pos: str = "pos", vec
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_neighbors).drop("_r")
 
 
-def candidate_pairs(vectors: DataFrame, threshold: float = 0.92, use_ann: bool = True, **kw) -> DataFrame:
-    """Exact for small tables or on request, hashed otherwise."""
-    return pairs_exact(vectors, threshold, **kw) if not use_ann or vectors.count() <= EXACT_UP_TO else pairs_lsh(vectors, threshold, **kw)
+def candidate_pairs(vectors: DataFrame, threshold: float = 0.92, use_ann: bool = True, exact_up_to: int = EXACT_UP_TO, **kw) -> DataFrame:
+    """Exact for tables of up to exact_up_to rows or on request, hashed, and thus perhaps fewer, otherwise."""
+    return pairs_exact(vectors, threshold, **kw) if not use_ann or vectors.count() <= exact_up_to else pairs_lsh(vectors, threshold, **kw)
 
 
 def verified(pairs: DataFrame, answers: DataFrame) -> DataFrame:

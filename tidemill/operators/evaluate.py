@@ -14,10 +14,11 @@ def score_mean(scores: Column) -> Column:
 
 
 def zip_outputs(base: DataFrame, tuned: DataFrame, pos: str = "pos") -> DataFrame:
-    """Join outputs by position; tables of unequal length are an error at run time."""
-    both = base.select(pos, "question", "reference", F.col("output").alias("base_output")).join(tuned.select(pos, F.col("output").alias("ft_output")), pos, "full")
-    bad = F.col("base_output").isNull() | F.col("ft_output").isNull()
-    return both.withColumn("ft_output", F.when(bad, F.raise_error(F.lit("outputs differ in length")).cast("string")).otherwise(F.col("ft_output")))
+    """Join outputs by position; tables of unequal length are an error at run time, a null output is none."""
+    left = base.select(pos, "question", "reference", F.col("output").alias("base_output"), F.lit(True).alias("_base"))
+    both = left.join(tuned.select(pos, F.col("output").alias("ft_output"), F.lit(True).alias("_tuned")), pos, "full")
+    bad = F.col("_base").isNull() | F.col("_tuned").isNull()
+    return both.withColumn("ft_output", F.when(bad, F.raise_error(F.lit("outputs differ in length")).cast("string")).otherwise(F.col("ft_output"))).drop("_base", "_tuned")
 
 
 def with_margin(judged: DataFrame) -> DataFrame:

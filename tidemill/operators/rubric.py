@@ -75,17 +75,19 @@ def replayed(rows: DataFrame, replies: DataFrame, prompt: str = "prompt") -> Dat
 def parse_scores(reply: Column) -> Column:
     """clarity, correctness, value, avg_score, keep, keep_present, reason, curation_failed of a reply.
 
-    A reply must be a JSON object with three numbers and a reason that is not
-    empty; anything else, a missing reply included, is a failure row of nulls.
+    A reply must be a JSON object with three numbers and a reason that is a string and
+    not empty; anything else, a missing reply included, is a failure row of nulls.
+    keep counts only where it is a truth value.
     """
     body = strip_fence(reply)
     v = F.try_parse_json(body)
-    number = lambda k: F.try_variant_get(v, f"$.{k}", "double")
-    reason = F.try_variant_get(v, "$.reason", "string")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    number = lambda k: F.when(kind(k).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, f"$.{k}", "double"))
+    reason = F.when(kind("reason") == "STRING", F.try_variant_get(v, "$.reason", "string"))
     fine = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)) & F.coalesce(F.length(reason) > 0, F.lit(False))
     for k in RUBRIC:
         fine = fine & number(k).isNotNull()
-    keep = F.try_variant_get(v, "$.keep", "boolean")
+    keep = F.when(kind("keep") == "BOOLEAN", F.try_variant_get(v, "$.keep", "boolean"))
     present = F.coalesce(F.array_contains(F.json_object_keys(body), "keep"), F.lit(False))
     mean = (number("clarity") + number("correctness") + number("value")) / 3
     return F.struct(*[F.when(fine, number(k)).alias(k) for k in RUBRIC], F.when(fine, mean).alias("avg_score"), F.when(fine, keep).alias("keep"), F.when(fine, present).otherwise(F.lit(False)).alias("keep_present"), F.when(fine, reason).otherwise("evaluation failed").alias("reason"), (~fine).alias("curation_failed"))

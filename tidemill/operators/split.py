@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_position(df: DataFrame, *order: str, name: str = "pos", buckets: int = 64) -> DataFrame:
+def with_position(df: DataFrame, *order: str, name: str = "pos", buckets: int | None = None) -> DataFrame:
     """Dense positions from 0 by an ordering, without one task for all rows.
 
     Rows are ranged over partitions and counted there; the partitions' counts are
     added up on the driver (a number per partition), and positions follow inside each.
+    buckets: ranges, as many as the session's shuffle partitions if not given.
     """
     from pyspark.sql import Window
 
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
     counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     before, total = {}, 0

@@ -24,7 +24,7 @@ def parse_lenient(text: str) -> list[dict]:
         whole = json.loads(text)
     except ValueError:
         out = []
-        for line in text.splitlines():
+        for line in text.split("\n"):
             try:
                 row = json.loads(line) if line.strip() else None
             except ValueError:
@@ -44,7 +44,7 @@ def parse_strict(text: str) -> list[dict]:
         whole = json.loads(text)
         return [whole] if isinstance(whole, dict) else list(whole)
     except ValueError:
-        return [json.loads(line) for line in text.splitlines() if line.strip()]
+        return [json.loads(line) for line in text.split("\n") if line.strip()]
 
 
 def parse_table(text: str, delimiter: str = ",") -> list[dict]:
@@ -54,8 +54,11 @@ def parse_table(text: str, delimiter: str = ",") -> list[dict]:
 
 
 def archive_rows(data: bytes, depth: int = 0) -> list[tuple[str, dict]]:
-    """(entry, row) of an archive in order; archives inside are opened one level deep."""
-    out, names = [], []
+    """(entry, row) of an archive in order; archives inside are opened one level deep.
+
+    An archive without any data file is an error; data files without rows give none.
+    """
+    out, names, found = [], [], False
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
             name = info.filename
@@ -70,13 +73,15 @@ def archive_rows(data: bytes, depth: int = 0) -> list[tuple[str, dict]]:
             elif low.endswith(".zip") and depth < 1:
                 try:
                     out += [(f"{name}!{e}", r) for e, r in archive_rows(z.read(info), depth + 1)]
+                    found = True
                 except (ValueError, zipfile.BadZipFile):
                     pass
                 continue
             else:
                 continue
+            found = True
             out += [(name, r) for r in rows]
-    if not out:
+    if not found:
         raise ValueError(f"no data file in the archive; it has {', '.join(names[:20])}")
     return out
 

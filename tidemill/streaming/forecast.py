@@ -79,14 +79,46 @@ def banners(rows: DataFrame, num_epochs: int) -> DataFrame:
 
 
 def merge_progress(path: str):
-    """For foreachBatch: append updates to a log and keep the last value by step in a table beside it, written anew per batch."""
+    """For foreachBatch: keep each batch's updates in a log, and the last update of each step in a table beside it.
+
+    A batch is a folder of the log, named by its number and written whole, so that a
+    batch that is played again replaces itself. latest() reads the table.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{path}/log")
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
 
     return sink
 
 
+def latest(spark, path: str, keys: tuple[str, ...] = ("run_id", "epoch")) -> DataFrame:
+    """The last update of each step: of those of several batches, the last batch's."""
+    log = spark.read.parquet(f"{path}/log")
+    values = [c for c in log.columns if c not in keys]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
+
+
+def tail(spark, folder: str, schema: str, per_batch: int | None = None) -> DataFrame:
+    """A stream of the JSON lines that are appended to a folder as files."""
+    reader = spark.readStream.schema(schema)
+    return (reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)).json(folder)
+
+
+def follow(rows: DataFrame, sink, checkpoint: str, every: str | None = "2 seconds"):
+    """Start a query that hands new rows to a sink at an interval; with None, what is there and then no more."""
+    writer = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def stop_when(query, wanted, every: float = 0.2) -> None:
+    """Stop a query between batches once wanted() says so; returns when it has ended."""
+    while query.isActive:
+        if wanted() and not query.status["isTriggerActive"]:
+            query.stop()
+            break
+        query.awaitTermination(every)
+
+
 def simulated_losses(spark, runs: int, epochs: int, seed: int = 7) -> DataFrame:
     """(run_id, seq, val_loss): max(0.3, 2.5 * 0.82^epoch + noise of 0.03)."""
     rows = spark.range(runs).withColumnRenamed("id", "run_id").withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
