@@ -18,6 +18,11 @@ SECTIONS = (
 )
 
 
+def _sample(r) -> str:
+    score = "none" if r["avg_score"] is None else r["avg_score"]
+    return f"- {r['q']}\n  - answer: {r['a']}\n  - score {score}: {r['reason']}\n  - automatic {r['automatic_status'] or 'none'}, final {r['final_status']}"
+
+
 def curation_report(classified: DataFrame, threshold: float, mode: str = "normal", samples: int = 5, pos: str = "pos") -> str:
     if "automatic_status" not in classified.columns:
         classified = classified.withColumn("automatic_status", F.lit(None).cast("string"))
@@ -30,9 +35,9 @@ def curation_report(classified: DataFrame, threshold: float, mode: str = "normal
         rows = classified.where(F.col("final_status") == status)
         if before:
             rows = rows.where(F.col("automatic_status").isin(*before))
-        shown = section_samples(rows, samples, pos).orderBy(pos).select(F.substring("question", 1, 80).alias("q"), "avg_score", "reason").collect()
+        shown = section_samples(rows, samples, pos).orderBy(pos).select(F.substring("question", 1, 80).alias("q"), F.substring("answer", 1, 80).alias("a"), "avg_score", "reason", "automatic_status", "final_status").collect()
         if shown:
-            lines += ["", f"## {title}", ""] + [f"- {r['q']} (score {r['avg_score'] if r['avg_score'] is not None else 'none'}): {r['reason']}" for r in shown]
+            lines += ["", f"## {title}", ""] + [_sample(r) for r in shown]
     return "\n".join(lines) + "\n"
 
 
@@ -65,3 +70,24 @@ def detailed_blocks(judged: DataFrame, pos: str = "pos") -> DataFrame:
 def final_report(counts: dict, training: str, evaluation: str, calls: int) -> str:
     head = f"# Final Report\n\n- Kept: {counts.get('kept', 0)}\n- Rejected: {counts.get('rejected', 0)}\n- Failed: {counts.get('failed', 0)}\n- Model calls: {calls}\n"
     return "\n".join([head, training, evaluation])
+
+
+def notebook_curation(classified: DataFrame, samples: int = 3, pos: str = "pos") -> str:
+    """A short curation report: counts by status, the scores' range and upper median, and a few kept samples."""
+    from .runs import score_spread
+
+    counts = {r["final_status"]: r["n"] for r in classified.groupBy("final_status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spread = score_spread(classified).first()
+    lines = ["# Curation", "", *[f"- {k}: {v}" for k, v in sorted(counts.items())]]
+    if spread and spread["least"] is not None:
+        lines.append(f"- Scores: {spread['least']:.2f} to {spread['most']:.2f}, median {spread['upper_median']:.2f}")
+    kept = classified.where("final_status = 'kept'").orderBy(pos).limit(samples).select(F.substring("question", 1, 80).alias("q"), "avg_score").collect()
+    return "\n".join(lines + ["", "## Samples", ""] + [f"- {r['q']} ({r['avg_score']})" for r in kept]) + "\n"
+
+
+def notebook_evaluation(summary: dict, latency: DataFrame, judged: DataFrame, samples: int = 5, pos: str = "pos") -> str:
+    """A short evaluation report: the summary, mean latency by model, and a few judged samples."""
+    lines = [evaluation_report(summary), "## Latency", ""]
+    lines += [f"- {r[0]}: {r['avg_latency']:.2f} s" for r in latency.orderBy(latency.columns[0]).collect()]
+    shown = judged.orderBy(pos).limit(samples).select(F.substring("question", 1, 80).alias("q"), "winner").collect()
+    return "\n".join(lines + ["", "## Samples", ""] + [f"- {r['q']}: {r['winner']}" for r in shown]) + "\n"

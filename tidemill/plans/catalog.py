@@ -18,6 +18,7 @@ from ..operators import evaluate as E
 from ..operators import experiments as X
 from ..operators import normalize as N
 from ..operators import rubric as R
+from ..operators import runs as U
 from ..operators import split as S
 from ..runtime import ship
 from ..sources import sinks
@@ -418,6 +419,94 @@ def forecast_checks_batch(spark, d):
     return ST.batch_checks(curves(spark, d).select("run_id", F.col("epoch").alias("seq"), F.col("loss").alias("val_loss")))
 
 
+# ---------------------------------------------------------------- run metrics and selections
+
+
+@query(f"WITH {LOGS_SQL} SELECT hw, fw, round(avg(v) FILTER (WHERE down <= 10), 6) AS final_loss_smoothed FROM ranked GROUP BY hw, fw")
+def last10_mean(spark, d):
+    return X.benchmark_summary(_logs(spark, d), ["hw", "fw"], ["event_id"]).select("hw", "fw", r6("final_loss_smoothed"))
+
+
+@query(f"WITH {LOGS_SQL} SELECT hw, fw, round(avg(v) FILTER (WHERE up > 3), 6) AS mean_tok_s FROM ranked GROUP BY hw, fw")
+def skip3_throughput(spark, d):
+    return X.benchmark_summary(_logs(spark, d), ["hw", "fw"], ["event_id"]).select("hw", "fw", r6("mean_tok_s"))
+
+
+@query(f"WITH {RUBRIC_SQL}, s AS (SELECT source, list_sort(list(avg_score)) AS x FROM scored WHERE avg_score IS NOT NULL GROUP BY source) SELECT source, round(x[1], 6) AS least, round(x[len(x)], 6) AS most, round(x[len(x) // 2 + 1], 6) AS upper_median FROM s")
+def score_spread(spark, d):
+    return U.score_spread(scored(spark, d), "source").select("source", r6("least"), r6("most"), r6("upper_median"))
+
+
+@query("SELECT event_type AS model, round(avg(value), 6) AS avg_latency, count(value) AS n FROM events GROUP BY event_type")
+def latency_by_model(spark, d):
+    return U.latency_by_model(table(spark, d, "events"), "event_type", "value").select(F.col("event_type").alias("model"), r6("avg_latency"), "n")
+
+
+@query(f"WITH {CURVES_SQL} SELECT run_id, round(avg(512 / (abs(loss) + 1)), 6) AS mean_tok_s, count(*) AS n FROM curves WHERE epoch > 2 GROUP BY run_id")
+def step_throughput(spark, d):
+    steps = curves(spark, d).select("run_id", F.col("epoch").alias("step"), F.lit(512).alias("tokens"), (F.abs("loss") + 1).alias("step_time"))
+    return U.step_throughput(steps, "run_id", warm_up=2).select("run_id", r6("mean_tok_s"), "n")
+
+
+@query(f"WITH {CURVES_SQL} SELECT run_id, arg_min(epoch, struct_pack(l := loss, e := epoch)) AS step, round(min(loss), 6) AS eval_loss FROM curves GROUP BY run_id")
+def best_checkpoint(spark, d):
+    rows = curves(spark, d).select("run_id", F.col("epoch").alias("step"), F.col("loss").alias("eval_loss"))
+    return U.best_checkpoint(rows, "run_id").select("run_id", "step", r6("eval_loss"))
+
+
+@query("SELECT part_key AS part, round(avg(q) FILTER (WHERE f = 'A') / avg(q) FILTER (WHERE f = 'R'), 6) AS ratio FROM (SELECT l_partkey % 10 AS part_key, l_returnflag AS f, CAST(l_quantity AS DOUBLE) AS q FROM lineitem) GROUP BY 1")
+def group_ratios(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 10).alias("part"), F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("double").alias("q"))
+    return U.ratios(rows, "part", "f", "q", "A", "R").select("part", r6("ratio"))
+
+
+@query(f"WITH {BACKTEST_SQL} SELECT run_id, cutoff, round(avg(mape) FILTER (WHERE arm = 'last_value'), 4) AS last_value, round(avg(mape) FILTER (WHERE arm = 'linear'), 4) AS linear FROM rows GROUP BY run_id, cutoff")
+def errors_by_arm(spark, d):
+    out = U.errors_by_arm(_backtest(spark, d), ["last_value", "linear"])
+    return out.select("run_id", "cutoff", F.round("last_value", 4).alias("last_value"), F.round("linear", 4).alias("linear"))
+
+
+@query(f"WITH {BACKTEST_SQL}, labels AS (SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'Easy' WHEN run_id % 3 = 1 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM curves GROUP BY run_id) SELECT difficulty, round(avg(mape), 4) AS mean, count(*) AS n FROM rows JOIN labels ON rows.run_id = labels.run_id WHERE abs(actual) > 0.01 GROUP BY difficulty")
+def mape_by_difficulty(spark, d):
+    third = F.when(F.col("run_id") % 3 == 0, "Easy").when(F.col("run_id") % 3 == 1, "Medium").otherwise("Hard")
+    labels = curves(spark, d).select("run_id").distinct().withColumn("difficulty", third)
+    rows = U.with_difficulty(_backtest(spark, d).where("abs(actual) > 0.01"), labels)
+    return X.error_stats(rows, "difficulty").select("difficulty", F.round("mean", 4).alias("mean"), "n")
+
+
+@query("SELECT doc_id AS pos, substr(text, 1, 200) AS question, substr(lang, 1, 200) AS answer FROM documents")
+def preview(spark, d):
+    return U.preview(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("question"), F.col("lang").alias("answer")))
+
+
+@query("SELECT doc_id AS pos, source FROM documents WHERE doc_id % 3 = 0")
+def keep_positions(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "source")
+    return U.keep_positions(docs, docs.where("pos % 3 = 0").select("pos"))
+
+
+@query("SELECT doc_id AS pos FROM documents ORDER BY md5(doc_id || ':42:7'), doc_id LIMIT 64")
+def batch_of_step(spark, d):
+    return U.batch_of_step(table(spark, d, "documents").select(F.col("doc_id").alias("pos")), 7, 64)
+
+
+@query(f"WITH {CURVES_SQL} SELECT run_id, count(*) AS n FROM curves GROUP BY run_id HAVING count(*) >= 5")
+def long_curves(spark, d):
+    return U.long_curves(curves(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT source AS dataset, CASE WHEN count(*) < 50 THEN 'few examples' WHEN count(*) FILTER (WHERE final_status = 'failed') / count(*) > 0.2 THEN 'many failed' WHEN count(*) FILTER (WHERE final_status = 'rejected_quality') / count(*) > 0.5 THEN 'many rejected' END AS warning FROM classified GROUP BY source")
+def dataset_warnings(spark, d):
+    n = lambda s: F.count_if(F.col("final_status") == s)
+    rows = classified(spark, d).groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), n("failed").alias("n_failed"), n("rejected_quality").alias("n_rejected"))
+    return U.dataset_warnings(rows).select("dataset", "warning")
+
+
+@query()
+def backtest_fits(spark, d):
+    return K.backtest_fits(curves(spark, d), [3, 4, 5, 6, 7], [1, 2, 3])
+
+
 # ---------------------------------------------------------------- cost rule
 
 

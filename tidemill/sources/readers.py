@@ -162,3 +162,21 @@ def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
     """(best_metric, best_global_step, epoch, step, loss, eval_loss, ...) of checkpoint states."""
     entry = "struct<epoch double, step int, loss double, eval_loss double, grad_norm double, learning_rate double, eval_runtime double, eval_samples_per_second double, eval_steps_per_second double>"
     return spark.read.schema(f"best_metric double, best_global_step int, log_history array<{entry}>").json(path, multiLine=True).select("best_metric", "best_global_step", F.inline("log_history"))
+
+
+def read_local_dataset(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """(pos, instruction, input, output) of a local copy of a hub dataset; pos follows the files' order."""
+    from ..operators.split import with_position
+
+    rows = spark.read.format(kind).load(path)
+    have = [c if c in rows.columns else None for c in ("instruction", "input", "output")]
+    rows = rows.select(*[F.lit("").alias(n) if c is None else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(have, ("instruction", "input", "output"))])
+    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "*")
+    return with_position(numbered, "_row").drop("_row").select("pos", "instruction", "input", "output")
+
+
+def read_token_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, input_ids, labels) of tokenized examples kept as Parquet arrays; missing labels are the ids."""
+    rows = spark.read.parquet(path)
+    labels = F.col("labels") if "labels" in rows.columns else F.col("input_ids")
+    return rows.select("pos", F.col("input_ids").cast("array<int>").alias("input_ids"), labels.cast("array<int>").alias("labels"))
