@@ -184,7 +184,9 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["run_id"], r["epoch"]): r["val_loss"] for r in spark.read.parquet(f"file://{tmp_path}/out/log").collect()}
     batch = ST.batch_checks(spark.createDataFrame(rows, schema)).collect()
-    assert len(got) == len(batch) and {r["epoch"] for r in batch if r["action"]} == {3, 6}
+    assert got == {(r["run_id"], r["epoch"]): r["val_loss"] for r in batch} and {r["epoch"] for r in batch if r["action"]} == {3, 6}
+    last = ST.latest(spark, f"file://{tmp_path}/out")
+    assert sorted(map(str, last.select(*batch[0].__fields__).collect())) == sorted(map(str, batch))
 
 
 def test_sources_and_sinks(spark, tmp_path):

@@ -94,7 +94,7 @@ def merge_progress(path: str):
 def latest(spark, path: str, keys: tuple[str, ...] = ("run_id", "epoch")) -> DataFrame:
     """The last update of each step: of those of several batches, the last batch's."""
     log = spark.read.parquet(f"{path}/log")
-    values = [c for c in log.columns if c not in keys]
+    values = [c for c in log.columns if c not in (*keys, "batch_id")]
     return log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
