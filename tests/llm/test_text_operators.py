@@ -213,3 +213,31 @@ def test_digest_of_kept_text(docs):
 
     row = docs.where("doc_id = 4").select(F.sha2(F.col("text").cast("binary"), 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(b"one").hexdigest()
+
+
+def test_queries_of_groups_name_each_pair_and_few_twice():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemill.llm import jaccard_join as J
+
+    rng = np.random.default_rng(1)
+    named = distinct = 0
+    for _ in range(100):
+        m, vocab = int(rng.integers(2, 60)), int(rng.integers(3, 60))
+        shingles = rng.integers(1, 2**63, vocab).astype(np.uint64)  # their places are the global order
+        sets = [shingles[np.sort(rng.choice(vocab, rng.integers(0, min(vocab, 14)), replace=False))] for _ in range(m)]
+        grp, comp = rng.integers(0, 8, m), rng.integers(0, 5, m)
+        weight = np.bincount(grp)[grp]
+        batch = pa.RecordBatch.from_pydict({"sid": np.arange(m), "grp": grp, "comp": comp, "weight": weight, "band": np.ones(m, np.int64), "rare": pa.array([s.tobytes() for s in sets], pa.binary())})
+        buckets = collections.defaultdict(lambda: collections.defaultdict(list))
+        for out in J._offer_rare(5)([batch]):
+            for r in out.to_pylist():
+                for c in out.schema.names:
+                    buckets[r["bucket"]][c].append(r[c])
+        got = [p for held in buckets.values() for out in J._queries(held) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        asks = lambda x, y: (weight[x], grp[x]) <= (weight[y], grp[y])
+        want = {(x, int(grp[y])) for x in range(m) for y in range(m) if comp[x] != comp[y] and asks(x, y) and set(sets[x].tolist()) & set(sets[y].tolist())}
+        assert set(got) == want
+        named, distinct = named + len(got), distinct + len(want)
+    assert named < 2 * distinct

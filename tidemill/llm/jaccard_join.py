@@ -41,6 +41,7 @@ PLACE_BYTES = 8 << 20  # and bytes of their shingles, on average
 UNITE = 128  # sets of a stored group
 GROUP = 16  # sets whose tokens are united in a place's matrix
 ASKED = 1_000  # queries that meet a group in one task
+EARLY = 8  # rarest shingles of a set that travel with each of its later ones, so that a pair is named once
 SPREAD = 8  # of the shingles that linked sets share, one in so many must be in both prefixes
 FILTER_BITS = range(17, 31)  # powers of two that the bitmap over wanted texts may have, 16 bits a text as far as they go (128 MB)
 _SALTS = (U64(0), U64(0x9FB21C651E98DF25))
@@ -261,11 +262,19 @@ def _links_at_homes(work: Scratch, live: DataFrame, sets: DataFrame, measure: Me
     return placed.join(sets, "sid").groupBy("home", "part").applyInArrow(meet, "a long, b long")
 
 
-_RARE = [("bucket", pa.int32()), ("tokens", pa.binary()), ("sids", pa.binary()), ("groups", pa.binary()), ("comps", pa.binary()), ("weights", pa.binary()), ("bands", pa.binary())]
-_RARE_SQL = "bucket int, tokens binary, sids binary, groups binary, comps binary, weights binary, bands binary"
+_RARE = [("bucket", pa.int32()), ("tokens", pa.binary()), ("sids", pa.binary()), ("groups", pa.binary()), ("comps", pa.binary()), ("weights", pa.binary()), ("bands", pa.binary()), ("early", pa.binary())]
+_RARE_SQL = "bucket int, tokens binary, sids binary, groups binary, comps binary, weights binary, bands binary, early binary"
 _OPENED = pa.schema([("sid", pa.int64()), ("grp", pa.int64())])
 
 
+def _before(rare: np.ndarray) -> np.ndarray:
+    """For each shingle of a set's rare ones the first EARLY of those before it, 0 where there are fewer."""
+    out = np.zeros((len(rare), EARLY), U64)
+    for k in range(min(EARLY, len(rare) - 1)):
+        out[k + 1 :, k] = rare[k]
+    return out
+
+
 def _offer_rare(buckets: int):
     schema = pa.schema(_RARE)
 
@@ -276,40 +285,77 @@ def _offer_rare(buckets: int):
             parts = [np.frombuffer(x, U64) for x in b.column("rare").to_pylist()]
             k = np.concatenate(parts)
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            early = np.concatenate([_before(p) for p in parts])
             bucket = (k % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            k, owner, bucket = k[order], owner[order], bucket[order]
+            k, owner, bucket, early = k[order], owner[order], bucket[order], early[order]
             cols = [b.column(c).to_numpy() for c in ("sid", "grp", "comp", "weight", "band")]
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(k) else np.empty(0, int)
             out = {n: [] for n in schema.names}
             for x, y in zip(cut, np.append(cut[1:], len(k))):
                 out["bucket"].append(int(bucket[x]))
                 out["tokens"].append(k[x:y].tobytes())
-                for n, c in zip(schema.names[2:], cols):
+                out["early"].append(early[x:y].tobytes())
+                for n, c in zip(schema.names[2:-1], cols):
                     out[n].append(c[owner[x:y]].astype(np.int64).tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
+def _named_before(token: np.ndarray, grp: np.ndarray, comp: np.ndarray, early: np.ndarray):
+    """A function of entries (i, g) of one shingle: has a set of g's group and of another component than i's an early shingle of i's?"""
+    _, run = np.unique(token, return_inverse=True)
+    groups, member = np.unique(grp, return_inverse=True)
+    shingles, there = np.unique(early, return_inverse=True)
+    _, spot = np.unique(run[:, None] * len(shingles) + there.reshape(early.shape), return_inverse=True)  # a shingle and an earlier one
+    spot = spot.reshape(early.shape) * len(groups)
+    some = early != 0
+    key, of = (spot + member[:, None])[some], np.broadcast_to(comp[:, None], early.shape)[some]
+    order = np.lexsort((of, key))
+    key, of = key[order], of[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, int)
+    key, least, most = key[at], of[at], of[np.append(at[1:], len(of)) - 1] if len(at) else of
+
+    def ask(i: np.ndarray, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for k in range(EARLY if len(key) else 0):
+            left = np.flatnonzero(~out & some[i, k])
+            want = spot[i[left], k] + member[g[left]]
+            place = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            mine = comp[i[left]]
+            out[left] = (key[place] == want) & ((least[place] != mine) | (most[place] != mine))
+        return out
+
+    return ask
+
+
 def _queries(held: dict):
     """Distinct (sid, grp) of a bucket: sets and groups that share a rare shingle, are not all of one component and may fit in size.
 
-    Of two groups, the one with fewer sets asks and the other is asked; a group asks itself.
+    Of two groups, the one with fewer sets asks and the other is asked; a group asks
+    itself. A set and a group are named at their first common shingle in the global
+    order, rarest first: not where the group's sets of this shingle that are of other
+    components have one of the set's early shingles, as that one's bucket names them.
+    Early shingles beyond EARLY are not known here; such a pair may be named again.
     """
     token = np.frombuffer(b"".join(held["tokens"]), U64)
     sid, grp, comp, weight, band = (np.frombuffer(b"".join(held[c]), np.int64) for c in ("sids", "groups", "comps", "weights", "bands"))
+    early = np.frombuffer(b"".join(held["early"]), U64).reshape(-1, EARLY)
     order = np.lexsort((comp, grp, token))
-    token, sid, grp, comp, weight, band = (x[order] for x in (token, sid, grp, comp, weight, band))
+    token, sid, grp, comp, weight, band, early = (x[order] for x in (token, sid, grp, comp, weight, band, early))
     if not len(token):
         return
+    named_before = _named_before(token, grp, comp, early)
     at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     end = np.append(at[1:], len(token))
     mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
     found, n = [], 0
 
     def flush():
-        p = np.unique(np.concatenate(found), axis=0)
+        i, g = np.concatenate(found, axis=1)
+        fresh = ~named_before(i, g)
+        p = np.unique(np.stack([sid[i[fresh]], grp[g[fresh]]], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=_OPENED)
 
     for a, b in zip(at[mixed].tolist(), end[mixed].tolist()):
@@ -323,8 +369,8 @@ def _queries(held: dict):
             asks = (weight[i] < weight[g]) | ((weight[i] == weight[g]) & (grp[i] <= grp[g]))
             ok = asks & ((least[j] != comp[i]) | (most[j] != comp[i])) & (np.abs(band[i] - band[g]) <= 1)
             if ok.any():
-                found.append(np.stack([sid[i[ok]], grp[g[ok]]], axis=1))
-                n += len(found[-1])
+                found.append(np.stack([i[ok], g[ok]]))
+                n += found[-1].shape[1]
             if n > 1 << 20:
                 yield flush()
                 found, n = [], 0
@@ -354,7 +400,7 @@ def _links_across(work: Scratch, live: DataFrame, sets: DataFrame, known: DataFr
     grp = F.xxhash64("home", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     grouped = work.store(split_join(tagged, kinds, ["home", "band"], "n", n_live).withColumn("grp", grp).drop("n", "blocks", "home"), "grouped")
 
-    buckets = bucket_count(spark, 48 * (tagged.agg(F.sum(F.octet_length("rare"))).first()[0] or 0) // 8)
+    buckets = bucket_count(spark, (48 + 8 * EARLY) * (tagged.agg(F.sum(F.octet_length("rare"))).first()[0] or 0) // 8)
     offered = grouped.select("sid", "grp", "comp", "weight", "band", "rare").mapInArrow(lean(_offer_rare(buckets)), _RARE_SQL)
     asked = work.store(per_bucket(offered, _queries, "sid long, grp long").distinct(), "asked")
     load = work.store(asked.groupBy("grp").agg(F.count(F.lit(1)).alias("q")).withColumn("parts", F.ceil(F.col("q") / ASKED).cast("int")), "asked-sizes")
