@@ -29,6 +29,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,22 +214,32 @@ def _common_sets(measure: Measure):
     return run
 
 
-def _wanted_sets(rows: DataFrame, live: DataFrame, n_live: int, n: int) -> DataFrame:
-    """(sid, shingles) of the sets that may link, taken from the texts again; a bitmap keeps most other texts out."""
-    power = next((p for p in FILTER_BITS if 1 << p >= 16 * n_live), FILTER_BITS[-1])
+def _bitmap(table: DataFrame, key: F.Column, n_rows: int):
+    """Size and broadcast bytes of a bitmap with bit pmod(key, size) set for each row of a stored table."""
+    power = next((p for p in FILTER_BITS if 1 << p >= 16 * n_rows), FILTER_BITS[-1])
     size = 1 << power
-    slot = F.pmod("hash", F.lit(size))
+    slot = F.pmod(key, F.lit(size))
     bits = np.zeros(size // 8, np.uint8)
-    for r in live.groupBy((slot / 32768).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(hash, {size}) % 32768)").alias("map")).toLocalIterator():
+    for r in table.groupBy((slot / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(slot % 32768).alias("map")).toLocalIterator():
         bits[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["map"], np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    return size, table.sparkSession.sparkContext.broadcast(bits)
+
+
+def _flagged(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _wanted_sets(rows: DataFrame, live: DataFrame, n_live: int, n: int) -> DataFrame:
+    """(sid, shingles) of the sets that may link, taken from the texts again; a bitmap keeps most other texts out."""
+    size, shared = _bitmap(live, F.col("hash"), n_live)
+    slot = F.pmod("hash", F.lit(size))
     schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         bits = shared.value
         for b in batches:
             at = b.column(1).to_numpy(zero_copy_only=False)
-            some = b.column(0).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            some = b.column(0).filter(pa.array(_flagged(bits, at)))
             for _, _, sets in _sets(some, n):
                 hi, lo = set_names(sets)
                 fresh: dict[tuple[int, int], bytes] = {}
@@ -569,11 +580,20 @@ def keep_first(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4,
     keys = stored(found.groupBy("component", "_id", "_hash").agg(F.count(F.lit(1)).alias("n")), "jaccard-keys")
     first = keys.groupBy("component").agg(F.min(F.struct("_id", "_hash", "n")).alias("first")).select("first.*")
     twice = stored(first.where("n > 1").select("_id", "_hash"), "jaccard-twice")  # the first document stands in several rows
-    gone = keys.select("_id", "_hash").join(first.where("n = 1").select("_id", "_hash"), ["_id", "_hash"], "left_anti")
+    gone = stored(keys.select("_id", "_hash").join(first.where("n = 1").select("_id", "_hash"), ["_id", "_hash"], "left_anti"), "jaccard-gone")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"))
-    kept = rows.join(gone, ["_id", "_hash"], "left_anti").select("row.*")
+    # only rows that the bitmap cannot clear are moved to be held against the list; the others stay where they are
+    name = F.xxhash64("_id", "_hash")
+    size, shared = _bitmap(gone, name, gone.count())
+
+    @F.pandas_udf("boolean")
+    def listed(at: pd.Series) -> pd.Series:
+        return pd.Series(_flagged(shared.value, at.to_numpy()))
+
+    rows = rows.withColumn("_listed", listed(F.pmod(name, F.lit(size))))
+    kept = rows.where("not _listed").select("row.*").unionByName(rows.where("_listed").join(gone, ["_id", "_hash"], "left_anti").select("row.*"))
     if twice.isEmpty():
         return kept
-    one = rows.join(twice, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.first("row").alias("row"))
+    one = rows.where("_listed").join(twice, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.first("row").alias("row"))
     return kept.unionByName(one.select("row.*"))
