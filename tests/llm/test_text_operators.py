@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tidemill.llm")
@@ -124,8 +125,9 @@ def test_large_groups_are_split_into_blocks(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
-def test_keep_first_compares_rows_of_one_group(spark):
-    """Rows that share an id and nothing else stay; of a group of near copies one row stays."""
+def test_keep_first_compares_rows_of_one_group(spark, monkeypatch):
+    """Rows that share an id and nothing else stay; of a group of near copies one row stays, also where the bitmap clears no row."""
+    from tidemill.llm import jaccard_join
     from tidemill.llm.jaccard_join import keep_first
 
     text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
@@ -139,6 +141,9 @@ def test_keep_first_compares_rows_of_one_group(spark):
     assert got.columns == docs.columns and bag(map(tuple, got.collect())) == bag(kept)
     same = spark.createDataFrame([(8, text("h"), "x")] * 3 + [(8, text("h") + " more", "x")], docs.schema)
     assert keep_first(same).count() == 1 and keep_first(docs.limit(0)).count() == 0
+    full = spark.sparkContext.broadcast(np.full(4096, 255, np.uint8))
+    monkeypatch.setattr(jaccard_join, "_bitmap", lambda table, key, n_rows: (1 << 15, full))
+    assert bag(map(tuple, keep_first(docs).collect())) == bag(kept)
 
 
 def brute_hits(rows, items, size=13):
