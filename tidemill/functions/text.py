@@ -25,6 +25,22 @@ def strip_fence(c: Column) -> Column:
     return strip(F.when(F.startswith(strip(c), F.lit("```")), body).otherwise(c))
 
 
+def json_path(key: str) -> str:
+    """The path of a top-level key, whatever characters it has; no path can name a key with both kinds of quotes."""
+    if "'" in key and '"' in key:
+        raise ValueError(f"no path names the key {key}")
+    quote = '"' if "'" in key else "'"
+    return f"$[{quote}{key}{quote}]"
+
+
+def is_empty(raw: Column, key: str) -> Column:
+    """Whether a key is missing or its value null, "", 0, false, [] or {}; texts such as "0" and "false" are not."""
+    value = F.try_variant_get(F.try_parse_json(raw), json_path(key), "variant")
+    kind = F.schema_of_variant(value)
+    text, number = value.try_cast("string"), value.try_cast("double")
+    return F.coalesce((kind == "VOID") | ((kind == "STRING") & (text == "")) | (kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (number == 0)) | ((kind == "BOOLEAN") & (text == "false")) | F.to_json(value).isin("[]", "{}") & (kind != "STRING"), F.lit(True))
+
+
 def has_key(raw: Column, key: str) -> Column:
     """Whether a JSON object has a key, also where its value is null."""
     return F.coalesce(F.array_contains(F.json_object_keys(raw), key), F.lit(False))
@@ -43,8 +59,8 @@ def as_text(raw: Column, key: str) -> Column:
     prints them; only rows that have such a value are handed to Python.
     """
     parsed = F.try_parse_json(raw)
-    value = F.try_variant_get(parsed, f"$.{key}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+    value = F.try_variant_get(parsed, json_path(key), "string")
+    kind = F.schema_of_variant(F.try_variant_get(parsed, json_path(key), "variant"))
     other = kind.rlike("^(DOUBLE|FLOAT|DECIMAL|ARRAY|OBJECT)")
     shown = F.when(kind == "BOOLEAN", F.initcap(value)).when(other, _shown(F.when(other, raw), F.lit(key))).otherwise(value)
     return F.when(~has_key(raw, key), "").otherwise(F.coalesce(shown, F.lit("None")))

@@ -87,10 +87,16 @@ def step_merge(events: DataFrame, key: list[str], arrival: str, values: list[str
 
 
 def spread_validation(train: DataFrame, val: DataFrame, by: str = "run_id") -> DataFrame:
-    """Put the i-th of n validation losses on training step round(i * steps / n), half to even, by run."""
+    """Put the i-th validation loss (from 0, the last being n) on training step round(i * last step / n), half to even, by run.
+
+    A single one lands on step 0, and so do those of a run of one step; without any
+    training step the i-th keeps place i. Of several on one step the last stays.
+    """
     size = train.groupBy(by).agg(F.max("step").alias("n_steps"))
     count = val.groupBy(by).agg(F.max("i").alias("n_val"))
-    placed = val.join(size, by).join(count, by).select(by, F.bround(F.col("i") * F.col("n_steps") / F.col("n_val")).cast("int").alias("step"), "val_loss")
+    least = lambda c: F.greatest(F.col(c), F.lit(1))
+    place = F.when(F.col("n_steps").isNull(), F.col("i")).otherwise(F.bround(F.col("i") * least("n_steps") / least("n_val")))
+    placed = val.join(size, by, "left").join(count, by).withColumn("step", place.cast("int")).groupBy(by, "step").agg(F.max_by("val_loss", "i").alias("val_loss"))
     return train.join(placed, [by, "step"], "full")
 
 

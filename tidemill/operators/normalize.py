@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text, has_key, strip
+from ..functions.text import as_text, has_key, is_empty, strip
 
 #: Known shapes in order of priority, with the keys each needs.
 SHAPES = (("qa", ("question", "answer")), ("alpaca", ("instruction", "output")), ("prompt_completion", ("prompt", "completion")), ("instruction_response", ("instruction", "response")))
@@ -23,12 +26,52 @@ def shape(raw: Column) -> Column:
     return out.when(F.startswith(messages, F.lit("ARRAY")), "chat")
 
 
-def detect(raw_rows: DataFrame, raw: str = "raw", pos: str = "pos") -> dict:
-    """The dataset's report, by its first row; one row comes to the driver."""
-    first = raw_rows.orderBy(pos).limit(1).select(shape(F.col(raw)).alias("schema"), F.array_sort(F.json_object_keys(raw)).alias("fields")).collect()
+SAMPLE_CHARS = 3_000  # of the sample that a model is shown
+
+
+def mapping_prompt(sample: dict) -> str:
+    """What a model is asked about an example of no known shape."""
+    shown = json.dumps(sample, indent=2)[:SAMPLE_CHARS]
+    return f'Which top-level fields of this training example hold the question (several, in order, if it is split), and which one the answer? Reply with JSON only: {{"question_fields": [...], "answer_field": "..."}}\n\nExample:\n{shown}'
+
+
+def parse_mapping(reply: str | None, fields: list[str]) -> dict:
+    """question_fields and answer_field of a reply, which must be fields of the example; a reply that is not of this form is a ValueError."""
+    body = (reply or "").strip().strip("`").removeprefix("json").strip()
+    try:
+        said = json.loads(body)
+    except ValueError:
+        raise ValueError(f"the reply is no JSON: {body[:80]!r}") from None
+    if not isinstance(said, dict):
+        raise ValueError("the reply is no JSON object")
+    asked, answer = said.get("question_fields"), said.get("answer_field")
+    if not isinstance(asked, list) or not asked or not all(isinstance(f, str) for f in asked) or not isinstance(answer, str):
+        raise ValueError("the reply does not name question_fields and answer_field")
+    unknown = [f for f in [*asked, answer] if f not in fields]
+    if unknown:
+        raise ValueError(f"the example has no field {', '.join(unknown)}")
+    return {"question_fields": asked, "answer_field": answer}
+
+
+def detect(raw_rows: DataFrame, raw: str = "raw", pos: str = "pos", responder: Callable[[str, float], str | None] | None = None) -> dict:
+    """The dataset's report, by its first row; one row comes to the driver.
+
+    Without a known shape a responder, if given, is asked once which fields hold the
+    question and the answer. A reply that cannot be used leaves the schema open, with
+    the error in the report, and never guesses.
+    """
+    first = raw_rows.orderBy(pos).limit(1).select(shape(F.col(raw)).alias("schema"), F.array_sort(F.json_object_keys(raw)).alias("fields"), F.col(raw).alias("raw")).collect()
     if not first:
         return {"schema": None, "confidence": None, "mapping": None, "sample_fields": None}
-    return {"schema": first[0]["schema"], "confidence": "heuristic" if first[0]["schema"] else None, "mapping": None, "sample_fields": first[0]["fields"]}
+    row = first[0]
+    report = {"schema": row["schema"], "confidence": "heuristic" if row["schema"] else None, "mapping": None, "sample_fields": row["fields"]}
+    if row["schema"] or responder is None or row["fields"] is None:
+        return report
+    try:
+        mapping = parse_mapping(responder(mapping_prompt(json.loads(row["raw"])), 0.0), row["fields"])
+    except Exception as e:  # a failed call is part of the report
+        return {**report, "error": f"{type(e).__name__}: {e}"}
+    return {**report, "schema": "llm_mapping", "confidence": "llm", "mapping": mapping}
 
 
 def _messages(raw: Column) -> Column:
@@ -61,8 +104,10 @@ def normalize(raw_rows: DataFrame, schema: str, mapping: dict | None = None, raw
     elif schema == "chat":
         question, answer = last_of(_messages(r), "user"), last_of(_messages(r), "assistant")
     elif schema == "llm_mapping":
-        value = lambda key: F.when(~F.coalesce(F.get_json_object(r, f"$.{key}"), F.lit("")).isin("", "0", "0.0", "false", "[]", "{}"), text(key))
-        question, answer = F.concat_ws("\n\n", *[value(k) for k in mapping["question_fields"]]), text(mapping["answer_field"])
+        value = lambda key: F.when(~is_empty(r, key), text(key))
+        fields, target = mapping.get("question_fields") or [], mapping.get("answer_field")
+        question = F.concat_ws("\n\n", *[value(k) for k in fields]) if fields else F.lit("")
+        answer = F.lit("") if target is None else text(target)
     else:
         raise ValueError(f"unknown shape: {schema}")
     return raw_rows.withColumns({"question": question, "answer": answer, "error": error})
@@ -76,7 +121,7 @@ def chat_turns(turns: DataFrame) -> DataFrame:
 
 def alpaca_prompt(instruction: Column, extra: Column, output: Column) -> Column:
     """The training prompt, with an input block where there is input."""
-    block = F.when(F.trim(extra) != "", F.concat(F.lit("\n### Input:\n"), extra)).otherwise("")
+    block = F.when(strip(extra) != "", F.concat(F.lit("\n### Input:\n"), extra)).otherwise("")
     return F.concat(F.lit("### Instruction:\n"), instruction, F.lit("\n"), block, F.lit("\n### Response:\n"), output)
 
 

@@ -20,12 +20,13 @@ SECTIONS = (
 
 def _sample(r) -> str:
     score = "none" if r["avg_score"] is None else r["avg_score"]
-    return f"- {r['q']}\n  - answer: {r['a']}\n  - score {score}: {r['reason']}\n  - automatic {r['automatic_status'] or 'none'}, final {r['final_status']}"
+    return f"- {r['q'] or ''}\n  - answer: {'none' if r['a'] is None else r['a']}\n  - score {score}: {r['reason']}\n  - automatic {r['automatic_status'] or 'none'}, final {r['final_status']}"
 
 
 def curation_report(classified: DataFrame, threshold: float, mode: str = "normal", samples: int = 5, pos: str = "pos") -> str:
-    if "automatic_status" not in classified.columns:
-        classified = classified.withColumn("automatic_status", F.lit(None).cast("string"))
+    """Counts by final status and samples of each section; columns that the frame lacks count as null."""
+    absent = [c for c in ("automatic_status", "question", "answer", "reason") if c not in classified.columns]
+    classified = classified.withColumns({c: F.lit(None).cast("string") for c in absent})
     n: dict[tuple, int] = {(r["final_status"], r["automatic_status"]): r["n"] for r in override_buckets(classified).collect()}
     count = lambda status: sum(v for (s, _), v in n.items() if s == status)
     lines = ["# Curation Report", "", f"- Raw examples: {sum(n.values())}", f"- Threshold: {threshold}", f"- Mode: {mode}"]

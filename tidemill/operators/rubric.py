@@ -1,13 +1,15 @@
 """Model calls as a column: prompts, a pluggable responder, parsing, and explicit failure rows.
 
-A responder maps a list of prompts to replies (None for a failed call). In tests
-and reruns the replies come from a table keyed by the prompt's hash instead, so a
-repeated task never calls twice.
+A responder maps a prompt and a temperature to a reply (None for a failed call).
+Replies can be kept by the hash of their prompt, so that a repeated task never calls
+twice, or come from a table keyed by it, as in tests and reruns.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -33,38 +35,98 @@ def judge_prompt(question: Column, reference: Column, base: Column, tuned: Colum
     return F.concat(F.lit("Judge two answers. Reply with JSON: score_a, score_b (objects of numbers), winner (A, B or tie), reason.\n\nQuestion: "), question, F.lit("\n\nReference: "), reference, F.lit("\n\nA: "), base, F.lit("\n\nB: "), tuned)
 
 
-def called(rows: DataFrame, responder: Responder, *, key: str, prompt: str = "prompt", workers: int = 10, pause: float = 0.0, retries: int = 1, retry_temperature: float = 0.3) -> DataFrame:
-    """(key, prompt, reply, success, error, latency_s): one call per row, a retry at a higher temperature, never an exception.
+class ReplyStore:
+    """Replies as files named by the hash of their prompt, in a folder that all tasks share (any that pyarrow opens)."""
+
+    def __init__(self, uri: str):
+        self.uri = uri.rstrip("/")
+
+    def _open(self, name: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(f"{self.uri}/{name[:2]}/{name}.json")
+
+    def get(self, name: str) -> dict | None:
+        system, path = self._open(name)
+        try:
+            with system.open_input_stream(path) as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return None
+
+    def put(self, name: str, kept: dict) -> None:
+        """Written whole, then moved to its name: a task that is killed leaves no half reply."""
+        system, path = self._open(name)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            out.write(json.dumps(kept).encode())
+        system.move(part, path)
+
+
+_CALLS = "reply string, success boolean, error string, latency_s double"
+_CALLS_ARROW = [("reply", pa.string()), ("success", pa.bool_()), ("error", pa.string()), ("latency_s", pa.float64())]
 
-    The calls are not repeatable: store the result before using it twice.
-    """
-    schema = pa.schema([(key, pa.string()), (prompt, pa.string()), ("reply", pa.string()), ("success", pa.bool_()), ("error", pa.string()), ("latency_s", pa.float64())])
-
-    def ask(text):
-        began, error = time.monotonic(), None
-        for attempt in range(retries + 1):
-            try:
-                reply = responder(text, 0.0 if attempt == 0 else retry_temperature)
-                if reply is not None:
-                    return reply, True, None, time.monotonic() - began
-                error = "no reply"
-            except Exception as e:  # the failure is the row
-                error = f"{type(e).__name__}: {e}"
-        return None, False, error, time.monotonic() - began
+
+def _ask(responder: Responder, text: str | None, retries: int, retry_temperature: float) -> tuple:
+    """reply, success, error and latency of a call and its retries; never an exception."""
+    began, error = time.monotonic(), "no prompt"
+    for attempt in range(retries + 1 if text is not None else 0):
+        try:
+            reply = responder(text, 0.0 if attempt == 0 else retry_temperature)
+            if reply is not None:
+                return reply, True, None, time.monotonic() - began
+            error = "no reply"
+        except Exception as e:  # the failure is the row
+            error = f"{type(e).__name__}: {e}"
+    return None, False, error, time.monotonic() - began
+
+
+def _asked(rows: DataFrame, key: str, prompt: str, responder: Responder, workers: int, pause: float, retries: int, retry_temperature: float, store: ReplyStore | None) -> DataFrame:
+    """(key, prompt, reply, success, error, latency_s) of rows (key, prompt); with a store the key names the reply in it."""
+    schema = pa.schema([(key, pa.string()), (prompt, pa.string()), *_CALLS_ARROW])
+
+    def ask(name, text):
+        kept = store and store.get(name)
+        if kept:
+            return kept["reply"], True, None, kept["latency_s"]
+        got = _ask(responder, text, retries, retry_temperature)
+        if store and got[1]:
+            store.put(name, {"reply": got[0], "latency_s": got[3]})
+        return got
 
     def run(batches):
         with ThreadPoolExecutor(workers if not pause else 1) as pool:
             for b in batches:
                 keys, prompts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 got = []
-                for r in pool.map(ask, prompts):
+                for r in pool.map(ask, keys, prompts):
                     got.append(r)
                     if pause:
                         time.sleep(pause)
                 reply, success, error, latency = zip(*got) if got else ((), (), (), ())
                 yield pa.RecordBatch.from_pydict({key: keys, prompt: prompts, "reply": reply, "success": success, "error": error, "latency_s": latency}, schema=schema)
 
-    return rows.select(F.col(key).cast("string").alias(key), prompt).mapInArrow(run, f"{key} string, {prompt} string, reply string, success boolean, error string, latency_s double")
+    return rows.mapInArrow(run, f"{key} string, {prompt} string, {_CALLS}")
+
+
+def called(rows: DataFrame, responder: Responder, *, key: str, prompt: str = "prompt", workers: int = 10, pause: float = 0.0, retries: int = 1, retry_temperature: float = 0.3, store: str | None = None) -> DataFrame:
+    """(key, prompt, reply, success, error, latency_s): a call and its retries at a higher temperature, never an exception.
+
+    store: a folder of replies by the hash of their prompt. Equal prompts are then
+    called once, whatever rows ask them, and a reply is kept as soon as it is there: a
+    task that is run again, a second use of the result or a later job reads it instead
+    of calling. Failed calls are rows too and are not kept, so that they are tried
+    again. Without a store each row is a call and the result should be stored before
+    it is used twice. A null prompt is a failure without a call.
+    """
+    asked = rows.select(F.col(key).cast("string").alias(key), F.col(prompt).cast("string").alias(prompt))
+    if store is None:
+        return _asked(asked, key, prompt, responder, workers, pause, retries, retry_temperature, None)
+    named = asked.withColumn("_name", F.coalesce(F.sha2(F.col(prompt).cast("binary"), 256), F.lit("none")))
+    once = named.groupBy("_name").agg(F.first(prompt).alias("_prompt"))
+    replies = _asked(once, "_name", "_prompt", responder, workers, pause, retries, retry_temperature, ReplyStore(store)).drop("_prompt")
+    return named.join(replies, "_name").drop("_name")
 
 
 def replayed(rows: DataFrame, replies: DataFrame, prompt: str = "prompt") -> DataFrame:

@@ -5,16 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_fence
+from ..runtime import stored
+
 # ---------------------------------------------------------------- metrics
 
 
+BINS = 256  # of a pass of the selection
+
+
+def order_statistic(rows: DataFrame, *by: str, value: str, place) -> DataFrame:
+    """(by, least, most, n, chosen): the element at a place of each group's sorted values, without sorting any group.
+
+    place: a function from the column of a group's size to that of a place from 0. A
+    pass counts the values between two bounds in bins, keeps the bin that holds the
+    place, and takes its least and largest value as the next bounds, until they meet:
+    two to four passes for most data. A task sends a count for each group and bin.
+    Null and NaN are no values; groups without any have no row.
+    """
+    number = F.col(value).cast("double")
+    held = stored(rows.select(*by, number.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")), "order-values")
+    ends = held.groupBy(*by).agg(F.min("_v").alias("least"), F.max("_v").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    state = stored(ends.select(*by, "least", "most", "n", F.col("least").alias("_lo"), F.col("most").alias("_hi"), place(F.col("n")).cast("long").alias("_k")), "order-state")
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves: no difference overflows
+    inside = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # BINS rows
+    while not (still := state.where("_lo < _hi")).isEmpty():
+        bounds = still.select(*by, "_lo", "_hi")
+        open_ = held.join(bounds, list(by)) if by else held.crossJoin(F.broadcast(bounds))
+        bins = open_.where("_v between _lo and _hi").groupBy(*by, F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        counted = bins.withColumn("_to", F.sum("_c").over(inside))
+        met = counted.join(still, list(by)) if by else counted.crossJoin(F.broadcast(still))
+        met = met.where("_k < _to and _k >= _to - _c")
+        state = stored(met.select(*by, "least", "most", "n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), (F.col("_k") - F.col("_to") + F.col("_c")).alias("_k")).unionByName(state.where("_lo >= _hi")), "order-state")
+    return state.select(*by, "least", "most", "n", F.col("_lo").alias("chosen"))
+
+
 def score_spread(rows: DataFrame, *by: str, score: str = "avg_score") -> DataFrame:
     """(by, least, most, upper_median): extremes and the element at half the length of the sorted scores, not interpolated."""
-    w = Window.partitionBy(*by).orderBy(score)
-    known = rows.where(F.col(score).isNotNull()).withColumn("_k", F.row_number().over(w) - 1)
-    n = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    joined = known.join(n, list(by)) if by else known.crossJoin(F.broadcast(n))
-    return joined.groupBy(*by).agg(F.min(score).alias("least"), F.max(score).alias("most"), F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col(score))).alias("upper_median"))
+    return order_statistic(rows, *by, value=score, place=lambda n: F.floor(n / 2)).select(*by, "least", "most", F.col("chosen").alias("upper_median"))
 
 
 def latency_by_model(calls: DataFrame, model: str = "model", latency: str = "latency_s") -> DataFrame:
@@ -150,16 +178,32 @@ def shown(value: Column, places: int = 2) -> Column:
 # ---------------------------------------------------------------- dataset warnings
 
 
-def dataset_warnings(health: DataFrame, *, least_rows: int = 50, most_failed: float = 0.2, most_rejected: float = 0.5) -> DataFrame:
-    """Add warning to rows (dataset, n, n_failed, n_rejected): the first that applies, else null."""
-    share = lambda c: F.col(c) / F.nullif(F.col("n"), F.lit(0))
-    return health.withColumn("warning", F.when(F.col("n") < least_rows, "few examples").when(share("n_failed") > most_failed, "many failed").when(share("n_rejected") > most_rejected, "many rejected"))
+def warning_reasons(health: DataFrame, least: int = 20) -> DataFrame:
+    """Add message, the reasons of rows of dataset_health (kept, total, reasons) as sentences; empty without any."""
+    share = F.bround(100 * F.col("kept") / F.nullif(F.col("total"), F.lit(0))).cast("int")
+    few = F.when(F.array_contains("reasons", "few_examples"), F.format_string(f"Only %d examples were kept ({least} or more are recommended).", "kept"))
+    low = F.when(F.array_contains("reasons", "low_keep_rate"), F.format_string("Only %d of %d raw examples (%d%%) were kept.", "kept", "total", share))
+    return health.withColumn("message", F.concat_ws("; ", few, low))
+
+
+def parse_warning(reply: Column, message: Column) -> Column:
+    """warn_user and message of a reply; a reply that is no JSON object warns with the reasons, and so does one that leaves a field out."""
+    v = F.try_parse_json(strip_fence(reply))
+    fine = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    told = F.try_variant_get(v, "$.warn_user", "boolean")
+    said = F.try_variant_get(v, "$.message", "string")
+    return F.struct(F.when(fine, F.coalesce(told, F.lit(True))).otherwise(F.lit(True)).alias("warn_user"), F.when(fine, F.coalesce(said, message)).otherwise(message).alias("message"))
 
 
-def decide_warnings(checked: DataFrame, answer) -> DataFrame:
-    """Add decision: 'proceed' without a call where nothing is warned of; answer, a function of rows to rows with decision, sees only the others."""
-    fine = checked.where("warning is null").withColumn("decision", F.lit("proceed"))
-    return fine.unionByName(answer(checked.where("warning is not null")).select(*fine.columns))
+def decide_warnings(checked: DataFrame, replies) -> DataFrame:
+    """Add warn_user and replace message; rows without a warning need no call and warn nobody.
+
+    checked: rows of warning_reasons with warning. replies: a function from the rows
+    with a warning to the same rows with reply; it sees no others.
+    """
+    quiet = checked.where(~F.col("warning")).withColumns({"warn_user": F.lit(False), "message": F.lit("")})
+    asked = replies(checked.where("warning")).withColumn("_w", parse_warning(F.col("reply"), F.col("message")))
+    return quiet.unionByName(asked.withColumns({"warn_user": F.col("_w.warn_user"), "message": F.col("_w.message")}).select(*quiet.columns))
 
 
 # ---------------------------------------------------------------- offline models

@@ -1,29 +1,105 @@
-"""Head splits, hash samples and shards."""
+"""Dense positions, seeded permutations, head splits, hash samples and shards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
+ROUNDS = 6  # of the permutation's network
+WALK = 32  # steps back into range; see permuted()
+_LOCAL = (1 << 33) - 1  # bits of a monotonic id that count inside a partition
+
 
-def with_position(df: DataFrame, *order: str, name: str = "pos", buckets: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, *order: str | Column, name: str = "pos", buckets: int | None = None) -> DataFrame:
     """Dense positions from 0 by an ordering, without one task for all rows.
 
-    Rows are ranged over partitions and counted there; the partitions' counts are
-    added up on the driver (a number per partition), and positions follow inside each.
-    buckets: ranges, as many as the session's shuffle partitions if not given.
+    Rows are ranged over tasks, sorted there, and written once with their number
+    inside the task: a range's bounds are sampled anew each time it is computed, and
+    only a written table keeps them. The ranges' sizes, a row each, are added up and
+    give each its first position. Rows of equal order come as in the input, and are
+    told apart by it, so that a frequent key spreads over ranges. buckets: ranges, as
+    many as the session's shuffle partitions if not given.
     """
-    from pyspark.sql import Window
-
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    start = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_part")), F.lit(0)) if before else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn(name, (start + rank - 1).cast("long")).drop("_part")
+    keyed = df.withColumn("_input", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(buckets, *order, "_input").sortWithinPartitions(*order, "_input").drop("_input")
+    held = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "positions").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit(_LOCAL))
+    return held.join(F.broadcast(starts), "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_start")
+
+
+# ---------------------------------------------------------------- seeded permutations
+
+
+def _draw(value: Column, key: str, turn: Column) -> Column:
+    """60 bits of a hash of a number; the same on any engine."""
+    digest = F.md5(F.concat(F.lit(f"{key}:"), turn.cast("string"), F.lit(":"), value.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def permuted(place: Column, n: int, key: str) -> Column:
+    """The image of a place in 0..n-1 under a permutation that a key names; no row needs to see another.
+
+    A Feistel network over a grid of a * b cells, a * b >= n, each round adding a hash
+    of one coordinate to the other. A cell out of range is mapped again until it is
+    in range. It takes at most one step for each cell too many, of which there are
+    fewer than the root of n; of more than WALK only WALK are tried, and the chance
+    that any is left (then an error, never a wrong place) is below n ** (1 - WALK / 2).
+    """
+    if n < 2:
+        return place.cast("long")
+    a = isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def mapped(x: Column) -> Column:
+        row = F.pmod(x, F.lit(b)).cast("long")
+        cell = F.struct(((x - row) / b).cast("long").alias("l"), row.alias("r"))
+        turned = F.aggregate(
+            F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
+            cell,
+            lambda c, t: F.when(t % 2 == 0, F.struct(F.pmod(c["l"] + F.pmod(_draw(c["r"], key, t), F.lit(a)), F.lit(a)).cast("long").alias("l"), c["r"].alias("r"))).otherwise(
+                F.struct(c["l"].alias("l"), F.pmod(c["r"] + F.pmod(_draw(c["l"], key, t), F.lit(b)), F.lit(b)).cast("long").alias("r"))
+            ),
+            lambda c: c["l"] * b + c["r"],
+        )
+        return turned.cast("long")
+
+    out, spare = mapped(place.cast("long")), a * b - n
+    if not spare:
+        return out
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(min(spare, WALK))), out, lambda x, _: F.when(x < n, x).otherwise(mapped(x)))
+    return out if spare <= WALK else F.when(out < n, out).otherwise(F.raise_error(F.lit("a place of the permutation was not found")).cast("long"))
+
+
+def with_epoch_order(df: DataFrame, epoch: int, *, seed: int = 0, n: int | None = None, pos: str = "pos", name: str = "order") -> DataFrame:
+    """Add each row's place in an epoch's shuffled order, from dense positions; n: their number, counted if not given."""
+    return df.withColumn(name, permuted(F.col(pos), df.count() if n is None else n, f"{seed}:{epoch}"))
+
+
+def epoch_shards(df: DataFrame, world: int, epoch: int, *, seed: int = 0, batch: int = 1, drop_last: bool = True, n: int | None = None, pos: str = "pos") -> DataFrame:
+    """Add rank, step and batch of an epoch: rows are shuffled and dealt to ranks in turn.
+
+    drop_last: an incomplete last round of ranks is left out, and so is a rank's
+    incomplete last batch; otherwise the round is filled with the epoch's first rows
+    again, as often as it takes, and the last batch is short.
+    """
+    n = df.count() if n is None else n
+    rows = with_epoch_order(df, epoch, seed=seed, n=n, pos=pos, name="_order")
+    if drop_last:
+        rows = rows.where(F.col("_order") < n // (world * batch) * world * batch)
+    elif n:
+        rows = rows.withColumn("_order", F.explode(F.sequence(F.col("_order"), F.lit(-(-n // world) * world - 1).cast("long"), F.lit(n).cast("long"))))
+    step = F.floor(F.col("_order") / world).cast("long")
+    return rows.withColumns({"rank": F.pmod("_order", F.lit(world)).cast("int"), "step": step, "batch": F.floor(step / batch).cast("long")}).drop("_order")
+
+
+# ---------------------------------------------------------------- splits and samples
 
 
 def head_split(df: DataFrame, test_percent: int, pos: str = "pos") -> DataFrame:

@@ -20,7 +20,8 @@ from ..operators import normalize as N
 from ..operators import rubric as R
 from ..operators import runs as U
 from ..operators import split as S
-from ..runtime import ship
+from ..operators import texts as T
+from ..runtime import shared_folder, ship
 from ..sources import sinks
 from ..streaming import forecast as ST
 
@@ -162,6 +163,40 @@ def shard_drop_last(spark, d):
     return rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
+def _permuted_sql(table: str, key: str, n: str) -> str:
+    """SQL for the permutation of positions 0..n-1 of a table (id, pos): a recursive walk through the network's rounds."""
+
+    def mapped(rows: str) -> str:
+        cell = f"SELECT id, x // b AS l, x % b AS r, a, b, n FROM ({rows})"
+        for t in range(S.ROUNDS):
+            l, r = ("(l + ('0x' || substr(md5({k} || r), 1, 15))::BIGINT % a) % a", "r") if t % 2 == 0 else ("l", "(r + ('0x' || substr(md5({k} || l), 1, 15))::BIGINT % b) % b")
+            k = f"({key}) || ':{t}:'"
+            cell = f"SELECT id, {l.format(k=k)} AS l, {r.format(k=k)} AS r, a, b, n FROM ({cell})"
+        return f"SELECT id, l * b + r AS x, a, b, n FROM ({cell})"
+
+    grid = f"SELECT id, pos AS x, a, (n + a - 1) // a AS b, n FROM {table}, (SELECT n, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM ({n}))"
+    return f"walk AS ({mapped(grid)} UNION ALL {mapped('SELECT * FROM walk WHERE x >= n')})"
+
+
+_EPOCHS = (0, 1, 2)
+EPOCH_SQL = "WITH RECURSIVE d AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), " + ", ".join(
+    _permuted_sql("d", f"'7:{e}'", "SELECT count(*) AS n FROM documents").replace("walk", f"walk_{e}") for e in _EPOCHS
+)
+
+
+@query(f"""{EPOCH_SQL}, o AS ({" UNION ALL ".join(f"SELECT {e} AS epoch, id, x, n FROM walk_{e} WHERE x < n" for e in _EPOCHS)})
+  SELECT epoch, (x % 4)::INTEGER AS rank, count(*) AS n, max(x // 4 // 8)::BIGINT AS last_batch, sum(id)::BIGINT AS ids, sum(id * (x // 4 % 97))::BIGINT AS in_order FROM o WHERE x < n // 32 * 32 GROUP BY ALL""")
+def epoch_sampler(spark, d):
+    """Three shuffled epochs, dealt to 4 ranks in batches of 8."""
+    rows = S.with_position(table(spark, d, "documents").select("doc_id"), "doc_id")
+    n = rows.count()
+    out = None
+    for e in _EPOCHS:
+        one = S.epoch_shards(rows, 4, e, seed=7, batch=8, n=n).withColumn("epoch", F.lit(e))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("epoch", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("batch").alias("last_batch"), F.sum("doc_id").alias("ids"), F.sum(F.col("doc_id") * (F.col("step") % 97)).alias("in_order"))
+
+
 # ---------------------------------------------------------------- scores and thresholds
 
 
@@ -272,6 +307,29 @@ def knn_top5(spark, d):
     return D.nearest(v, v.where("pos % 50 = 0"), 5).select("query", "pos", r6("similarity"), "rank")
 
 
+TEXT_PAIRS_SQL = r"""w AS (SELECT doc_id, lang, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS t FROM documents),
+  f AS (SELECT doc_id, lang, t, count(*) AS c FROM w GROUP BY ALL), g AS (SELECT doc_id, lang, md5(string_agg(t || ' ' || c, chr(10) ORDER BY t)) AS same, sum(c * c) AS square FROM f GROUP BY ALL),
+  r AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, same) AS first FROM g), v AS (SELECT f.*, square FROM f JOIN r ON f.doc_id = r.doc_id WHERE first = f.doc_id),
+  p AS (SELECT a.doc_id AS index_a, b.doc_id AS index_b, sum(a.c * b.c) / sqrt(any_value(a.square)::DOUBLE * any_value(b.square)::DOUBLE) AS similarity FROM v a JOIN v b ON a.lang = b.lang AND a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  pairs AS (SELECT first AS index_a, doc_id AS index_b, 1.0::DOUBLE AS similarity FROM r WHERE doc_id > first UNION ALL FROM p WHERE similarity >= 0.92)"""
+
+
+def _text_pairs(spark, d):
+    return T.text_pairs(table(spark, d, "documents").select("doc_id", "lang", "text"), 0.92, pos="doc_id", block="lang")
+
+
+@query(f"WITH {TEXT_PAIRS_SQL} SELECT index_a, index_b, round(similarity, 6) AS similarity FROM pairs")
+def dup_text_cosine(spark, d):
+    """Near-duplicate texts within a language; the first of equal vectors stands for them."""
+    return _text_pairs(spark, d).select("index_a", "index_b", r6("similarity"))
+
+
+@query(f"WITH {TEXT_PAIRS_SQL} SELECT DISTINCT index_b AS pos FROM pairs")
+def dup_drop_texts(spark, d):
+    """Documents that go: those with a similar one before them. The first of equal vectors is the least, so that pairs of first ones and their copies say it of all."""
+    return D.drop_set(_text_pairs(spark, d))
+
+
 # ---------------------------------------------------------------- judged pairs
 
 
@@ -358,10 +416,13 @@ def noise_floor(spark, d):
     return K.noise_floor(curves(spark, d)).select("run_id", r6("noise"))
 
 
-@query(f"""WITH {CURVES_SQL}, h AS (SELECT * FROM curves WHERE epoch <= 3), e AS (SELECT run_id, count(*) AS n, arg_min(loss, epoch) AS y0, arg_max(loss, epoch) AS y1 FROM h GROUP BY run_id),
+TERCILES_SQL = """h AS (SELECT * FROM curves WHERE epoch <= 3), e AS (SELECT run_id, count(*) AS n, arg_min(loss, epoch) AS y0, arg_max(loss, epoch) AS y1 FROM h GROUP BY run_id),
   r AS (SELECT h.run_id, e.n, loss, y0, y1, epoch - 1 AS k, loss - lag(loss) OVER (PARTITION BY h.run_id ORDER BY epoch) AS dl FROM h JOIN e ON h.run_id = e.run_id),
-  s AS (SELECT run_id, round(CASE WHEN n < 2 THEN 0 ELSE avg(pow(loss - (y0 + (y1 - y0) * k / greatest(n - 1, 1)), 2)) + stddev_pop(dl) END, 6) AS score FROM r GROUP BY run_id, n)
-  SELECT run_id, score, CASE ntile(3) OVER (ORDER BY score, run_id) WHEN 1 THEN 'Easy' WHEN 2 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM s""")
+  s AS (SELECT run_id, round(CASE WHEN n < 2 THEN 0 ELSE avg(pow(loss - (y0 + (y1 - y0) * k / greatest(n - 1, 1)), 2)) + stddev_pop(dl) END, 6) AS score FROM r GROUP BY run_id, n)"""
+TERCILES_OF_SQL = "SELECT run_id, score, CASE ntile(3) OVER (ORDER BY score, run_id) WHEN 1 THEN 'Easy' WHEN 2 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM s"
+
+
+@query(f"WITH {CURVES_SQL}, {TERCILES_SQL} {TERCILES_OF_SQL}")
 def difficulty_terciles(spark, d):
     s = K.difficulty(curves(spark, d).where("epoch <= 3")).select("run_id", F.round(F.col("nonlin") + F.col("vol"), 6).alias("score"))
     return K.terciles(s, "score", "run_id")
@@ -388,14 +449,14 @@ def backtest_grid_mape(spark, d):
     return _backtest(spark, d).select("run_id", "cutoff", "horizon", "arm", r6("actual"), r6("pred"))
 
 
-@query(f"WITH {BACKTEST_SQL} SELECT arm, round(avg(mape), 4) AS mean, round(stddev_samp(mape), 4) AS std, count(*) AS n FROM rows WHERE abs(actual) > 0.01 GROUP BY arm")
+@query(f"WITH {BACKTEST_SQL} SELECT arm, round(avg(mape), 4) AS mean, round(stddev_samp(mape), 4) AS std, count(*) AS n FROM rows GROUP BY arm")
 def mape_by_arm(spark, d):
-    return X.error_stats(_backtest(spark, d).where("abs(actual) > 0.01"), "arm").select("arm", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
+    return X.error_stats(_backtest(spark, d), "arm").select("arm", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
-@query(f"WITH {BACKTEST_SQL} SELECT cutoff, arm, round(avg(mape), 4) AS mean, round(stddev_samp(mape), 4) AS std, count(*) AS n FROM rows WHERE abs(actual) > 0.01 GROUP BY cutoff, arm")
+@query(f"WITH {BACKTEST_SQL} SELECT cutoff, arm, round(avg(mape), 4) AS mean, round(stddev_samp(mape), 4) AS std, count(*) AS n FROM rows GROUP BY cutoff, arm")
 def mape_by_cutoff_arm(spark, d):
-    return X.error_stats(_backtest(spark, d).where("abs(actual) > 0.01"), "cutoff", "arm").select("cutoff", "arm", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
+    return X.error_stats(_backtest(spark, d), "cutoff", "arm").select("cutoff", "arm", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
 @query(f"WITH {BACKTEST_SQL}, p AS (SELECT run_id, cutoff, horizon, avg(mape) FILTER (WHERE arm = 'last_value') AS a, avg(mape) FILTER (WHERE arm = 'linear') AS b FROM rows GROUP BY ALL) SELECT count(*) FILTER (WHERE a < b) AS a_wins, count(*) FILTER (WHERE b < a) AS b_wins, count(*) FILTER (WHERE a = b) AS ties FROM p")
@@ -419,6 +480,13 @@ def forecast_checks_batch(spark, d):
     return ST.batch_checks(curves(spark, d).select("run_id", F.col("epoch").alias("seq"), F.col("loss").alias("val_loss")))
 
 
+@query()
+def forecast_checks_stream(spark, d):
+    """The checks of forecast_checks_batch, from a stream of the same losses in four batches."""
+    losses = curves(spark, d).select("run_id", F.col("epoch").alias("seq"), F.col("loss").alias("val_loss"))
+    return ST.replayed_stream(losses, shared_folder(spark, "forecast-stream"))
+
+
 # ---------------------------------------------------------------- run metrics and selections
 
 
@@ -437,6 +505,14 @@ def score_spread(spark, d):
     return U.score_spread(scored(spark, d), "source").select("source", r6("least"), r6("most"), r6("upper_median"))
 
 
+@query("SELECT count(l_extendedprice) AS n, round(min(l_extendedprice), 6) AS least, round(max(l_extendedprice), 6) AS most, round(quantile_disc(l_extendedprice, 0.99), 6) AS p99 FROM lineitem")
+def price_order_statistic(spark, d):
+    """The element at place ceil(0.99 n) - 1 of all prices, selected in passes over one group."""
+    rows = table(spark, d, "lineitem").select("l_extendedprice")
+    out = U.order_statistic(rows, value="l_extendedprice", place=lambda n: F.ceil(n * F.lit("0.99").cast("decimal(3,2)")) - 1)
+    return out.select("n", r6("least"), r6("most"), F.round("chosen", 6).alias("p99"))
+
+
 @query("SELECT event_type AS model, round(avg(value), 6) AS avg_latency, count(value) AS n FROM events GROUP BY event_type")
 def latency_by_model(spark, d):
     return U.latency_by_model(table(spark, d, "events"), "event_type", "value").select(F.col("event_type").alias("model"), r6("avg_latency"), "n")
@@ -466,11 +542,9 @@ def errors_by_arm(spark, d):
     return out.select("run_id", "cutoff", F.round("last_value", 4).alias("last_value"), F.round("linear", 4).alias("linear"))
 
 
-@query(f"WITH {BACKTEST_SQL}, labels AS (SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'Easy' WHEN run_id % 3 = 1 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM curves GROUP BY run_id) SELECT difficulty, round(avg(mape), 4) AS mean, count(*) AS n FROM rows JOIN labels ON rows.run_id = labels.run_id WHERE abs(actual) > 0.01 GROUP BY difficulty")
+@query(f"WITH {BACKTEST_SQL}, {TERCILES_SQL}, labels AS ({TERCILES_OF_SQL}) SELECT difficulty, round(avg(mape), 4) AS mean, count(*) AS n FROM rows JOIN labels ON rows.run_id = labels.run_id GROUP BY difficulty")
 def mape_by_difficulty(spark, d):
-    third = F.when(F.col("run_id") % 3 == 0, "Easy").when(F.col("run_id") % 3 == 1, "Medium").otherwise("Hard")
-    labels = curves(spark, d).select("run_id").distinct().withColumn("difficulty", third)
-    rows = U.with_difficulty(_backtest(spark, d).where("abs(actual) > 0.01"), labels)
+    rows = U.with_difficulty(_backtest(spark, d), difficulty_terciles(spark, d).select("run_id", "difficulty"))
     return X.error_stats(rows, "difficulty").select("difficulty", F.round("mean", 4).alias("mean"), "n")
 
 
@@ -495,11 +569,14 @@ def long_curves(spark, d):
     return U.long_curves(curves(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {CLASSIFIED_SQL} SELECT source AS dataset, CASE WHEN count(*) < 50 THEN 'few examples' WHEN count(*) FILTER (WHERE final_status = 'failed') / count(*) > 0.2 THEN 'many failed' WHEN count(*) FILTER (WHERE final_status = 'rejected_quality') / count(*) > 0.5 THEN 'many rejected' END AS warning FROM classified GROUP BY source")
+@query(f"""WITH {CLASSIFIED_SQL}, c AS (SELECT source AS dataset, (count(*) FILTER (WHERE final_status = 'kept'))::BIGINT AS kept, count(*) AS total FROM classified GROUP BY source),
+  w AS (SELECT *, concat_ws('; ', CASE WHEN kept < 20 THEN 'Only ' || kept || ' examples were kept (20 or more are recommended).' END, CASE WHEN kept / total < 0.3 THEN 'Only ' || kept || ' of ' || total || ' raw examples (' || round_even(100 * kept / total, 0)::INTEGER || '%) were kept.' END) AS m FROM c)
+  SELECT dataset, m <> '' AS warning, m <> '' AND kept % 3 <> 1 AS warn_user, CASE WHEN m = '' OR kept % 3 = 1 THEN '' ELSE m END AS message FROM w""")
 def dataset_warnings(spark, d):
-    n = lambda s: F.count_if(F.col("final_status") == s)
-    rows = classified(spark, d).groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), n("failed").alias("n_failed"), n("rejected_quality").alias("n_rejected"))
-    return U.dataset_warnings(rows).select("dataset", "warning")
+    """Replies are stand-ins: of three, one is no JSON, one says no, and one leaves the message out."""
+    health = C.dataset_health(classified(spark, d), F.col("source").alias("dataset"))
+    reply = F.when(F.col("kept") % 3 == 0, "not json").when(F.col("kept") % 3 == 1, '{"warn_user": false, "message": ""}').otherwise('```json\n{"warn_user": true}\n```')
+    return U.decide_warnings(U.warning_reasons(health), lambda rows: rows.withColumn("reply", reply)).select("dataset", "warning", "warn_user", "message")
 
 
 @query()

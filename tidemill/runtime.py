@@ -1,13 +1,14 @@
-"""Making the package importable where Python functions run."""
+"""Making the package importable where Python functions run, and tables in the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
@@ -28,3 +29,21 @@ def ship(spark: SparkSession) -> SparkSession:
             spark.conf.set(_BATCH, "1000")
         _shipped.add(app)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder of the session; where none is set and all runs in one process, in one of our own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidemill-shared-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: what it holds is fixed, and lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,14 +165,22 @@ def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_local_dataset(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """(pos, instruction, input, output) of a local copy of a hub dataset; pos follows the files' order."""
+    """(pos, instruction, input, output) of a local copy of a hub dataset; pos follows the files' names and the rows in them.
+
+    Rows of Parquet files know their number in the file, so that only the files' sizes
+    are added up (a row for each file) and no row moves; others are sorted by file and block.
+    """
     from ..operators.split import with_position
 
     rows = spark.read.format(kind).load(path)
-    have = [c if c in rows.columns else None for c in ("instruction", "input", "output")]
-    rows = rows.select(*[F.lit("").alias(n) if c is None else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(have, ("instruction", "input", "output"))])
-    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "*")
-    return with_position(numbered, "_row").drop("_row").select("pos", "instruction", "input", "output")
+    texts = [(F.coalesce(F.col(n).cast("string"), F.lit("")) if n in rows.columns else F.lit("")).alias(n) for n in ("instruction", "input", "output")]
+    if kind != "parquet":
+        placed = rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), *texts)
+        return with_position(placed, "_file", "_block").select("pos", "instruction", "input", "output")
+    placed = rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), *texts)
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_file").select((F.col("_start") + F.col("_row")).alias("pos"), "instruction", "input", "output")
 
 
 def read_token_arrays(spark: SparkSession, path: str) -> DataFrame:

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.curves import decide, forecast
 
 EVERY, LEAST = 3, 3
 UPDATES = "run_id long, epoch int, val_loss double, median double, lower_5 double, upper_95 double, noise double, action string, notify_user boolean, error string"
-_STATE = "losses string"
-MOST = 1_000  # epochs of a run that the state may hold; a longer run is an error row, not a lost one
 
 
 def _noise(y: list[float]) -> float:
@@ -36,8 +32,6 @@ def updates(run_id, before: list[float], new: list[float]) -> list[tuple]:
         row = [run_id, len(y), loss, None, None, None, None, None, None, None]
         if len(y) % EVERY == 0 and len(y) >= LEAST:
             try:
-                if len(y) > MOST:
-                    raise ValueError(f"a run of more than {MOST} epochs")
                 f = forecast(y, [1])
                 noise = _noise(y)
                 d = decide(y, f, noise)
@@ -52,16 +46,56 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in UPDATES.split(", ")])
 
 
-def stream_checks(events: DataFrame) -> DataFrame:
-    """Updates of a stream of (run_id, seq, val_loss); within a batch losses come in the order of seq."""
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-    def step(key, frames, state: GroupState):
-        before = json.loads(state.get[0]) if state.exists else []
-        new = pd.concat(list(frames)).sort_values("seq")["val_loss"].tolist()
-        state.update((json.dumps(before + new),))
+class _Checks(StatefulProcessor):
+    """A run's losses as a list that only grows: a batch writes its new losses, and the list is read where a check is due."""
+
+    def init(self, handle) -> None:
+        self.losses = handle.getListState("losses", "loss double")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows)).sort_values("seq")["val_loss"].astype(float).tolist()
+        n = int(self.count.get()[0]) if self.count.exists() else 0
+        due = any(k % EVERY == 0 and k >= LEAST for k in range(n + 1, n + len(new) + 1))
+        before = [float(r[0]) for r in self.losses.get()] if due and n else [0.0] * n  # without a check only their number counts
+        if n:
+            self.losses.appendList([(v,) for v in new])
+        else:
+            self.losses.put([(v,) for v in new])
+        self.count.update((n + len(new),))
         yield _frame(updates(key[0], before, new))
 
-    return events.where("val_loss is not null").groupBy("run_id").applyInPandasWithState(step, UPDATES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_checks(events: DataFrame) -> DataFrame:
+    """Updates of a stream of (run_id, seq, val_loss); within a batch losses come in the order of seq.
+
+    The state is a list for each run in RocksDB, to which a batch appends: what it
+    writes grows with its own rows, not with a run's history.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # lists need it
+    rows = events.where("val_loss is not null").select(F.col("run_id").cast("long").alias("run_id"), F.col("seq").cast("long").alias("seq"), F.col("val_loss").cast("double").alias("val_loss"))
+    return rows.groupBy("run_id").transformWithStateInPandas(_Checks(), UPDATES, "Append", "None")
+
+
+def replayed_stream(events: DataFrame, folder: str, batches: int = 4) -> DataFrame:
+    """The updates of a table of (run_id, seq, val_loss) that arrives as a stream in so many batches, by ranges of seq.
+
+    Each batch is a run of the query of its own, which ends and starts again from its checkpoint.
+    """
+    spark = events.sparkSession
+    last = events.agg(F.max("seq")).first()[0] or 0
+    source = spark.readStream.schema("run_id long, seq long, val_loss double").option("recursiveFileLookup", "true")
+    rows = events.select(F.col("run_id").cast("long").alias("run_id"), F.col("seq").cast("long").alias("seq"), F.col("val_loss").cast("double").alias("val_loss"))
+    for k in range(batches):
+        rows.where((F.col("seq") > last * k // batches) & (F.col("seq") <= last * (k + 1) // batches)).write.parquet(f"{folder}/in/batch={k}")
+        follow(stream_checks(source.parquet(f"{folder}/in")), merge_progress(f"{folder}/out"), f"{folder}/checkpoint", every=None).awaitTermination()
+    return latest(spark, f"{folder}/out")
 
 
 def batch_checks(events: DataFrame) -> DataFrame:
@@ -78,24 +112,64 @@ def banners(rows: DataFrame, num_epochs: int) -> DataFrame:
     return rows.where(F.coalesce("notify_user", F.lit(False)) & (F.col("epoch") >= num_epochs))
 
 
-def merge_progress(path: str):
-    """For foreachBatch: keep each batch's updates in a log, and the last update of each step in a table beside it.
+COMPACT = 16  # batches between two snapshots
+
+
+def _folders(spark, path: str, prefix: str, complete: bool = False) -> list[int]:
+    """The numbers of the folders `prefix=number` of a path, only those written to the end if asked."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return []
+    found = [f.getPath() for f in system.listStatus(top) if f.getPath().getName().startswith(f"{prefix}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if not complete or system.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def _merged(spark, path: str, upto: int, keys: tuple[str, ...], before: int | None = None) -> DataFrame | None:
+    """Each step's fields from the newest snapshot below a batch and the log since then up to upto: the last value of each that is not null."""
+    snapshots = [k for k in _folders(spark, f"{path}/snapshots", "upto", complete=True) if before is None or k < before]
+    start = snapshots[-1] if snapshots else -1
+    parts = [spark.read.parquet(f"{path}/snapshots/upto={start}").withColumns({"_batch": F.lit(-1).cast("long"), "_arrival": F.lit(0).cast("long")})] if snapshots else []
+    for k in _folders(spark, f"{path}/log", "batch_id", complete=True):
+        if start < k <= upto:
+            parts.append(spark.read.parquet(f"{path}/log/batch_id={k}").withColumn("_batch", F.lit(k).cast("long")))
+    if not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    stamp = F.struct("_batch", "_arrival")
+    values = [c for c in rows.columns if c not in (*keys, "_batch", "_arrival")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), stamp)).alias(c) for c in values])
+
+
+def merge_progress(path: str, keys: tuple[str, ...] = ("run_id", "epoch"), arrival: str | None = None, compact: int = COMPACT):
+    """For foreachBatch: an upsert by field. A step keeps the last value of each field that is not null, by batch and arrival.
 
     A batch is a folder of the log, named by its number and written whole, so that a
-    batch that is played again replaces itself. latest() reads the table.
+    batch that is played again replaces itself. Inside a batch the column arrival says
+    which row is later, or without one the order of rows. Every so many batches all
+    steps are merged into a snapshot, from the one before it and the log since then;
+    latest() reads the newest snapshot and fewer log folders than that.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+        spark = batch.sparkSession
+        at = F.monotonically_increasing_id() if arrival is None else F.col(arrival).cast("long")
+        batch.withColumn("_arrival", at).write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+        if (batch_id + 1) % compact == 0:
+            _merged(spark, path, batch_id, keys, before=batch_id).write.mode("overwrite").parquet(f"{path}/snapshots/upto={batch_id}")
 
     return sink
 
 
 def latest(spark, path: str, keys: tuple[str, ...] = ("run_id", "epoch")) -> DataFrame:
-    """The last update of each step: of those of several batches, the last batch's."""
-    log = spark.read.parquet(f"{path}/log")
-    values = [c for c in log.columns if c not in (*keys, "batch_id")]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
+    """The merged progress: a row for each step, with the last value that is not null of each field."""
+    out = _merged(spark, path, 1 << 62, keys)
+    if out is None:
+        raise ValueError(f"no batch has been kept in {path}")
+    return out
 
 
 def tail(spark, folder: str, schema: str, per_batch: int | None = None) -> DataFrame:
