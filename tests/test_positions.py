@@ -99,3 +99,66 @@ def test_local_datasets_are_numbered_by_file(spark, tmp_path, kind):
     files = sorted(str(p) for p in (tmp_path / "hub").glob(f"part-*.{kind}*"))
     read = [r["instruction"] for f in files for r in getattr(spark.read, kind)(f).coalesce(1).collect()]
     assert [r["instruction"] for r in placed] == read
+
+
+def test_long_runs_are_filled_and_averaged_in_blocks(spark, monkeypatch):
+    """Runs above the limit against the plain windows, with blocks that hold no known value, and a null run."""
+    from tidemill.operators import experiments as X
+
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = random.Random(6)
+    rows = []
+    for run, n in ((1, 200), (2, 3), (3, 130), (None, 90), (4, 30), (5, 64)):
+        at = 0
+        for k in range(n):
+            at += rng.randint(1, 4)
+            known = rng.random() < (0.05 if run != 4 else 0.0)
+            rows.append((run, at, rng.uniform(-5, 5) if known else None, float(k * k % 31)))
+    frame = spark.createDataFrame(rows, "run int, i int, v double, x double").repartition(5)
+    exact = lambda df, c: sorted((str(r["run"]), r["i"], None if r[c] is None else round(r[c], 9)) for r in df.collect())
+    assert exact(K.interpolate(frame, "run", "i", "v", long=40), "value_filled") == exact(K.interpolate(frame, "run", "i", "v"), "value_filled")
+    assert exact(X.rolling_mean(frame, ["run"], ["i"], "x", 5, long=40), "rolling") == exact(X.rolling_mean(frame, ["run"], ["i"], "x", 5), "rolling")
+
+
+def test_one_long_run_uses_all_tasks(spark):
+    from tidemill.operators import experiments as X
+
+    n = 300_000
+    frame = spark.range(n).select(F.lit(1).alias("run"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"))
+    out = X.rolling_mean(frame, ["run"], ["i"], "x", 8, long=n // 2)
+    got = out.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("rolling") - F.when(F.col("i") >= 7, F.col("x") - 3.5).otherwise(F.col("x") / 2))).alias("off")).first()
+    assert tuple(got) == (n, 0.0)
+    assert S.in_blocks(frame, ["run"], ["i"]).groupBy("_block").count().agg(F.max("count"), F.count(F.lit(1))).first()[:] == (S.BLOCK, -(-n // S.BLOCK))
+
+
+def test_archives_are_read_entry_by_entry(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep/x.jsonl", '{"a": "inner"}\nnot json\n')
+        z.writestr("deep/none.txt", "x")
+    for name, n in (("one.zip", 12), ("two.zip", 3)):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("__MACOSX/y.json", '[{"a": 1}]')
+            z.writestr("empty.json", "[]")
+            for k in range(n):
+                z.writestr(f"part-{k}.jsonl", "\n".join(json.dumps({"a": f"{name}:{k}:{i}", "t": "é" * 50}) for i in range(k * 400)))
+            z.writestr("t.tsv", "a\tb\n1\t2\n")
+            z.writestr("inner.zip", inner.getvalue())
+            z.writestr("broken.zip", b"no archive")
+            z.writestr("read.me", "x")
+    got = readers.read_archives(spark, str(tmp_path / "*.zip"))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["src_file"].rsplit("/", 1)[1], {})[r["pos"]] = (r["src_entry"], json.loads(r["raw"]))
+    for name, n in (("one.zip", 12), ("two.zip", 3)):
+        want = readers.archive_rows((tmp_path / name).read_bytes())
+        assert [by[name][k] for k in range(len(want))] == want and len(by[name]) == len(want)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("read.me", "x")
+    with pytest.raises(Exception, match="no data file"):
+        readers.read_archives(spark, str(tmp_path / "bad.zip")).collect()

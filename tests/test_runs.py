@@ -129,15 +129,6 @@ def test_selections(spark, tmp_path):
     assert [r["pos"] for r in U.evaluation_set(rows, rows, lambda x: x, 3.0).orderBy("pos").collect()] == [3, 5]
     assert U.evaluation_set(None, rows, None, 3.0).count() == 6
     assert max(len(r["question"]) for r in U.preview(rows).collect()) == 200
-    calls = []
-
-    def answer(warned):
-        calls.append(warned.count())
-        return warned.withColumn("decision", F.lit("stop"))
-
-    health = spark.createDataFrame([("a", 100, 0, 0), ("b", 10, 0, 0), ("c", 100, 30, 0), ("d", 100, 0, 60)], "dataset string, n long, n_failed long, n_rejected long")
-    got = {r["dataset"]: (r["warning"], r["decision"]) for r in U.decide_warnings(U.dataset_warnings(health), answer).collect()}
-    assert got == {"a": (None, "proceed"), "b": ("few examples", "stop"), "c": ("many failed", "stop"), "d": ("many rejected", "stop")} and calls == [3]
     traces = spark.createDataFrame([("t", "m", "f", "x", True, 0.125), ("t", "m", "g", "x", True, 1.0)], "timestamp string, module string, function string, model string, success boolean, latency_s double")
     assert [r["latency_s"] for r in U.trace_view(U.traces_of(traces, "m", "f")).collect()] == [0.12]
     e = {r["k"]: r["embedding"] for r in U.text_embedding(spark.createDataFrame([(1, "a b a"), (2, "A, b! a"), (3, None)], "k int, text string"), size=16).collect()}

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .split import with_position
+from .split import LONG, by_length, in_blocks, with_position
 
 Z90 = 1.645  # of a 90 % interval
 
@@ -31,8 +31,33 @@ def noise_floor(curves: DataFrame, run: str = "run_id", epoch: str = "epoch", lo
     return a.select(run, F.when(F.col("n") < 3, 0.0).otherwise(F.sqrt(F.greatest(F.coalesce(left, F.lit(0.0)), F.lit(0.0)))).alias("noise"))
 
 
-def interpolate(rows: DataFrame, by: str, index: str, value: str) -> DataFrame:
-    """Add value_filled: linear in the index between known values, nothing outside them."""
+def interpolate(rows: DataFrame, by: str, index: str, value: str, long: int = LONG) -> DataFrame:
+    """Add value_filled: linear in the index between known values, nothing outside them.
+
+    A run of more than long rows is filled in blocks: each block names its first and
+    last known value, these are carried over the blocks without any, and then each
+    block is filled by itself.
+    """
+    return by_length(rows, [by], lambda r: _fill(r, by, index, value), lambda r: _fill_blocks(r, by, index, value), long)
+
+
+def _fill_blocks(rows: DataFrame, by: str, index: str, value: str) -> DataFrame:
+    placed = in_blocks(rows, [by], [index])
+    place = F.when(F.col(value).isNotNull(), F.struct(F.col(index).alias("x"), F.col(value).alias("y")))
+    ends = placed.groupBy(by, "_block").agg(F.max_by(place, F.when(place.isNotNull(), F.col("_pos"))).alias("_last"), F.min_by(place, F.when(place.isNotNull(), F.col("_pos"))).alias("_first"))
+    blocks = Window.partitionBy(by).orderBy("_block")
+    before = F.last("_last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing))
+    carried = ends.select(F.col(by).alias("_run"), F.col("_block").alias("_at"), before.alias("_before"), after.alias("_after"))
+    met = placed.join(carried, F.col(by).eqNullSafe(F.col("_run")) & (F.col("_block") == F.col("_at")), "left")
+    up = Window.partitionBy(by, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(by, "_block").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    a, b = F.coalesce(F.last(place, ignorenulls=True).over(up), F.col("_before")), F.coalesce(F.last(place, ignorenulls=True).over(down), F.col("_after"))
+    filled = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col(index) - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
+    return met.withColumns({"_a": a, "_b": b}).withColumn("value_filled", F.coalesce(F.col(value), filled)).select(*rows.columns, "value_filled")
+
+
+def _fill(rows: DataFrame, by: str, index: str, value: str) -> DataFrame:
     back = Window.partitionBy(by).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(by).orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, 0)  # growing frames, so that a run is read once each way
     at = F.when(F.col(value).isNotNull(), F.col(index))

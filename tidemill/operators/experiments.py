@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import model_billions
+from .split import LONG, by_length, in_blocks
 
 
 def mape(actual: Column, predicted: Column) -> Column:
@@ -61,9 +62,15 @@ def fixed_budget(curves: DataFrame, budgets: list[int]) -> DataFrame:
     return n.join(curves, ["run_id", "epoch"]).groupBy("budget").agg(F.avg("loss").alias("mean"), F.stddev_pop("loss").alias("std"))
 
 
-def rolling_mean(rows: DataFrame, by: list[str], order: list[str], value: str, size: int = 8) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(size - 1), 0)
-    return rows.withColumn("rolling", F.avg(value).over(w))
+def rolling_mean(rows: DataFrame, by: list[str], order: list[str], value: str, size: int = 8, long: int = LONG) -> DataFrame:
+    """Add rolling, the mean over a row and the size - 1 before it; groups of more than long rows are averaged in blocks that take along the rows before them."""
+    frame = lambda w: F.avg(value).over(w.rowsBetween(-(size - 1), 0))
+
+    def blocked(large: DataFrame) -> DataFrame:
+        dealt = in_blocks(large, by, order, history=size - 1)
+        return dealt.withColumn("rolling", frame(Window.partitionBy(*by, "_block").orderBy("_pos"))).where("_own").select(*rows.columns, "rolling")
+
+    return by_length(rows, by, lambda r: r.withColumn("rolling", frame(Window.partitionBy(*by).orderBy(*order))), blocked, long)
 
 
 def benchmark_summary(logs: DataFrame, by: list[str], order: list[str], *, skip: int = 3, last: int = 10) -> DataFrame:

@@ -34,6 +34,34 @@ def with_position(df: DataFrame, *order: str | Column, name: str = "pos", bucket
     return held.join(F.broadcast(starts), "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_start")
 
 
+LONG = 1_000_000  # rows of a group from which on it is handled in blocks
+BLOCK = 65_536  # rows of a block
+
+
+def by_length(rows: DataFrame, by: list[str], plain, blocked, long: int = LONG) -> DataFrame:
+    """plain(rows) for the groups that a task can hold, blocked(rows) for those of more than long rows."""
+    large = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long).drop("_n")
+    if large.isEmpty():
+        return plain(rows)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return plain(rows.join(large, same, "left_anti")).unionByName(blocked(rows.join(large, same, "left_semi")))
+
+
+def in_blocks(rows: DataFrame, by: list[str], order: list[str], history: int = 0, size: int | None = None) -> DataFrame:
+    """Add _pos, a place in the order of all groups, _block, and _own: rows that a block takes along from the one before it have false."""
+    size = size or BLOCK
+    placed = with_position(rows, *by, *order, name="_pos")
+    block = F.floor(F.col("_pos") / size)
+    if not history:
+        return placed.withColumns({"_block": block, "_own": F.lit(True)})
+    own = F.struct(block.alias("b"), F.lit(True).alias("own"))
+    along = F.when(F.pmod("_pos", F.lit(size)) >= size - history, F.struct((block + 1).alias("b"), F.lit(False).alias("own")))
+    dealt = placed.withColumn("_d", F.explode(F.filter(F.array(own, along), lambda d: d.isNotNull())))
+    return dealt.withColumns({"_block": F.col("_d.b"), "_own": F.col("_d.own")}).drop("_d")
+
+
 # ---------------------------------------------------------------- seeded permutations
 
 

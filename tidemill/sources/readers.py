@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import stored
+
 SKIPPED = ("__MACOSX", ".git", ".DS_Store")  # archive parts that hold no data
 SUFFIXES = (".json", ".jsonl", ".csv", ".tsv", ".zip")
 TRACE = "module string, function string, model string, prompt string, timestamp string, response_text string, success boolean, error string, latency_s double"
@@ -99,8 +101,90 @@ def _files(spark: SparkSession, path: str, rows_of) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "src_file string, src_entry string, pos long, raw string")
 
 
+def _opened(uri: str):
+    """A file that can be read from any place; file:/x is file:///x to Spark alone."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return system.open_input_file(path)
+
+
+def archive_entries(file) -> list[tuple[int, str, int]]:
+    """(number, name, bytes) of the entries with data, from an archive's directory at its end; archives inside are looked into, one level deep.
+
+    An archive without any is an error.
+    """
+    out, names = [], []
+    with zipfile.ZipFile(file) as z:
+        for number, info in enumerate(z.infolist()):
+            names.append(info.filename)
+            if info.is_dir() or any(part in SKIPPED for part in info.filename.split("/")) or not info.filename.lower().endswith(SUFFIXES):
+                continue
+            if info.filename.lower().endswith(".zip"):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(z.read(info))) as inner:
+                        files = [i.filename for i in inner.infolist() if not i.is_dir() and not any(p in SKIPPED for p in i.filename.split("/"))]
+                except zipfile.BadZipFile:
+                    continue
+                if not any(f.lower().endswith(tuple(s for s in SUFFIXES if s != ".zip")) for f in files):
+                    continue
+            out.append((number, info.filename, info.file_size))
+    if not out:
+        raise ValueError(f"no data file in the archive; it has {', '.join(names[:20])}")
+    return out
+
+
+def entry_rows(z: zipfile.ZipFile, number: int) -> list[tuple[str, dict]]:
+    """(entry, row) of one entry, or of all data in it if it is an archive."""
+    info = z.infolist()[number]
+    name, data = info.filename, z.read(info)
+    low = name.lower()
+    if low.endswith(".zip"):
+        return [(f"{name}!{e}", r) for e, r in archive_rows(data, 1)]
+    if low.endswith((".csv", ".tsv")):
+        return [(name, r) for r in parse_table(data.decode("utf-8", "replace"), "\t" if low.endswith(".tsv") else ",")]
+    return [(name, r) for r in parse_lenient(data.decode("utf-8", "replace"))]
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path, archive_rows)
+    """(src_file, src_entry, pos, raw): the examples of ZIP archives, numbered from 0 in each.
+
+    Tasks read the archives' directories, a few bytes at their ends, and the entries
+    are dealt over tasks that read only the bytes of theirs: an archive of any size is
+    nobody's whole. Archives in a store that only Spark opens are read whole instead, one a task.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")  # without their content
+    first = files.first()
+    try:
+        if first is not None:
+            _opened(first[0]).close()
+    except pa.ArrowInvalid:
+        return _files(spark, path, archive_rows)
+    listed = pa.schema([("src_file", pa.string()), ("number", pa.int32())])
+    schema = pa.schema([("src_file", pa.string()), ("number", pa.int32()), ("src_entry", pa.string()), ("k", pa.int64()), ("raw", pa.string())])
+
+    def plan(batches):
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                with _opened(uri) as f:
+                    entries = archive_entries(f)
+                yield pa.RecordBatch.from_pydict({"src_file": [uri] * len(entries), "number": [n for n, _, _ in entries]}, schema=listed)
+
+    def read(batches):
+        for b in batches:
+            for uri, number in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with _opened(uri) as f, zipfile.ZipFile(f) as z:
+                    got = entry_rows(z, number)
+                for a in range(0, len(got), 1_000):
+                    some = got[a : a + 1_000]
+                    yield pa.RecordBatch.from_pydict({"src_file": [uri] * len(some), "number": [number] * len(some), "src_entry": [e for e, _ in some], "k": list(range(a, a + len(some))), "raw": [json.dumps(r, ensure_ascii=False) for _, r in some]}, schema=schema)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = files.mapInArrow(plan, "src_file string, number int").repartition(n, "src_file", "number")
+    rows = stored(entries.mapInArrow(read, "src_file string, number int, src_entry string, k long, raw string"), "archive-rows")
+    before = Window.partitionBy("src_file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each entry
+    starts = rows.groupBy("src_file", "number").agg(F.count(F.lit(1)).alias("_n")).select("src_file", "number", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, ["src_file", "number"]).select("src_file", "src_entry", (F.col("_start") + F.col("k")).alias("pos"), "raw")
 
 
 def read_examples(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
