@@ -78,7 +78,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, size: int = 13, share: int =
     keep = keep or []
     grams = stored(windows(benchmark, size, item_col=item_col, text_col=item_text), "benchmark-windows")
     known = grams.select("n", "pair", "hash").orderBy("hash", "n").collect() if grams.count() <= block else None
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    number = F.monotonically_increasing_id()
+    if known is None:  # every block's scan must see the same numbers, also of an input that is computed anew each time
+        rows = numbered(docs, "benchmark-documents")
+        docs, number = rows.select(F.col("number").alias("_row_number"), "row.*"), F.col("_row_number")
+    base = docs.select(number.alias("row"), F.col(id_col).alias("id"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
     if known is not None:
         blocks = [(grams, known)]
     else:

@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import PACKED, U64, Words, among, chunk_count, chunk_of, key_set, lean, mix64, packed, partitions, rolling, shared_keys, stored, text_slices
+from .common import PACKED, U64, Words, among, bucket_count, chunk_count, chunk_of, key_set, lean, mix64, packed, rolling, shared_keys, stored, text_slices
 
 BASE = 5
 HIGH = (12, 16, 20)
 _TOP = U64(0x5851F42D4C957F2D)
 
+KEY_BYTES = 2  # of an exchange for each byte of text, about: 13 for each word
+
 
 def recompress(h: np.ndarray, first: np.ndarray, window: int):
     """Names of a run of documents.
@@ -192,11 +194,13 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id
     that loses nothing is returned as it is, white space included.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
     carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("struct<none: int>")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("kept"))
-    n_chunks = chunk_count(docs.count())
-    base = base.withColumn("chunk", chunk_of(n_chunks, F.col("doc_id"), F.col("text")))
+    size = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_chunks, buckets = chunk_count(size["n"], size["bytes"]), bucket_count(spark, KEY_BYTES * size["bytes"])
+    # texts too short for a window exchange nothing and go anywhere; others always to the same chunk, as both passes ask for it
+    short = F.coalesce(F.length("text"), F.lit(0)) < 2 * window - 1
+    base = base.withColumn("chunk", F.when(short, chunk_of(n_chunks, F.monotonically_increasing_id())).otherwise(chunk_of(n_chunks, F.col("doc_id"), F.col("text"))))
     shared = shared_keys(base.select("text", "chunk").mapInArrow(lean(_emit(window, buckets)), PACKED))
 
     kind = base.select("kept").schema["kept"].dataType
