@@ -101,10 +101,49 @@ def test_hashed_pairs_miss_few(spark):
     rng = random.Random(5)
     df = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(16)]) for k in range(250)], "pos long, embedding array<double>")
     pairs = lambda found: {(r["index_a"], r["index_b"]) for r in found.collect()}
-    want, got = pairs(D.pairs_exact(df, 0.40)), pairs(D.pairs_lsh(df, 0.40, tables=8))
+    want, got = pairs(D.pairs_exact(df, 0.40)), pairs(D.pairs_lsh(df, 0.40))
     assert len(want) > 500 and got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_few_pairs_are_compared_at_the_usual_threshold(spark):
+    """Recall at 0.92 of vectors that lie at it, and the share of all pairs that share a bucket."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((2_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((1_000, 32))
+    side -= (side * base[:1_000]).sum(1, keepdims=True) * base[:1_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.925 * base[:1_000] + np.sqrt(1 - 0.925**2) * side
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(np.vstack([base, near]).tolist())] + [(9_000, [1.0, 0.0]), (9_001, [1.0, 0.0]), (None, [0.0] * 32), (9_002, None)], "pos long, embedding array<double>")
+    pairs = lambda found: {(r["index_a"], r["index_b"]) for r in found.collect()}
+    n = 3_002
+    got = pairs(D.pairs_lsh(df, 0.92))
+    assert len(got & {(k, 2_000 + k) for k in range(1_000)}) >= 900 and (9_000, 9_001) in got and len(got) <= 1_010
+    bits, tables, share = D.hash_plan(n, 0.92)
+    planes = np.random.default_rng([7, 32]).standard_normal((32, bits * tables))
+    codes = ((np.vstack([base, near]) @ planes > 0).reshape(3_000, tables, bits) * (1 << np.arange(bits))).sum(2)
+    met = sum(int(((c := np.unique(codes[:, t], return_counts=True)[1]) * (c - 1) // 2).sum()) for t in range(tables))
+    assert met < 0.1 * n * (n - 1) / 2 and share < 0.1
+    assert D.hash_plan(10**6, 0.92)[2] < 0.01 and D.hash_plan(1_000, 1.0)[1] == 1
+
+
+def test_neighbours_of_either_end(spark):
+    rows = [(0, 1, 0.99), (0, 2, 0.98), (0, 3, 0.97), (3, 4, 0.5), (2, 4, 0.6)]
+    got = {(r["index_a"], r["index_b"]) for r in D.neighbours(spark.createDataFrame(rows, "index_a long, index_b long, similarity double"), 1).collect()}
+    assert got == {(0, 1), (0, 2), (0, 3), (2, 4)}
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 7)
+    rng = random.Random(1)
+    v = [[1 + rng.gauss(0, 0.01) for _ in range(4)] for _ in range(60)] + [[-1.0, 0.0, 0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "pos long, embedding array<double>")
+    got = [(r["index_a"], r["index_b"]) for r in D.pairs_lsh(df, 0.9).collect()]
+    assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+
+
 def test_normalization(spark):
     one = lambda raw, schema, **k: N.normalize(spark.createDataFrame([(json.dumps(raw), 0)], "raw string, pos long"), schema, **k).first()
     r = one({"instruction": " do \n", "input": "x", "output": None}, "alpaca")
@@ -137,7 +176,7 @@ def test_replies(spark):
     assert out["1"]["reply"] == "ok" and not out["2"]["success"] and "down" in out["2"]["error"]
     j = spark.createDataFrame([('{"winner": "B", "score_a": {"x": 1}, "score_b": {"x": 3}, "reason": "r"}',), ('{"winner": "C"}',)], "reply string").select(R.parse_judgement(F.col("reply")).alias("j")).collect()
     assert (j[0]["j"]["winner"], j[0]["j"]["score_b"]) == ("B", {"x": 3.0}) and j[1]["j"]["winner"] == "JUDGE_FAILED"
-    a = spark.createDataFrame([('{"action": "STOP_EARLY"}',), ("oops",)], "reply string").select(R.parse_action(F.col("reply")).alias("a")).collect()
+    a = spark.createDataFrame([('{"action": "STOP"}',), ("oops",)], "reply string").select(R.parse_action(F.col("reply")).alias("a")).collect()
     assert (a[0]["a"]["notify_user"], a[1]["a"]["action"], a[1]["a"]["notify_user"]) == (True, "CONTINUE", False)
 
 

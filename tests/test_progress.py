@@ -216,3 +216,30 @@ def test_simulated_losses_and_pairs(spark):
     assert all(abs(r["val_loss"] - max(0.3, 2.5 * 0.82 ** r["seq"])) <= 0.031 for r in made.collect())
     agree = E.cross_check(spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0)], "run_id long, epoch int, loss double"), spark.createDataFrame([(1, 0.5)], "run_id long, avg_quality_margin double")).first()
     assert agree["signals_agree"]
+
+
+def test_ids_of_a_given_tokenizer(spark):
+    rows = spark.createDataFrame([(0, "ab a"), (1, None), (2, "a " * 20)], "pos long, text string")
+
+    def encoder():
+        known = {"ab": 7, "a": 9}
+        return lambda texts: [[known[w] for w in t.split()] for t in texts]
+
+    got = {r["pos"]: r for r in N.tokenized(rows, encoder, size=4, pad=1).collect()}
+    assert (got[0]["input_ids"], got[0]["attention_mask"], got[0]["labels"]) == ([7, 9, 1, 1], [1, 1, 0, 0], [7, 9, -100, -100])
+    assert got[1]["input_ids"] == [1] * 4 and got[1]["labels"] == [-100] * 4 and got[2]["input_ids"] == [9] * 4
+
+
+def test_tokenizer_files(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+
+    def encoder():
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        return lambda texts: [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]
+
+    texts = ["Hello there.", "été, là", ""]
+    got = [r["input_ids"] for r in N.tokenized(spark.createDataFrame(list(enumerate(texts)), "pos long, text string"), encoder, size=8).orderBy("pos").collect()]
+    assert got == [(i + [0] * 8)[:8] for i in encoder()(texts)]

@@ -90,15 +90,50 @@ FAMILIES = {
 
 
 def fit_family(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-    """A family's parameters; a fit that runs into the flat clamp of log_power is tried again in smaller first steps."""
+    """A family's parameters. pow3 and exp3 have one optimum and are fitted from their starting points; log_power has several, see there."""
     f, start = FAMILIES[name]
-    p = least_squares(f, x, y, start)
-    if name == "log_power" and (p is None or p[1] <= 1e-6):
-        for damp in (0.1, 1.0, 10.0):
-            q = least_squares(f, x, y, start, damp=damp)
-            if q is not None and q[1] > 1e-6 and np.isfinite(f(x[-1:] + 1, *q)).all():
-                return q
-    return p
+    return fit_log_power(x, y) if name == "log_power" else least_squares(f, x, y, start)
+
+
+# The grid of log_power's shape: logarithms of b, and c of both signs.
+_LOG_B, _C = (g.ravel() for g in np.meshgrid(np.linspace(np.log(1e-4), np.log(100), 40), np.concatenate([-np.geomspace(60, 0.02, 40), np.geomspace(0.02, 60, 40)]), indexing="ij"))
+_STARTS = 3  # valleys of the grid from which a fit goes on
+
+
+def fit_log_power(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """(a, b, c) of the least error, by variable projection: for each shape (b, c) the best a is known in closed form.
+
+    y is g + a * (1 - g) with g = 1 / (1 + (x / b)^c). The errors of a grid of shapes
+    show the valleys; the fit goes on from the lowest ones and the best end is taken.
+    A single start would often end on a flat curve that fits nothing.
+    """
+    if len(y) < 3:
+        return None
+    f = FAMILIES["log_power"][0]
+    with np.errstate(all="ignore"):
+        g = 1 / (1 + np.exp(np.outer(_C, np.log(x)) - (_C * _LOG_B)[:, None]))
+        u, v = 1 - g, y - g
+        size = (u * u).sum(1)
+        a = np.where(size > 1e-12, (u * v).sum(1) / np.maximum(size, 1e-300), y.mean())
+        error = np.square(v - a[:, None] * u).sum(1)
+    error = np.where(np.isfinite(error), error, np.inf).reshape(40, 80)
+    edge = np.pad(error, 1, constant_values=np.inf)
+    around = np.min([edge[i : i + 40, j : j + 80] for i in range(3) for j in range(3) if (i, j) != (1, 1)], axis=0)
+    valleys = np.flatnonzero((error <= around).ravel())
+    ends = [least_squares(f, x, y, FAMILIES["log_power"][1], damp=d) for d in (1e-3, 10.0)]  # of equal errors those of the usual start win
+    for k in valleys[np.argsort(error.ravel()[valleys], kind="stable")][:_STARTS]:
+        start = np.array([a[k], np.exp(_LOG_B[k]), _C[k]])
+        ends += [least_squares(f, x, y, start, calls=400), start]
+    best = None
+    for q in ends:
+        if q is None:
+            continue
+        with np.errstate(all="ignore"):
+            left, ahead = f(x, *q) - y, f(x[-1:] + 1, *q)
+        cost = float(left @ left)
+        if np.isfinite(cost) and np.isfinite(ahead).all() and (best is None or cost < best[0] * (1 - 1e-6) - 1e-12):
+            best = cost, q
+    return None if best is None else best[1]
 
 
 def least_squares(f, x: np.ndarray, y: np.ndarray, start, calls: int = 5000, damp: float = 1e-3) -> np.ndarray | None:

@@ -1,4 +1,4 @@
-"""Near-duplicate pairs of embeddings by cosine: exact in blocks, or by locality-sensitive hashing."""
+"""Near-duplicate pairs of embeddings by cosine: exact in blocks, or in the buckets of sign projections."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1_024  # vectors of a block of the exact join
+BLOCK = 4_096  # vectors of a block of the exact join
+ROWS = 512  # of them that are compared with another block at a time
+TABLES = 32  # of sign projections, at most
+SHARE = 0.25  # of all pairs that a search may compare; beyond that comparing all costs less than its tables
 EXACT_UP_TO = 200  # rows up to which the automatic strategy compares all pairs
 _PAIRS = "index_a long, index_b long, similarity double"
 
@@ -29,41 +32,110 @@ def pairs_exact(vectors: DataFrame, threshold: float = 0.92, pos: str = "pos", v
     own = rows.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
     left = own.select("i", "v", F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("b"))
     right = own.select(F.col("i").alias("j"), F.col("v").alias("u"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), F.col("block").alias("b"))
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_meet(threshold), _PAIRS)
+
+
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of a matrix."""
+    lists = col.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    if len(set(lists.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _meet(threshold: float):
+    """Compare two blocks of vectors (i, v, a, b) and (j, u); a block with itself once a pair."""
     schema = pa.schema([("index_a", pa.int64()), ("index_b", pa.int64()), ("similarity", pa.float64())])
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return schema.empty_table()
-        matrix = lambda c: np.stack([np.asarray(v) for v in c.to_pylist()])
         p, q = x.column("i").to_numpy(), y.column("j").to_numpy()
         same = x.column("a")[0].as_py() == x.column("b")[0].as_py()
-        s = matrix(x.column("v")) @ matrix(y.column("u")).T
-        i, j = np.nonzero(s >= threshold)
-        keep = p[i] < q[j] if same else p[i] != q[j]
-        i, j = i[keep], j[keep]
-        return pa.table([np.minimum(p[i], q[j]), np.maximum(p[i], q[j]), s[i, j]], schema=schema)
-
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, _PAIRS)
-
-
-def pairs_lsh(vectors: DataFrame, threshold: float = 0.92, pos: str = "pos", vec: str = "embedding", *, bucket: float = 2.0, tables: int = 6, seed: int = 7, n_neighbors: int | None = None) -> DataFrame:
-    """Pairs found by random projections, a subset of the exact ones; at most n_neighbors for each index_a if given."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    known = vectors.where(F.col(pos).isNotNull() & F.col(vec).isNotNull())
-    first = known.select(F.size(vec)).first()
-    if first is None:
-        return vectors.sparkSession.createDataFrame([], _PAIRS)
-    zero = F.array_repeat(F.lit(0.0), first[0])  # the conversion to vectors may run ahead of the filter and takes no null
-    rows = known.select(F.col(pos).cast("long").alias("i"), array_to_vector(normalized(F.coalesce(F.col(vec).cast("array<double>"), zero))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    far = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    found = model.approxSimilarityJoin(rows, rows, far, "d").select(F.col("datasetA.i").alias("index_a"), F.col("datasetB.i").alias("index_b"), (1 - F.col("d") * F.col("d") / 2).alias("similarity")).where("index_a < index_b").distinct()
-    if n_neighbors is None:
-        return found
-    w = Window.partitionBy("index_a").orderBy(F.desc("similarity"), "index_b")
-    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_neighbors).drop("_r")
+        left, right = _matrix(x.column("v")), _matrix(y.column("u"))
+        found = [[], [], []]
+        for a in range(0, len(left), ROWS):
+            s = left[a : a + ROWS] @ right.T
+            i, j = np.nonzero(s >= threshold)
+            m, o = p[a + i], q[j]
+            keep = m < o if same else m != o
+            for f, v in zip(found, (np.minimum(m, o)[keep], np.maximum(m, o)[keep], s[i, j][keep])):
+                f.append(v)
+        return pa.table([np.concatenate(f) for f in found], schema=schema)
+
+    return meet
+
+
+def hash_plan(n: int, threshold: float, recall: float = 0.95, row: int = 50) -> tuple[int, int, float]:
+    """(bits, tables, share) of a search for pairs at a threshold among n unit vectors.
+
+    Two vectors agree on the side of a random plane with probability 1 - angle / pi:
+    so many tables are drawn for a width that pairs at the threshold share a bucket of
+    one with the wanted probability, and the width is that of the least work: a vector
+    in a table counts as row comparisons, and unrelated vectors agree by chance.
+    share: of all pairs that are expected to be compared. Where TABLES tables are not
+    enough for less work than all pairs (a low threshold), there are 0 bits, one
+    table, and all pairs are compared, exactly.
+    """
+    agree = 1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi
+    pairs = n * (n - 1) / 2
+    best = row * n + pairs, 0, 1, 1.0
+    for bits in range(1, 31):
+        hit = min(agree**bits, 1 - 1e-12)
+        tables = max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-hit))))
+        share = tables * 0.5**bits
+        work = row * tables * n + share * pairs
+        if tables <= TABLES and share <= SHARE and work < best[0]:
+            best = work, bits, tables, share
+    return best[1:]
+
+
+def pairs_lsh(vectors: DataFrame, threshold: float = 0.92, pos: str = "pos", vec: str = "embedding", *, recall: float = 0.95, seed: int = 7, n_neighbors: int | None = None) -> DataFrame:
+    """Pairs that share a bucket of sign projections, a subset of the exact ones; recall: what is expected of those at the threshold.
+
+    Width and number of tables follow from threshold, recall and size (hash_plan). A
+    bucket is compared in blocks, so that one of any size spreads over tasks. Vectors
+    of different lengths do not meet. n_neighbors: a pair stays if it is among the
+    so many most similar ones found of either of its ends.
+    """
+    rows = vectors.select(F.col(pos).cast("long").alias("i"), normalized(F.col(vec)).alias("v")).where("i is not null and v is not null")
+    bits, tables, _ = hash_plan(max(2, rows.count()), threshold, recall)
+    schema = pa.schema([("i", pa.int64()), ("v", pa.list_(pa.float64())), ("t", pa.int32()), ("code", pa.int64())])
+
+    def coded(batches):
+        planes: dict[int, np.ndarray] = {}
+        for b in batches:
+            col = b.column("v")
+            size = np.asarray(col.value_lengths())
+            for d in np.unique(size):
+                at = pa.array(np.flatnonzero(size == d))
+                if d not in planes:
+                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), bits * tables))
+                own, ids = col.take(at), b.column("i").take(at)
+                side = (_matrix(pa.chunked_array([own])) @ planes[d] > 0).reshape(len(own), tables, bits)
+                codes = (side * (1 << np.arange(bits, dtype=np.int64))).sum(2) | np.int64(d) << 32
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([ids, own, pa.array(np.full(len(own), t, np.int32)), pa.array(codes[:, t])], schema=schema)
+
+    found = rows.mapInArrow(coded, "i long, v array<double>, t int, code long")
+    sizes = found.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
+    own = found.join(sizes, ["t", "code"]).withColumn("block", F.pmod(F.xxhash64("i"), F.col("n")).cast("int"))
+    fresh = [F.col(c).alias(c) for c in ("t", "code")]  # each side names its own columns
+    left = own.select(*fresh, "i", "v", F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("b"))
+    right = own.select(*fresh, F.col("i").alias("j"), F.col("v").alias("u"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), F.col("block").alias("b"))
+    keys = ["t", "code", "a", "b"]
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(threshold), _PAIRS)
+    pairs = pairs.groupBy("index_a", "index_b").agg(F.max("similarity").alias("similarity"))
+    return pairs if n_neighbors is None else neighbours(pairs, n_neighbors)
+
+
+def neighbours(pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs that are among the k most similar of either end; ties go to the smaller other end."""
+    ends = F.explode(F.array(F.struct(F.col("index_a").alias("x"), F.col("index_b").alias("y")), F.struct(F.col("index_b").alias("x"), F.col("index_a").alias("y")))).alias("e")
+    w = Window.partitionBy("e.x").orderBy(F.desc("similarity"), "e.y")
+    return pairs.select("*", ends).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("index_a", "index_b", "similarity").distinct()
 
 
 def candidate_pairs(vectors: DataFrame, threshold: float = 0.92, use_ann: bool = True, exact_up_to: int = EXACT_UP_TO, **kw) -> DataFrame:
@@ -88,7 +160,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, pos: str = "pos"
     """(query, pos, similarity, rank): the k most similar vectors of each query, itself excluded; queries are met in blocks."""
     q = queries.select(F.col(pos).cast("long").alias("i"), normalized(F.col(vec)).alias("v")).where("i is not null and v is not null")
     rows = vectors.select(F.col(pos).cast("long").alias("i"), normalized(F.col(vec)).alias("v")).where("i is not null and v is not null")
-    n, m = max(1, -(-q.count() // BLOCK)), max(1, -(-rows.count() // BLOCK))
+    n, m = max(1, -(-q.count() // ROWS)), max(1, -(-rows.count() // BLOCK))
     asked = q.withColumn("a", F.pmod(F.xxhash64("i"), F.lit(n))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     held = rows.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(m)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     schema = pa.schema([("query", pa.int64()), ("pos", pa.int64()), ("similarity", pa.float64())])
@@ -96,9 +168,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, pos: str = "pos"
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return schema.empty_table()
-        matrix = lambda t: np.stack([np.asarray(v) for v in t.column("v").to_pylist()])
         a, b = x.column("i").to_numpy(), y.column("i").to_numpy()
-        s = matrix(x) @ matrix(y).T
+        s = _matrix(x.column("v")) @ _matrix(y.column("v")).T
         s[a[:, None] == b[None]] = -np.inf
         out = [[], [], []]
         for r in range(len(a)):

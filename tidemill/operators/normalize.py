@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import as_text, has_key, is_empty, strip
 
@@ -132,6 +134,21 @@ def chat_template(messages: Column, system: str = DEFAULT_SYSTEM) -> Column:
     return F.concat(lead, F.array_join(F.transform(messages, turn), ""))
 
 
+def tokenized(rows: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[int]]]], *, text: str = "text", size: int = 512, pad: int = 0) -> DataFrame:
+    """Add input_ids, attention_mask and labels by a tokenizer of the caller's; a null text is empty.
+
+    encoder: a function without arguments that makes one from texts to ids; it is called once a task.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder()
+        for t in texts:
+            yield pd.Series([list(i) for i in encode(t.fillna("").tolist())], dtype=object)
+
+    return rows.withColumn("_ids", ids(F.col(text))).withColumns(pad_tokens(F.col("_ids"), size, pad)).drop("_ids")
+
+
 def pad_tokens(ids: Column, size: int = 512, pad: int = 0) -> dict[str, Column]:
     """input_ids cut and padded to size, their attention_mask, and labels with -100 where the mask is 0."""
     cut = F.slice(ids, 1, size)

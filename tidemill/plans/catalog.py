@@ -290,7 +290,7 @@ def dup_pairs_exact(spark, d):
 
 @query()
 def dup_pairs_lsh(spark, d):
-    return D.pairs_lsh(_vectors(spark, d), 0.40, tables=8)
+    return D.pairs_lsh(_vectors(spark, d), 0.40)
 
 
 @query(f"WITH {COSINE_SQL} SELECT DISTINCT index_b AS pos FROM p WHERE s >= 0.4 AND (index_a + index_b) % 3 <> 0")
