@@ -224,17 +224,20 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own), *b.columns], names=["cell", "list", "row", "vec_id", "v"])
 
     indexed = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v").mapInArrow(lean(assign), "cell int, list int, row long, vec_id long, v array<double>")
-    indexed = stored(indexed, "vector-lists")  # the inverted file; rows keep their numbers
     copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))
-    listed = indexed.where("list >= 0").withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
-    n_blocks = {r["cell"]: max(1, -(-r["count"] // BLOCK)) for r in indexed.where("cell >= 0").groupBy("cell").count().collect()}  # a row per cell
-    blocks = F.array(*[F.lit(n_blocks.get(c, 1)) for c in range(int(index.cell.max()) + 1)])
+    indexed = stored(indexed.withColumn("copy", copy), "vector-lists")  # the inverted file; rows keep their numbers
+    listed = indexed.where((F.col("list") >= 0) & (F.col("copy") <= k + 1)).drop("copy")
+    n_cells = int(index.cell.max()) + 1
+    n_blocks = {r["cell"]: max(1, -(-r["count"] // BLOCK)) for r in listed.groupBy("cell").count().collect()}  # a row per cell
+    blocks = F.array(*[F.lit(n_blocks.get(c, 1)) for c in range(n_cells)])
     queries = indexed.where((F.col("list") >= 0) & (F.col("vec_id") % every == 0)).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    n_queries = queries.count()
 
     def probe(asked: DataFrame, low: int, high: int) -> DataFrame:
-        """The k best of each query in its lists from place low up to high; asked: query, query_id, q, bound."""
-        sets = max(1, -(-n_queries // QUERIES))
+        """The k best of each query in its lists from place low up to high; asked: query, query_id, q, bound.
+
+        A cell's queries are split into sets of about QUERIES, and its vectors are copied
+        once for each: not at all where no query goes.
+        """
         schema = pa.schema([("cell", pa.int32()), ("lists", pa.list_(pa.int32())), ("query", pa.int64()), ("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("bound", pa.float64())])
 
         def route(batches):
@@ -266,10 +269,22 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
                 j.append(at[b])
             return _best(left, x, right, q, np.concatenate(i), np.concatenate(j), k)
 
+        def reach(batches):
+            cells = np.zeros(n_cells, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    to = shared.value.cell[shared.value.route(shared.value.ask(_matrix(b.column(0))), low, high)]
+                    cells += sum(np.bincount(np.unique(row), minlength=n_cells) for row in to)
+            yield pa.RecordBatch.from_pydict({"cell": np.arange(n_cells, dtype=np.int32), "n": cells})
+
+        reached = asked.select("q").mapInArrow(lean(reach), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0").collect()  # a row per cell
+        n_sets = {r["cell"]: -(-r["n"] // QUERIES) for r in reached}
+        sets = F.array(*[F.lit(n_sets.get(c, 0)) for c in range(n_cells)])
         block = F.pmod(F.xxhash64("row"), F.get(blocks, F.col("cell"))).cast("int")
-        held = listed.select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("part"), "list", "row", "vec_id", "v")
+        copies = F.when(F.get(sets, F.col("cell")) > 0, F.sequence(F.lit(0), F.get(sets, F.col("cell")) - 1))  # none without queries
+        held = listed.select("cell", block.alias("block"), F.explode(copies).alias("part"), "list", "row", "vec_id", "v")
         routed = asked.mapInArrow(route, "cell int, lists array<int>, query long, query_id long, q array<double>, bound double")
-        routed = routed.select("cell", "lists", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.lit(sets)).cast("int").alias("part"), "query", "query_id", "q", "bound")
+        routed = routed.select("cell", "lists", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.get(sets, F.col("cell"))).cast("int").alias("part"), "query", "query_id", "q", "bound")
         keys = ["cell", "block", "part"]
         return held.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(match, _FOUND_SQL)
 
