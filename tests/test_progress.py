@@ -243,3 +243,17 @@ def test_tokenizer_files(spark):
     texts = ["Hello there.", "été, là", ""]
     got = [r["input_ids"] for r in N.tokenized(spark.createDataFrame(list(enumerate(texts)), "pos long, text string"), encoder, size=8).orderBy("pos").collect()]
     assert got == [(i + [0] * 8)[:8] for i in encoder()(texts)]
+
+
+def test_tables_and_archives_survive_the_way_over_files(spark, tmp_path):
+    values = ['say "hi", all', "two\nlines", "back\\slash", "tab\there", "é, ü", "plain"]
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, text string").repartition(2)
+    sinks.write_csv(rows, str(tmp_path / "csv"))
+    assert {r["k"]: r["text"] for r in readers.read_table(spark, str(tmp_path / "csv")).collect()} == {str(k): v for k, v in enumerate(values)}
+    assert readers.parse_table('k,text\n1,"say ""hi"""\n') == [{"k": "1", "text": 'say "hi"'}]
+    lines = spark.range(2_500).select(F.when(F.col("id") < 2_400, F.lit("large")).otherwise(F.concat(F.lit("small-"), F.col("id") % 3)).alias("which"), F.to_json(F.struct("id")).alias("raw")).repartition(5)
+    sinks.write_archives(lines.unionByName(spark.createDataFrame([("small-0", None), (None, '{"id": -1}')], "which string, raw string")), f"file://{tmp_path}/zip", "which", "raw", entry_lines=500)
+    back = readers.read_archives(spark, f"{tmp_path}/zip/*.zip")
+    assert sorted(r[0] for r in back.select(F.get_json_object("raw", "$.id").cast("long")).collect()) == list(range(-1, 2_500))
+    assert sorted(os.listdir(tmp_path / "zip")) == [f"which={n}.zip" for n in ("", "large", "small-0", "small-1", "small-2")]
+    assert back.where("src_file like '%large%'").select("src_entry").distinct().count() == 5

@@ -22,7 +22,7 @@ from ..operators import runs as U
 from ..operators import split as S
 from ..operators import texts as T
 from ..runtime import shared_folder, ship
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..streaming import forecast as ST
 
 QUERIES: dict = {}
@@ -141,6 +141,69 @@ def token_pad_mask(spark, d):
     return rows.select("doc_id", total("input_ids").alias("ids_sum"), total("attention_mask").alias("n_mask"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("n_ignored"))
 
 
+# ---------------------------------------------------------------- files and back
+
+
+STRIPPED_SQL = r"regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x85\xa0\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\s\x0b\x1c-\x1f\x85\xa0\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')"
+
+
+def _stripped(column: str) -> str:
+    return STRIPPED_SQL.format(column)
+
+
+_SHAPED = {
+    "qa": lambda q, a: F.struct(q.alias("question"), a.alias("answer")),
+    "alpaca": lambda q, a: F.struct(q.alias("instruction"), F.concat(F.lit(" "), a, F.lit("\t")).alias("input"), a.alias("output")),
+    "prompt_completion": lambda q, a: F.struct(q.alias("prompt"), a.alias("completion")),
+    "instruction_response": lambda q, a: F.struct(q.alias("instruction"), a.alias("response")),
+    "chat": lambda q, a: F.struct(F.array(F.struct(F.lit("user").alias("role"), F.lit("before").alias("content")), F.struct(F.lit("assistant").alias("role"), a.alias("content")), F.struct(F.lit("user").alias("role"), q.alias("content"))).alias("messages")),
+    "llm_mapping": lambda q, a: F.struct(q.alias("q.text"), F.lit("0").alias("it's"), F.lit(0).alias("none"), a.alias("label")),
+}
+
+
+@query(f"""SELECT doc_id, shape, md5(CASE shape WHEN 'qa' THEN text WHEN 'chat' THEN text WHEN 'alpaca' THEN {_stripped('text')} || chr(10) || chr(10) || source WHEN 'llm_mapping' THEN CASE WHEN text = '' THEN '' ELSE {_stripped('text')} || chr(10) || chr(10) END || '0' ELSE {_stripped('text')} END) AS question_md5, source AS answer
+  FROM documents, (SELECT unnest(['qa', 'alpaca', 'prompt_completion', 'instruction_response', 'chat', 'llm_mapping']) AS shape)""")
+def normalize_shapes(spark, d):
+    """Every document as an example of each shape, written as JSON lines, read back and normalized."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    out = None
+    for shape, made in _SHAPED.items():
+        path = shared_folder(spark, f"examples-{shape}")
+        sinks.write_jsonl(docs.select("doc_id", F.to_json(made(F.col("text"), F.col("source"))).alias("raw")), path)
+        rows = readers.read_jsonl(spark, path, "doc_id long, raw string")
+        mapping = {"question_fields": ["q.text", "it's", "none"], "answer_field": "label"}
+        one = N.normalize(rows, shape, mapping).select("doc_id", F.lit(shape).alias("shape"), F.md5(F.col("question").cast("binary")).alias("question_md5"), "answer")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(text) AS text_md5, n_chars::VARCHAR AS n_chars FROM documents")
+def csv_and_back(spark, d):
+    path = shared_folder(spark, "documents-csv")
+    sinks.write_csv(table(spark, d, "documents").select("doc_id", "lang", "text", "n_chars"), path)
+    back = readers.read_table(spark, path)
+    return back.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "n_chars")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, doc_id % 97 AS archive FROM documents")
+def archives_and_back(spark, d):
+    """Documents as JSON lines in ZIP archives that tasks write, read back entry by entry."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 97).alias("archive"), F.to_json(F.struct("doc_id", "text")).alias("raw"))
+    path = shared_folder(spark, "archives")
+    sinks.write_archives(docs, path, "archive", "raw")
+    back = readers.read_archives(spark, f"{path}/*.zip")
+    return back.select(F.get_json_object("raw", "$.doc_id").cast("long").alias("doc_id"), F.md5(F.get_json_object("raw", "$.text").cast("binary")).alias("text_md5"), F.regexp_extract("src_file", r"archive=(\d+)", 1).cast("long").alias("archive"))
+
+
+@query(f"WITH {CLASSIFIED_SQL} SELECT pos::VARCHAR AS id, md5(question) AS question_md5, answer, round(avg_score, 6) AS avg_score, final_status AS automatic_status, CASE WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS user_decision FROM classified JOIN labels ON pos = doc_id")
+def override_log_and_back(spark, d):
+    o = table(spark, d, "labels").select(F.col("doc_id").alias("pos"), F.when(F.col("quality") == 1, "accept").otherwise("reject").alias("decision"))
+    path = shared_folder(spark, "override-log")
+    sinks.append_log(sinks.override_log(classified(spark, d), o, "pos"), path)
+    back = readers.read_log(spark, path, readers.OVERRIDES)
+    return back.select("id", F.md5(F.col("question").cast("binary")).alias("question_md5"), "answer", F.round("haiku_score.avg_score", 6).alias("avg_score"), "automatic_status", "user_decision")
+
+
 # ---------------------------------------------------------------- splits
 
 
@@ -377,6 +440,18 @@ def step_merge(spark, d):
     return X.step_merge(e, ["run_id", "step"], "event_id", ["loss", "val_loss"]).select("run_id", "step", r6("loss"), r6("val_loss"))
 
 
+@query(f"""WITH {CURVES_SQL}, t AS (SELECT run_id, epoch - 1 AS step, loss FROM curves), v AS (SELECT run_id, epoch // 4 - 1 AS i, loss AS val_loss FROM curves WHERE epoch % 4 = 0),
+  n AS (SELECT run_id, max(step) AS n FROM t GROUP BY run_id), m AS (SELECT run_id, max(i) AS m FROM v GROUP BY run_id),
+  p AS (SELECT v.run_id, round_even(i * greatest(n, 1) / greatest(m, 1), 0)::INTEGER AS step, arg_max(val_loss, i) AS val_loss FROM v JOIN n ON v.run_id = n.run_id JOIN m ON v.run_id = m.run_id GROUP BY ALL)
+  SELECT coalesce(t.run_id, p.run_id) AS run_id, coalesce(t.step, p.step)::INTEGER AS step, round(loss, 6) AS loss, round(val_loss, 6) AS val_loss FROM t FULL JOIN p ON t.run_id = p.run_id AND t.step = p.step""")
+def review_alignment(spark, d):
+    """A validation loss for every fourth epoch, spread over the steps of its run."""
+    c = curves(spark, d)
+    train = c.select("run_id", (F.col("epoch") - 1).cast("int").alias("step"), "loss")
+    val = c.where("epoch % 4 = 0").select("run_id", F.expr("epoch div 4 - 1").alias("i"), F.col("loss").alias("val_loss"))
+    return X.spread_validation(train, val).select("run_id", "step", r6("loss"), r6("val_loss"))
+
+
 @query(f"""WITH {CURVES_SQL}, g AS (SELECT run_id, epoch, CASE WHEN epoch % 3 = 1 THEN loss END AS v FROM curves),
   f AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN epoch END IGNORE NULLS) OVER b AS x0, last_value(v IGNORE NULLS) OVER b AS y0, first_value(CASE WHEN v IS NOT NULL THEN epoch END IGNORE NULLS) OVER a AS x1, first_value(v IGNORE NULLS) OVER a AS y1 FROM g
     WINDOW b AS (PARTITION BY run_id ORDER BY epoch ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))

@@ -201,7 +201,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None
 
 def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """CSV or TSV with a header, all values strings."""
-    return spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=True)
+    return spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=True, escape="\"")  # a quote in a value is doubled
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,56 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_archives(rows: DataFrame, path: str, archive: str, line: str, entry_lines: int = 1_000) -> None:
+    """ZIP archives `archive=value.zip` of JSON lines, in entries of so many lines; an archive is written as a stream by one task.
+
+    The folder must be one that pyarrow opens. A file is moved to its name when it is
+    whole, so that a task that is run again leaves no half archive. Null lines are left out.
+    """
+    import pyarrow as pa
+
+    done = pa.schema([("archive", pa.string())])
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        name, out, z, held, entries = None, None, None, [], 0
+
+        def entry():
+            nonlocal held, entries
+            if held:
+                z.writestr(f"part-{entries}.jsonl", "\n".join(held))
+                held, entries = [], entries + 1
+
+        def close():
+            entry()
+            z.close()
+            out.close()
+            system.move(part, f"{folder}/{archive}={name}.zip")
+
+        for b in batches:
+            for which, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if which != name:
+                    if name is not None:
+                        close()
+                        yield pa.RecordBatch.from_pydict({"archive": [name]}, schema=done)
+                    name, part, entries = which, f"{folder}/_{uuid.uuid4().hex}", 0
+                    out = system.open_output_stream(part)
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                held.append(text)
+                if len(held) >= entry_lines:
+                    entry()
+        if name is not None:
+            close()
+            yield pa.RecordBatch.from_pydict({"archive": [name]}, schema=done)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select(F.coalesce(F.col(archive).cast("string"), F.lit("")).alias("archive"), F.col(line).alias("line")).where("line is not null")
+    keyed.repartition(n, "archive").sortWithinPartitions("archive").mapInArrow(run, "archive string").count()
+
+
 def export_run(spark: SparkSession, path: str, dataset_source: str, curation: dict, training: dict, result: dict) -> dict:
     """Write a run's configuration as one JSON document and return it."""
     out = {"dataset_source": dataset_source, "curation_config": curation, "training_config": training, "actual_seed_used": result.get("seed"), "final_loss": result.get("final_loss"), "val_loss_history": result.get("val_loss_history")}
