@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, stored
 from .jaccard_join import _bitmap, _flagged
 
 BLOCKS = (256, 4_096)  # code points of the first blocks; the rest of a text is the last one
@@ -106,7 +106,8 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = held.groupBy(*keys, "part", "mask", "free").agg(*sums).join(same.select(*keys, F.lit(True).alias("_same")).distinct(), keys, "left")
     bit = F.when(F.col("_same") & ~F.col("free"), 1 << len(failed)).otherwise(0)
     held = held.select("part", (F.col("mask") + bit).alias("mask"), "n", "good", "toxic")
-    out = work.store(alone.unionByName(held).groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")]), "audit-masks")
+    out = stored(alone.unionByName(held).groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")]), "audit-masks")
+    work.clear()
     return out
 
 
