@@ -213,11 +213,48 @@ def test_license_scan(docs, empty):
     assert scan(empty).count() == 0
 
 
-def test_digest_of_kept_text(docs):
-    from pyspark.sql import functions as F
-
-    row = docs.where("doc_id = 4").select(F.sha2(F.col("text").cast("binary"), 256).alias("h")).first()
-    assert row["h"] == hashlib.sha256(b"one").hexdigest()
+def test_licence_labels_and_scores(spark):
+    """Labels and scores by brute force, with texts that lack words of a notice, cut ones, and a word or phrase a million times."""
+    import math
+
+    from tidemill.llm.license_scan import BASE, NOTICES, TEXTS, scan
+
+    rng = random.Random(11)
+    texts = [None, "", "licence", "mit " * 3, "Released under the MIT License.", "the mit license", "license " * 200_000, "cc by " * 100_000, "mit license " * 50_000]
+    for _, notice, key in (*NOTICES, *TEXTS):
+        words = notice.split()
+        texts += [notice.upper(), " ".join(words[1:]), "x y " + " ".join(w for w in words if rng.random() < 0.8 or w in key.split()) + " z", " ".join(w if rng.random() < 0.7 else "other" for w in words), f"{notice} and {rng.choice(NOTICES)[1]}"]
+    rows = list(enumerate(texts)) + [(None, texts[9]), (3, texts[10])]
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_base"], r["labels"], round(r["score"], 9)) for r in scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    docs = [[w.decode() for w in ALNUM.findall((t or "").encode().translate(LOW))] for _, t in rows]
+    vocab = {w for _, phrase in BASE for w in phrase.split()} | {w for _, t, _ in (*NOTICES, *TEXTS) for w in t.split()}
+    count = collections.Counter(w for d in docs for w in set(d) & vocab)
+    idf = {w: math.log(1 + len(docs) / (1 + count[w])) for w in vocab}
+    want = collections.Counter()
+    for (i, _), w in zip(rows, docs):
+        labels, score, n_base, at = set(), 0.0, 0, collections.defaultdict(list)
+        for k, x in enumerate(w):
+            at[x].append(k)
+        for label, phrase in BASE:
+            p = phrase.split()
+            here = sum(w[k : k + len(p)] == p for k in at[p[0]])
+            n_base += here
+            if here:
+                labels.add(label)
+                score = 1.0
+        for label, text, key in (*NOTICES, *TEXTS):
+            t, p = text.split(), key.split()
+            off = next(k for k in range(len(t)) if t[k : k + len(p)] == p)
+            seen = set()
+            for k in at[p[0]]:
+                if w[k : k + len(p)] == p and (near := tuple(w[max(0, k - off) : k - off + len(t)])) not in seen:
+                    seen.add(near)
+                    share = sum(idf[x] for j, x in enumerate(t) if 0 <= k - off + j < len(w) and w[k - off + j] == x) / sum(idf[x] for x in t)
+                    if share >= 0.6:
+                        labels.add(label)
+                        score = max(score, min(share, 1.0))
+        want[i, len(w), n_base, ",".join(sorted(labels)), round(score, 9)] += 1
+    assert got == want
 
 
 def test_queries_of_groups_name_each_pair_and_few_twice():

@@ -1,12 +1,14 @@
 """Licence scans with built-in functions only, by a positional index of rare words.
 
 Licence templates are word sequences with a mandatory key phrase. Their words'
-inverse document frequencies come from all documents. A template is indexed under
-the rarest word of its key phrase; a file's licence words that are such index
-words are looked up at every place, each lookup aligns template and file, the
-postings of the template's other words are intersected by relative position, and
-the key phrase is verified word for word. The phrases of the base labels are
-templates that are nothing but their key phrase, so every place of theirs is found.
+inverse document frequencies come from all documents. Each template is posted under
+the word of its key phrase with the highest one, and of the licence words of a file
+those are looked up that a posting names: a lookup aligns template and file. The key
+phrase is verified word for word at the aligned place, and the template's other words
+are intersected with the file by their relative positions. The phrases of the base
+labels are templates that are nothing but their key phrase, so every place of theirs
+is found. A file is one row from beginning to end: lookups are numbers, whatever
+their count, and nothing is exchanged.
 """
 
 from __future__ import annotations
@@ -34,10 +36,52 @@ NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 )
-REACH = 40  # words around a lookup that an alignment may use; no template is longer
+#: (label, text, key phrase) of whole licence texts, or their operative paragraphs.
+TEXTS = (
+    (
+        "apache-2.0-text",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+        " see the license for the specific language governing permissions and limitations under the license",
+        "except in compliance with the license",
+    ),
+    (
+        "bsd-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice",
+    ),
+    (
+        "gpl-text",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+        " this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "redistribute it and or modify it",
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "permission to use copy modify",
+    ),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"
+        " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "permission is granted to anyone to use this software for any purpose",
+    ),
+)
 
 
-def scan(docs: DataFrame, *, base=BASE, notices=NOTICES, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, base=BASE, notices=NOTICES + TEXTS, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of base phrases, first_word and last_word are their
@@ -50,11 +94,11 @@ def scan(docs: DataFrame, *, base=BASE, notices=NOTICES, least: float = 0.6, id_
     for label, notice, key in notices:
         words, k = notice.split(), key.split()
         at = next((i for i in range(len(words) - len(k) + 1) if words[i : i + len(k)] == k), None)
-        if at is None or len(words) > REACH:
-            raise ValueError(f"a notice must hold its key phrase and have at most {REACH} words: {notice}")
+        if at is None:
+            raise ValueError(f"a notice must hold its key phrase: {notice}")
         templates.append((label, words, at, key, False))
     vocab = sorted({w for t in templates for w in t[1]})
-    base_rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base_rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     words = with_words(base_rows, "text").drop("text")
 
     # document frequencies of the templates' words; a row per word comes to the driver
@@ -63,36 +107,40 @@ def scan(docs: DataFrame, *, base=BASE, notices=NOTICES, least: float = 0.6, id_
     n_docs = max(1, docs.count())
     idf = {w: math.log(1 + n_docs / (1 + counts.get(w, 0))) for w in vocab}
 
-    rows = []
+    posted = []
     for label, tw, at, key, is_base in templates:
         key_words = key.split()
         k = min(range(len(key_words)), key=lambda j: (-idf[key_words[j]], j))
-        total = sum(idf[w] for w in tw)
-        rows.append((key_words[k], label, is_base, tw, [idf[w] / total for w in tw], at, key, len(key_words), at + k))
-    index = docs.sparkSession.createDataFrame(rows, "word string, label string, is_base boolean, tw array<string>, share array<double>, key_at int, phrase string, key_n int, word_at int")
+        posted.append((label, tw, at, key, is_base, key_words[k], k, len(key_words)))
 
-    looked = in_list("words[i - 1]", sorted({r[0] for r in rows}))
-    places = F.expr(
-        f"transform(filter(if(size(words) > 0, sequence(1, size(words)), array()), i -> {looked}),"
-        f" i -> struct(i - 1 AS at, greatest(0, i - 1 - {REACH}) AS low, words[i - 1] AS word, slice(words, greatest(0, i - 1 - {REACH}) + 1, {2 * REACH + 1}) AS near))"
-    )
-    found = words.select("row", "id", F.size("words").cast("long").alias("n_words"), F.explode_outer(places).alias("p"))
-    found = found.select("row", "id", "n_words", "p.*").join(F.broadcast(index), "word", "left")  # a row per template
-    start = "at - word_at"
-    key_ok = f"coalesce({start} + key_at >= low AND array_join(slice(near, {start} + key_at - low + 1, key_n), ' ') = phrase, false)"
-    match = f"aggregate(sequence(0, size(tw) - 1), 0D, (s, k) -> s + if(coalesce(get(near, {start} - low + k) = tw[k], false), share[k], 0D))"
-    # the guard keeps the slice's start above 0
-    found = found.select("row", "id", "n_words", "label", "is_base", F.expr(f"at - word_at + key_at").cast("long").alias("start"), F.expr(f"CASE WHEN label IS NULL OR {start} + key_at < low THEN false ELSE {key_ok} END").alias("ok"), F.expr(f"CASE WHEN label IS NULL THEN 0D ELSE {match} END").alias("share"))
-    hit = F.col("ok") & (F.col("is_base") | (F.col("share") >= least))
-    base_hit = hit & F.col("is_base")
-    out = found.groupBy("row").agg(
-        F.first("id", ignorenulls=True).alias("id"),
-        F.max("n_words").alias("n_words"),
-        F.count_if(base_hit).cast("long").alias("n_base"),
-        F.min(F.when(base_hit, F.col("start"))).alias("first_word"),
-        F.max(F.when(base_hit, F.col("start"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base_hit, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("label")))), ",").alias("labels"),
-        F.least(F.lit(1.0), F.round(F.coalesce(F.max(F.when(hit, F.col("share"))), F.lit(0.0)), 12)).alias("score"),
+    looked = in_list("words[i - 1]", sorted({t[5] for t in posted}))
+    found = words.withColumn("places", F.expr(f"filter(if(size(words) > 0, sequence(1, size(words)), array()), i -> {looked})"))
+    shares, places, reached = [], {}, {}
+    for t, (label, tw, at, key, is_base, word, k, n) in enumerate(posted):
+        # the first condition keeps the slice's start above 0
+        here = f"transform(filter(places, i -> i > {k} AND words[i - 1] = '{word}' AND array_join(slice(words, i - {k}, {n}), ' ') = '{key}'), i -> cast(i - {k + 1} AS long))"
+        places[f"at_{t}"] = F.expr(here)  # where the key phrase begins
+        if not is_base:
+            total = sum(idf[w] for w in tw)
+            terms = ", ".join(f"named_struct('o', {j - at}, 'w', '{w}', 's', {idf[w] / total!r}D)" for j, w in enumerate(tw))
+            share = f"array_max(transform(at_{t}, b -> aggregate(array({terms}), 0D, (s, x) -> s + if(coalesce(get(words, cast(b AS int) + x.o) = x.w, false), x.s, 0D))))"
+            shares.append((t, label, f"share_{t}"))
+            reached[f"share_{t}"] = F.expr(f"if(size(at_{t}) > 0, {share}, 0D)")
+    found = found.withColumns(places).withColumns(reached)
+    bases = [(t, p[0]) for t, p in enumerate(posted) if p[4]]
+    starts = F.flatten(F.array(*[F.col(f"at_{t}") for t, _ in bases])) if bases else F.array().cast("array<long>")
+    base_labels = [F.when(F.size(f"at_{t}") > 0, F.lit(label)) for t, label in bases]
+    other_labels = [F.when(F.col(c) >= least, F.lit(label)) for _, label, c in shares]
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",") if labels else F.lit("")
+    best = [F.when(F.col(c) >= least, F.col(c)).otherwise(F.lit(0.0)) for _, _, c in shares]
+    score = F.array_max(F.array(F.when(F.size("starts") > 0, 1.0).otherwise(0.0), *best))
+    return found.withColumn("starts", starts).select(
+        F.col("id").alias(id_col),
+        F.size("words").cast("long").alias("n_words"),
+        F.size("starts").cast("long").alias("n_base"),
+        F.array_min("starts").alias("first_word"),
+        F.array_max("starts").alias("last_word"),
+        joined(base_labels).alias("base_labels"),
+        joined(base_labels + other_labels).alias("labels"),
+        F.least(F.lit(1.0), F.round(score, 12)).alias("score"),
     )
-    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
