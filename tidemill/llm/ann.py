@@ -2,11 +2,12 @@
 
 Vectors get one more coordinate, so that the largest inner product is the least
 distance, and are rotated by a random orthogonal matrix, so that any first
-coordinates are a fair sample of a distance. A query first scores the lists nearest
-to it in full, which gives it a bound. Then its other probed lists are scanned: squared
-distances are added up over blocks of columns, and after each block a hypothesis test
-compares what a candidate's distance must be with the bound and abandons it early.
-What is left is scored exactly on the original vectors.
+coordinates are a fair sample of a distance. A query first scores the few lists nearest
+to it in full, which gives it a bound. Then its other probed lists are scanned, nearer
+ones first to tighten the bound: squared distances are added up over blocks of columns,
+and after each block a hypothesis test compares what a candidate's distance must be with
+the bound and abandons it early. What is left is scored exactly on the original vectors.
+So a query's cells hand out a few times k candidates, however many cells there are.
 
 Centroids and the number of probed lists are fitted on a bounded sample (of at most
 PER_LIST vectors a list and SAMPLE in all, by a hash of the row); every vector is indexed, and answers
@@ -33,7 +34,7 @@ COLUMNS = 16  # rotated dimensions of a column block
 EPSILON = 2.1  # of the test: a candidate is abandoned if its partial distance is above (1 + EPSILON / sqrt(d)) times its share of the bound
 RECALL = 0.965  # of the sample's neighbours that probed lists must hold
 CELL = 64  # lists of a cell, about; a query travels once to each cell that holds lists it probes
-FIRST = 8  # one probed list in so many, the nearest ones, gives the bound
+FIRST = 8  # probed lists are scanned in three steps, each up to so many times the lists of the one before
 
 
 def _chunks(n: int, width: int):
@@ -58,7 +59,7 @@ class Index:
             self.centroids[mine] = np.add.reduceat(x[order], at, axis=0) / np.diff(np.append(at, len(x)))[:, None]
         self.cell = self._cells(rng)
         self.probes = self._fit_probes(x, rng)
-        self.first = -(-self.probes // FIRST)
+        self.steps = sorted({-(-self.probes // FIRST**2), -(-self.probes // FIRST), self.probes})
 
     def _cells(self, rng) -> np.ndarray:
         """The cell of each list: lists are dealt to cells by their centroids."""
@@ -288,18 +289,21 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
         keys = ["cell", "block", "part"]
         return held.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(match, _FOUND_SQL)
 
-    found = stored(probe(queries.withColumn("bound", F.lit(float("inf"))), 0, index.first), "nearest-first")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
-    if index.probes > index.first:
-        last = found.withColumn("rank", rank).where(F.col("rank") == k).select("query", "score")
-        own = F.aggregate("q", F.lit(norm**2), lambda s, e: s + e * e)
+    best = lambda rows: rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    own = F.aggregate("q", F.lit(norm**2), lambda s, e: s + e * e)
+    found, low, asked = None, 0, queries.withColumn("bound", F.lit(float("inf")))
+    for high in index.steps:
+        part = probe(asked, low, high)
+        found = stored(best(part if found is None else found.drop("rank").union(part)), "nearest-found")
+        last = found.where(F.col("rank") == k).select("query", "score")
         bound = F.when(F.col("score").isNull(), float("inf")).otherwise(F.greatest(F.lit(0.0), own - 2 * F.col("score")))
-        asked = queries.join(last, "query", "left").select("query", "query_id", "q", bound.alias("bound"))
-        found = stored(found.union(probe(asked, index.first, index.probes)), "nearest-probed")
+        low, asked = high, queries.join(last, "query", "left").select("query", "query_id", "q", bound.alias("bound"))
+    found = found.drop("rank")
     if index.probes < len(index.centroids):  # queries whose probed lists hold less than k: the rest of the lists, in full
         short = queries.join(found.groupBy("query").count().where(F.col("count") >= k), "query", "left_anti")
         if not short.isEmpty():
             found = found.union(probe(short.withColumn("bound", F.lit(float("inf"))), index.probes, len(index.centroids)))
     if len(common) > 1:
         found = found.union(_among_rarer(indexed.where("list < 0"), common[1]["n"], k, every))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best(found).select("query_id", "rank", "vec_id", "score")
