@@ -164,14 +164,14 @@ _SHAPED = {
 @query(f"""SELECT doc_id, shape, md5(CASE shape WHEN 'qa' THEN text WHEN 'chat' THEN text WHEN 'alpaca' THEN {_stripped('text')} || chr(10) || chr(10) || source WHEN 'llm_mapping' THEN CASE WHEN text = '' THEN '' ELSE {_stripped('text')} || chr(10) || chr(10) END || '0' ELSE {_stripped('text')} END) AS question_md5, source AS answer
   FROM documents, (SELECT unnest(['qa', 'alpaca', 'prompt_completion', 'instruction_response', 'chat', 'llm_mapping']) AS shape)""")
 def normalize_shapes(spark, d):
-    """Every document as an example of each shape, written as JSON lines, read back and normalized."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    """Documents written as JSON lines and read back, as an example of each shape, normalized."""
+    path = shared_folder(spark, "documents-json")
+    sinks.write_jsonl(table(spark, d, "documents").select("doc_id", "text", "source"), path)
+    docs = readers.read_jsonl(spark, path, "doc_id long, text string, source string")
+    mapping = {"question_fields": ["q.text", "it's", "none"], "answer_field": "label"}
     out = None
     for shape, made in _SHAPED.items():
-        path = shared_folder(spark, f"examples-{shape}")
-        sinks.write_jsonl(docs.select("doc_id", F.to_json(made(F.col("text"), F.col("source"))).alias("raw")), path)
-        rows = readers.read_jsonl(spark, path, "doc_id long, raw string")
-        mapping = {"question_fields": ["q.text", "it's", "none"], "answer_field": "label"}
+        rows = docs.select("doc_id", F.to_json(made(F.col("text"), F.col("source"))).alias("raw"))
         one = N.normalize(rows, shape, mapping).select("doc_id", F.lit(shape).alias("shape"), F.md5(F.col("question").cast("binary")).alias("question_md5"), "answer")
         out = one if out is None else out.unionByName(one)
     return out
