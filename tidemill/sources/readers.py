@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..runtime import stored
 
+ROWS = 200  # examples of an Arrow batch; texts are long
 SKIPPED = ("__MACOSX", ".git", ".DS_Store")  # archive parts that hold no data
 SUFFIXES = (".json", ".jsonl", ".csv", ".tsv", ".zip")
 TRACE = "module string, function string, model string, prompt string, timestamp string, response_text string, success boolean, error string, latency_s double"
@@ -96,7 +97,9 @@ def _files(spark: SparkSession, path: str, rows_of) -> DataFrame:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1)):
                 got = rows_of(content.as_py())
-                yield pa.RecordBatch.from_pydict({"src_file": [file] * len(got), "src_entry": [e for e, _ in got], "pos": list(range(len(got))), "raw": [json.dumps(r, ensure_ascii=False) for _, r in got]}, schema=schema)
+                for a in range(0, len(got), ROWS):
+                    some = got[a : a + ROWS]
+                    yield pa.RecordBatch.from_pydict({"src_file": [file] * len(some), "src_entry": [e for e, _ in some], "pos": list(range(a, a + len(some))), "raw": [json.dumps(r, ensure_ascii=False) for _, r in some]}, schema=schema)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "src_file string, src_entry string, pos long, raw string")
 
@@ -175,8 +178,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for uri, number in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with _opened(uri) as f, zipfile.ZipFile(f) as z:
                     got = entry_rows(z, number)
-                for a in range(0, len(got), 1_000):
-                    some = got[a : a + 1_000]
+                for a in range(0, len(got), ROWS):
+                    some = got[a : a + ROWS]
                     yield pa.RecordBatch.from_pydict({"src_file": [uri] * len(some), "number": [number] * len(some), "src_entry": [e for e, _ in some], "k": list(range(a, a + len(some))), "raw": [json.dumps(r, ensure_ascii=False) for _, r in some]}, schema=schema)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -39,7 +39,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_archives(rows: DataFrame, path: str, archive: str, line: str, entry_lines: int = 1_000) -> None:
+def write_archives(rows: DataFrame, path: str, archive: str, line: str, entry_lines: int = 200) -> None:
     """ZIP archives `archive=value.zip` of JSON lines, in entries of so many lines; an archive is written as a stream by one task.
 
     The folder must be one that pyarrow opens. A file is moved to its name when it is
